@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lumeset.llm import slot_shards, source_mix, url_reputation, warc_zstd
+from lumeset.llm import best_fit_packing, flat_blocks, slot_shards, source_mix, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_warc_zstd": warc_zstd.op4_warc_zstd,
+    "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
+    "op6_flat_blocks": flat_blocks.op6_flat_blocks,
     "op9_url_reputation": url_reputation.op9_url_reputation,
 }
 
