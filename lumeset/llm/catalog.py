@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumeset.llm import best_fit_packing, flat_blocks, slot_shards, source_mix, url_reputation, warc_zstd
+from lumeset.llm import best_fit_packing, flat_blocks, risk_controlled_quality, slot_shards, source_mix, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_warc_zstd": warc_zstd.op4_warc_zstd,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
     "op6_flat_blocks": flat_blocks.op6_flat_blocks,
+    "op8_risk_controlled_quality": risk_controlled_quality.op8_risk_controlled_quality,
     "op9_url_reputation": url_reputation.op9_url_reputation,
 }
 
 ORACLES = {
     "op3_source_mix": source_mix.ORACLE_SQL,
     "op4_warc_zstd": warc_zstd.ORACLE_SQL,
+    "op8_risk_controlled_quality": risk_controlled_quality.oracle_sql(),
     "op9_url_reputation": url_reputation.ORACLE_SQL,
 }
