@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumeset.llm import best_fit_packing, flat_blocks, risk_controlled_quality, slot_shards, source_mix, url_reputation, warc_zstd
+from lumeset.llm import best_fit_packing, flat_blocks, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc_zstd": warc_zstd.op4_warc_zstd,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
     "op6_flat_blocks": flat_blocks.op6_flat_blocks,
+    "op7_simhash_tiles": simhash_tiles.op7_simhash_tiles,
     "op8_risk_controlled_quality": risk_controlled_quality.op8_risk_controlled_quality,
     "op9_url_reputation": url_reputation.op9_url_reputation,
 }
