@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumeset.llm import best_fit_packing, flat_blocks, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, url_reputation, warc_zstd
+from lumeset.llm import best_fit_packing, flat_blocks, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_simhash_tiles": simhash_tiles.op7_simhash_tiles,
     "op8_risk_controlled_quality": risk_controlled_quality.op8_risk_controlled_quality,
     "op9_url_reputation": url_reputation.op9_url_reputation,
+    "op10_suffix_repeats": suffix_repeats.op10_suffix_repeats,
 }
 
 ORACLES = {
