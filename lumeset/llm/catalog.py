@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumeset.llm import best_fit_packing, flat_blocks, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
+from lumeset.llm import anisotropic_search, best_fit_packing, flat_blocks, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
+    "op2_anisotropic_search": anisotropic_search.op2_anisotropic_search,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_warc_zstd": warc_zstd.op4_warc_zstd,
     "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
