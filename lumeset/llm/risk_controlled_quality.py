@@ -26,6 +26,7 @@ MOST_REJECTED = 0.05  # of a stratum's good documents, by all cutoffs together
 ERROR = 0.05  # chance that any certified cutoff breaks its limit
 PRECISION = 0.9  # of the labelled documents that a cutoff rejects, so many must be bad
 CHOOSING = 4  # one labelled document in so many chooses among certified cutoffs, the others are the holdout
+BROADCAST_STRATA = 10_000
 #: score -> cutoffs tested, loosest first
 GRID = {
     "symbol_share": (1.0, 0.75, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02),
@@ -143,17 +144,27 @@ def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
 
     docs: doc_id, text, the stratum. labels: doc_id, quality (the lower of repeated labels counts; nulls do not). Without
     enough labels no cutoff is certified and only the base rules reject. Repeated rows are judged each; a null text has no words and
-    fails the base rules; an empty table gives an empty result. Returns doc_id, the counts, base_failed and kept.
+    fails the base rules; an empty table gives an empty result. Returns doc_id, the counts, base_failed and kept, and ``doc``
+    if docs has a column of that name (a struct of anything to carry along).
     """
-    scored = materialise(scores(text_counts(docs.select("doc_id", stratum, "text"))).drop("text"), "scores")
+    extra = [c for c in docs.columns if c == "doc"]
+    scored = materialise(scores(text_counts(docs.select("doc_id", stratum, "text", *extra))).drop("text"), "scores")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    cutoffs = certified_cutoffs(scored.where(~F.col("base_failed")).join(known, "doc_id"), stratum)
+    cutoffs = materialise(certified_cutoffs(scored.drop(*extra).where(~F.col("base_failed")).join(known, "doc_id"), stratum), "cutoffs")
     cut = cutoffs.select(F.col(stratum).alias("_stratum"), *(F.col(c).alias(f"_{c}") for c in GRID))
+    if cutoffs.count() <= BROADCAST_STRATA:
+        cut = F.broadcast(cut)  # of a checked size; beyond it, a plain join
     over = F.lit(False)
     for c in GRID:
         over = over | F.coalesce(F.col(c) > F.col(f"_{c}"), F.lit(False))
     judged = scored.join(cut, scored[stratum].eqNullSafe(cut["_stratum"]), "left")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), *extra)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    judged = judge_quality(docs.select("doc_id", "text", stratum, F.struct(*docs.columns).alias("doc")), labels, stratum)
+    return judged.where("kept").select("doc.*")
 
 
 def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lumeset.llm.common import materialise
 from lumeset.llm.graph import components
@@ -25,7 +26,6 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE = 1024
 #: A bucket of more nodes is split by further blocks before it is compared.
 BUCKET_NODES = 16_384
-FINGERPRINT_SCHEMA = "doc_id long, fp long"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -44,14 +44,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of docs (doc_id, text); null and empty texts have fingerprint 0."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": np.fromiter(map(fingerprint, b["text"]), np.int64, len(b))})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, FINGERPRINT_SCHEMA)
+@F.pandas_udf(LongType())
+def fingerprint_of(texts: pd.Series) -> pd.Series:
+    """Fingerprint of each text; null and empty texts have 0."""
+    return pd.Series(np.fromiter(map(fingerprint, texts), np.int64, len(texts)))
 
 
 def blocks_for(nodes: int, radius: int = RADIUS) -> int:
@@ -182,20 +178,31 @@ def compare_tiles(large: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of docs (doc_id, text).
+    """doc_id, fp and component_id (smallest doc_id reachable) of docs (doc_id, text), and ``doc`` if docs has a column of that name.
 
     Null and empty texts have fingerprint 0 and are linked like any others. Rows of one doc_id are documents of their
     own that share a component only if their fingerprints do; a null doc_id is never a component_id unless it stands alone. An empty
     table gives an empty result.
     """
-    marked = materialise(fingerprints(docs), "fingerprints")
+    extra = [c for c in docs.columns if c == "doc"]
+    marked = materialise(docs.select(F.col("doc_id").cast("long"), *extra, fingerprint_of("text").alias("fp")), "fingerprints", compression="zstd")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     tree = components(links_within(nodes.select("fp"), radius))
     # components are over fingerprints; their ids are the smallest doc_id in each
     rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", *extra, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, with all its columns; of repeated rows of this doc_id, one."""
+    found = near_duplicates(docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")), radius)
+    found = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "first", compression="zstd")
+    repeated = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        found = found.dropDuplicates(["component_id"])
+    return found.select("doc.*")
 
 
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

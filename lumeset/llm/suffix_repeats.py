@@ -363,7 +363,7 @@ def cut_out(texts: DataFrame, keep_text: bool, length: int = LENGTH) -> DataFram
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, head: int = HEAD, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and t1, t2, kept) of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and sha256 of the whole text, kept) of docs (doc_id, text).
 
     Null and empty texts have no bytes; texts shorter than ``length`` keep all. Equal texts of that length are removed whole. Repeated rows
     count as documents of their own. kept is null where nothing is removed or keep_text is false; it may
@@ -385,10 +385,31 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
     cut = materialise(cut_out(texts.join(runs, ["t1", "t2"], "left"), keep_text, length), "cut", compression="zstd")
     return meta.join(cut, ["t1", "t2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "t1", "t2", "kept",
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "sha256", "kept",
     )
 
 
+def keep_rest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with all their columns, repeated passages cut out of ``text`` and ``n_chars`` set anew if there is such a column.
+
+    Bytes of a character that is cut in two are dropped. No document goes, even if nothing is left of its text.
+    """
+    found = remove_repeats(docs.select("doc_id", "text"), keep_text=True, length=length)
+    changed = found.where("n_spans > 0").select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha"), "kept").dropDuplicates(["_id", "_sha"])
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda x: None if x is None else x.decode(errors="ignore"))
+
+    changed = changed.select("_id", "_sha", decoded("kept").alias("_rest"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    doc = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("_own"), sha.alias("_own_sha"))
+    joined = doc.join(changed, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left")
+    text = F.coalesce("_rest", "doc.text")
+    new = {"text": text, "n_chars": F.when(F.col("_rest").isNull(), F.col("doc.n_chars")).otherwise(F.length("_rest").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {"text": text}
+    return joined.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+
+
 def has_repeats(meta: DataFrame) -> bool:
     """Whether any doc_id stands in several rows."""
     return not meta.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
