@@ -1,5 +1,8 @@
 """Registered queries and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from lumeset.plans.oracles import ORACLES
+from lumeset.plans.registered import QUERIES
+
 FLAGSHIP = "diverse_topk"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -20,7 +20,7 @@ def build_profile(df: DataFrame, metrics=PROFILED, points=POINTS) -> DataFrame:
     """
     each = df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).cast("float").cast("double").alias("v")) for m in metrics))).alias("e")).select("e.*")
     counted = each.where("v is not null").groupBy("m", "v").agg(F.count("*").alias("n"))
-    found = counted.groupBy("m").agg(F.percentile("v", [q / 100 for q in points], "n").alias("p"))
+    found = counted.groupBy("m").agg(F.percentile("v", [q / 100 for q in points], F.col("n")).alias("p"))
     pick = lambda m, k: F.coalesce(F.max(F.when(F.col("m") == m, F.get("p", F.lit(k)))), F.lit(0.0))
     return found.agg(*(pick(m, k).alias(f"p_{m}_{q}") for m in metrics for k, q in enumerate(points)))
 
