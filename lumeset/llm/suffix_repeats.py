@@ -117,9 +117,11 @@ def mark_anchors(sketches: DataFrame, length: int = LENGTH) -> DataFrame:
     e1, e2 = (int(x[0]) for x in halves([xxh3_128_digest(b"")]))
     each = sketches.select("t1", "t2", F.explode(F.arrays_zip("pos", "first", "last", "head", "w1", "w2")).alias("a")).select("t1", "t2", "a.*")
     heads = each.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    heads = materialise(heads, "heads")  # stored, so that the join is no part of the aggregation and a hot head can be split
     each = materialise(each.join(heads, "head"), "anchors", compression="zstd")
     cut = (F.col("w1") == e1) & (F.col("w2") == e2)
     whole = each.where(~cut).groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2", F.lit(True).alias("whole"))
+    whole = materialise(whole, "whole")
     marked = each.join(whole, ["w1", "w2"], "left").select("t1", "t2", F.struct("pos", "first", "last", "head", F.coalesce("whole", F.lit(False)).alias("whole")).alias("a"))
     # copies of a text give the same set, which is united before the shuffle; a set is as large as its text
     marked = marked.groupBy("t1", "t2").agg(F.collect_set("a").alias("anchors"))
@@ -136,6 +138,7 @@ def mark_anchors(sketches: DataFrame, length: int = LENGTH) -> DataFrame:
     opened = materialise(marked.mapInPandas(run, f"t1 long, t2 long, anchors {ANCHOR}"), "opened", compression="zstd")
     flat = opened.select("t1", "t2", F.explode("anchors").alias("a"))
     heads = flat.where("a.open").select(F.col("a.head").alias("head")).distinct().withColumn("sorted", F.lit(True))
+    heads = materialise(heads, "open_heads")
     flat = flat.select("t1", "t2", "a", F.col("a.head").alias("head")).join(heads, "head", "left")
     flat = flat.select("t1", "t2", F.struct("a.pos", "a.first", "a.last", "a.whole", "a.open", F.coalesce("sorted", F.lit(False)).alias("sorted")).alias("a"))
     return flat.groupBy("t1", "t2").agg(F.collect_list("a").alias("anchors"))
@@ -318,7 +321,7 @@ def repeats(pieces: DataFrame, length: int = LENGTH, head: int = HEAD, chunk: in
     found = whole
     waiting = named_groups(pieces.withColumn("l", F.lit(0)).withColumn("r", F.lit(head)), False, length, head)
     while True:
-        sizes = waiting.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = materialise(waiting.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         dealt = materialise(waiting.join(sizes, ["g1", "g2"]), "groups", compression="zstd")
         found = found.union(sort_groups(dealt.where((F.col("n") <= chunk) & (F.col("l") + F.col("r") < length)), length, chunk))
         # single windows: everything in the group is equal
