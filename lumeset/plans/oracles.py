@@ -259,3 +259,10 @@ o("variant_groups", "WITH RECURSIVE {grp}, " + LEADERS + " SELECT * FROM led")
 o("frequent_patterns", "WITH RECURSIVE {grp}, " + LEADERS + ", c AS (SELECT scene, leader, count(*) AS n, max(key) AS best FROM led GROUP BY ALL HAVING count(*) > 1) SELECT *, row_number() OVER (PARTITION BY scene ORDER BY n DESC, best DESC)::INT AS place FROM c")
 o("classification_refill", f"""WITH {{emb}}, {{ca}}, c AS (SELECT run, key, row_number() OVER w AS i, NOT is_transition AS ok, coalesce(sum((NOT is_transition)::INT) OVER (PARTITION BY run ORDER BY score DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ca WINDOW w AS (PARTITION BY run ORDER BY score DESC, key))
 SELECT run, key, i::INT AS i, ok FROM c WHERE before < {COUNT}""")
+o("histogram_metrics", """WITH e AS (SELECT user_id, least(255, floor(value / 2.0))::INT AS tone FROM events), n AS (SELECT user_id, tone, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT user_id, sum(n) AS t FROM n GROUP BY 1),
+g AS (SELECT user_id, tone // 16 AS g, sum(n) AS n FROM n GROUP BY ALL), top AS (SELECT user_id, max(n) AS top FROM g GROUP BY 1)
+SELECT user_id, round(-sum(n / t * log2(n / t)), 9) AS entropy, round(coalesce(sum(n) FILTER (tone <= 12), 0) / any_value(t), 9) AS black, round(coalesce(sum(n) FILTER (tone >= 243), 0) / any_value(t), 9) AS white, round(any_value(top) / any_value(t), 9) AS tone
+FROM n JOIN t USING (user_id) JOIN top USING (user_id) GROUP BY user_id""")
+o("stream_survivors", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) FILTER (event_id % 9 <> 0) AS alive, count(*) AS n FROM events GROUP BY ALL")
+o("sheet_layout", greedy(True) + ", " + PICKED + ", pl AS (SELECT run, key, row_number() OVER (PARTITION BY run ORDER BY score DESC, source, ts)::INT AS place FROM picked JOIN ca USING (run, key)) SELECT run, key, place, (place - 1) % 3 * 480 AS x, ((place - 1) // 3 * 270)::BIGINT AS y FROM pl")
+o("quality_scene_join", "WITH {emb}, {ca}, {sm} SELECT event_type, max(role) AS role, avg((role = 'ordinary')::INT) AS without, count(*) AS n FROM sm GROUP BY event_type")

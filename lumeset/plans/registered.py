@@ -467,3 +467,40 @@ def selection_report(spark, d):
     chosen = final_topk(spark, d).join(c, ["run", "key"])
     place = F.row_number().over(W.partitionBy("run").orderBy(F.col("score").desc(), "source", "ts"))
     return chosen.select("run", "key", place.alias("place"), F.round("score", 2).alias("score"), F.round("ts", 6).alias("ts"), V.hash_text(F.col("h")).alias("hash"))
+
+
+@query
+def histogram_metrics(spark, d):
+    """Luminance metrics of each user's values, taken as 256 tones."""
+    from lumeset.functions import pixels as P
+
+    e = table(spark, d, "events").select("user_id", F.least(F.lit(255), F.floor(F.col("value") / 2.0)).cast("int").alias("tone"))
+    n = e.groupBy("user_id", "tone").agg(F.count("*").cast("double").alias("n"))
+    m = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("tone", "n"))).alias("m"))  # 256 entries at most
+    h = m.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("h"))
+    h = h.select("user_id", "h")
+    c = F.col("h")
+    return h.select("user_id", F.round(P.entropy(c), 9).alias("entropy"), F.round(P.share(c, 0, 12), 9).alias("black"), F.round(P.share(c, 243, 255), 9).alias("white"), F.round(P.dominant_tone(c), 9).alias("tone"))
+
+
+@query
+def stream_survivors(spark, d):
+    """Extension: a stream of the events, counted by the hour."""
+    from lumeset.streaming.survivors import replay
+
+    return replay(spark, d).select(F.unix_seconds("start").alias("start"), "event_type", "alive", "n")
+
+
+@query
+def sheet_layout(spark, d):
+    from lumeset.sinks.artifacts import sheet_layout as layout
+
+    return layout(selection_report(spark, d).select("run", "key", "place"), "place")
+
+
+@query
+def quality_scene_join(spark, d):
+    """Scene roles looked up with a default, and the share of members without one."""
+    roles = scenes(spark, d).where("role <> 'ordinary'").select("event_type", "role").distinct()
+    c = candidates(spark, d).join(roles, "event_type", "left")
+    return c.groupBy("event_type").agg(F.max(F.coalesce("role", F.lit("ordinary"))).alias("role"), F.avg(F.col("role").isNull().cast("int")).alias("without"), F.count("*").alias("n"))
