@@ -41,32 +41,37 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, ceiling: int = CEILING) ->
     return ranked.select("source", "source_size", F.least(full, F.col("weight") * level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: str = SEED, counted: DataFrame | None = None) -> DataFrame:
     """Copies that the mix takes of each document.
 
-    docs: doc_id, source, size (words; null counts as 0), read three times: pass a stored table. Documents of null source form a source
+    docs: doc_id, source, size (words; null counts as 0), read four times: pass a stored table, or one of the same three
+    columns as ``counted``, which is then read instead for all but the result. Documents of null source form a source
     of their own; repeated rows are documents of their own; a document of size 0 may be drawn and adds nothing; an empty table gives an
     empty result. Returns the three columns, source_size, target and copies, and ``doc`` if docs has a column of that name.
     """
     extra = [c for c in docs.columns if c == "doc"]
-    docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *extra)
-    docs = docs.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.col("source").isNull())
-    sources = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
-    n_salts = docs.agg(F.greatest(F.lit(LEAST_SALTS), F.ceil(F.count("*") / ROWS_A_SALT)).cast("long").alias("salts"))
     # size buckets: bit length and the three bits after the first, so an eighth wide at most
     bucket = F.length(F.bin("size")) * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    counted = docs if counted is None else counted
+    n_salts = counted.agg(F.greatest(F.lit(LEAST_SALTS), F.ceil(F.count("*") / ROWS_A_SALT)).cast("long").alias("salts"))
+
+    def deal(df: DataFrame, *more: str) -> DataFrame:
+        df = df.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *more)
+        df = df.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.col("source").isNull())
+        return df.crossJoin(F.broadcast(n_salts)).withColumn("bucket", bucket).withColumn("salt", F.pmod(salt, "salts")).drop("salts")  # one row: a global aggregate
+
+    sources = source_targets(counted.groupBy("source").agg(F.sum(F.coalesce("size", F.lit(0)).cast("long")).alias("source_size")), weights, ceiling)
     cells = ["name", "unnamed", "bucket", "salt"]
-    dealt = docs.crossJoin(F.broadcast(n_salts)).withColumn("bucket", bucket).withColumn("salt", F.pmod(salt, "salts")).drop("salts")  # one row: a global aggregate
     before = F.coalesce(F.sum("n").over(W.partitionBy("name", "unnamed").orderBy("bucket", "salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = dealt.groupBy(*cells).agg(F.count("*").alias("n")).withColumn("before", before)
+    starts = deal(counted).groupBy(*cells).agg(F.count("*").alias("n")).withColumn("before", before)
     sources = sources.select(
         F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), offset_of(F.col("source"), seed).alias("offset"),
     )
     starts = starts.join(sources, ["name", "unnamed"]).drop("n")
     # ranked and joined on the same keys, so rows are shuffled once
-    ranked = dealt.withColumn("rn", F.row_number().over(W.partitionBy(*cells).orderBy("size", "doc_id"))).join(starts, cells)
+    ranked = deal(docs, *extra).withColumn("rn", F.row_number().over(W.partitionBy(*cells).orderBy("size", "doc_id"))).join(starts, cells)
     at = F.col("before") + F.col("rn")
     copies = F.floor(F.col("rate") * at + F.col("offset")) - F.floor(F.col("rate") * (at - 1) + F.col("offset"))
     return ranked.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(ceiling)).cast("long").alias("copies"), *extra)
@@ -75,7 +80,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed:
 def take_mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
     """The documents of the mix with all their columns, a row for each copy taken."""
     sized = docs.select("doc_id", "source", words_in("text").alias("size"), F.struct(*docs.columns).alias("doc"))
-    mixed = mix_sources(materialise(sized, "sizes", compression="zstd"), weights, ceiling, seed)
+    mixed = mix_sources(sized, weights, ceiling, seed, counted=materialise(sized.drop("doc"), "sizes"))  # texts are not stored again
     return mixed.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
