@@ -266,3 +266,34 @@ FROM n JOIN t USING (user_id) JOIN top USING (user_id) GROUP BY user_id""")
 o("stream_survivors", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) FILTER (event_id % 9 <> 0) AS alive, count(*) AS n FROM events GROUP BY ALL")
 o("sheet_layout", greedy(True) + ", " + PICKED + ", pl AS (SELECT run, key, row_number() OVER (PARTITION BY run ORDER BY score DESC, source, ts)::INT AS place FROM picked JOIN ca USING (run, key)) SELECT run, key, place, (place - 1) % 3 * 480 AS x, ((place - 1) // 3 * 270)::BIGINT AS y FROM pl")
 o("quality_scene_join", "WITH {emb}, {ca}, {sm} SELECT event_type, max(role) AS role, avg((role = 'ordinary')::INT) AS without, count(*) AS n FROM sm GROUP BY event_type")
+
+
+def unlike(count: int, threshold: float) -> str:
+    """CTEs o, dv, dvf: rows of each grp taken in order while unlike those taken (one threshold)."""
+    return f"""od AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY grp) AS n FROM grp),
+dv(grp, n, t, sel) AS (
+  SELECT grp, any_value(n), 0, []::STRUCT(id BIGINT, u DOUBLE[])[] FROM od GROUP BY grp
+  UNION ALL
+  SELECT dv.grp, dv.n, dv.t + 1, CASE WHEN len(dv.sel) < {count} AND coalesce(list_max(list_transform(dv.sel, lambda s: list_dot_product(s.u, od.u))), -1.0) <= {threshold} THEN list_append(dv.sel, {{'id': od.vec_id, 'u': od.u}}) ELSE dv.sel END
+  FROM dv JOIN od ON od.grp = dv.grp AND od.i = dv.t + 1 WHERE dv.t < dv.n),
+taken AS (SELECT grp, unnest(list_transform(sel, lambda s: s.id)) AS vec_id, unnest(range(1, len(sel) + 1)) AS pick FROM dv WHERE t = n),
+qual AS (SELECT grp, vec_id, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS quality FROM grp)"""
+
+
+o("shortlist", "WITH RECURSIVE {grp}, " + unlike(30, 0.15) + """ SELECT grp AS run, vec_id AS key, row_number() OVER (PARTITION BY grp ORDER BY pick IS NULL, pick, quality DESC, vec_id)::INT AS place FROM qual LEFT JOIN taken USING (grp, vec_id) QUALIFY place <= 30""")
+o("catalog_representatives", "WITH RECURSIVE {grp}, " + LEADERS + ", " + unlike(24, 0.2) + """,
+fp AS (SELECT scene AS grp, best AS vec_id, 1000 + row_number() OVER (PARTITION BY scene ORDER BY n DESC, best DESC) AS n FROM (SELECT scene, leader, count(*) AS n, max(key) AS best FROM led GROUP BY ALL HAVING count(*) > 1)),
+sharp AS (SELECT grp, vec_id, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, vec_id) AS n FROM qual QUALIFY n <= 8),
+al AS (SELECT grp, vec_id, min(n) AS n FROM (SELECT grp, vec_id, n FROM sharp UNION ALL SELECT grp, vec_id, n FROM fp UNION ALL SELECT grp, vec_id, 100000 + pick FROM taken) GROUP BY ALL)
+SELECT grp AS run, vec_id AS key, row_number() OVER (PARTITION BY grp ORDER BY n)::INT AS place FROM al QUALIFY place <= 24""")
+o("scene_select", "WITH RECURSIVE {emb}, {ca}, {sm}, {stats}, " + quota(20) + ", " + PLACE + """,
+sg AS (SELECT pl.*, q.first, CASE WHEN place <= quota THEN 0 WHEN q.role = 'cinematic' THEN 2 ELSE 1 END AS segment FROM pl JOIN quotas q USING (run, scene)),
+tu AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY segment, CASE WHEN segment = 0 THEN place ELSE 0 END, first, place) AS turn, list_transform(features, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(features, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM sg),
+st(step, thr) AS (VALUES (0, 0.1::DOUBLE), (1, 0.13::DOUBLE), (2, 0.16::DOUBLE), (3, 0.2::DOUBLE), (4, 0.25::DOUBLE)),
+visits AS (SELECT run, key, u, CASE WHEN role = 'recurring_gameplay' THEN greatest(thr, 0.98::DOUBLE) ELSE thr END AS thr, row_number() OVER (PARTITION BY run ORDER BY segment = 2, step, turn) AS v, count(*) OVER (PARTITION BY run) AS n FROM tu, st),
+g(run, n, v, sel) AS (
+  SELECT run, any_value(n), 0, []::STRUCT(id BIGINT, u DOUBLE[])[] FROM visits GROUP BY run
+  UNION ALL
+  SELECT g.run, g.n, g.v + 1, CASE WHEN len(g.sel) < 20 AND NOT list_contains(list_transform(g.sel, lambda s: s.id), x.key) AND coalesce(list_max(list_transform(g.sel, lambda s: list_dot_product(s.u, x.u))), -1.0) <= x.thr THEN list_append(g.sel, {'id': x.key, 'u': x.u}) ELSE g.sel END
+  FROM g JOIN visits x ON x.run = g.run AND x.v = g.v + 1 WHERE g.v < g.n)
+SELECT run, unnest(list_transform(sel, lambda s: s.id)) AS key, unnest(range(1, len(sel) + 1))::INT AS pick FROM g WHERE v = n""")

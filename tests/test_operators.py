@@ -211,3 +211,75 @@ def test_scene_select_equals_the_loop(spark, small):
         own = sorted((r for r in rows if r.run == run), key=lambda r: r.turn)
         table = [{"key": r.key, "segment": r.segment, "role": r.role, "u": np.asarray(r.features) / np.linalg.norm(r.features)} for r in own]
         assert got[run] == scene_select_by_loop(table, 20, similarity.ladder(0.1))
+
+
+def best_first(rows):
+    return sorted(rows, key=lambda r: (-r.score, r.ts, r.key))
+
+
+def far(a, b, bits):
+    return ((a.h ^ b.h) & (2**64 - 1)).bit_count() >= bits
+
+
+def first_apart(rows, taken, chosen, bits):
+    left = [r for r in rows if r.key not in taken]
+    return next((r for r in left if all(far(r, c, bits) for c in chosen)), left[0] if left else None)
+
+
+def preselect_by_loop(rows, count, bits):
+    target, taken, of_source, of_bin = min(12 * count, len(rows)), [], {}, {}
+    sources = sorted({r.source for r in rows}, key=lambda s: (-best_first([r for r in rows if r.source == s])[0].score, s))[:target]
+
+    def take(r):
+        taken.append(r.key)
+        of_source.setdefault(r.source, []).append(r)
+        of_bin.setdefault(r.bin, []).append(r)
+
+    for _ in range(3 if len({r.source for r in rows}) <= count else 1):
+        for s in sources:
+            if len(taken) < target and (r := first_apart(best_first([r for r in rows if r.source == s]), [x.key for x in of_source.get(s, [])], of_source.get(s, []), bits)):
+                take(r)
+    while len(taken) < target:
+        for b in sorted({r.bin for r in rows}):
+            if len(taken) < target and (r := first_apart(best_first([r for r in rows if r.bin == b]), taken, of_bin.get(b, []), bits)):
+                take(r)
+    return set(taken)
+
+
+def test_preselect_equals_the_loop(spark, small):
+    from lumeset.plans.registered import binned, primary_preselect
+    from lumeset.sources.tables import candidates
+
+    rows, got = binned(candidates(spark, small), 3).collect(), {}
+    for r in primary_preselect(spark, small).collect():
+        got.setdefault(r.run, set()).add(r.key)
+    assert got == {run: preselect_by_loop([r for r in rows if r.run == run], 3, 30) for run in {r.run for r in rows}}
+
+
+def test_backfill_equals_the_loop(spark, small):
+    from lumeset.plans.registered import COUNT, source_backfill
+    from lumeset.sources.tables import candidates
+
+    rows, got, want = candidates(spark, small).collect(), {}, {}
+    for r in source_backfill(spark, small).collect():
+        got.setdefault(r.run, set()).add(r.key)
+    for run in {r.run for r in rows}:
+        own = [r for r in rows if r.run == run]
+        done = [r for r in own if r.key % 3 == 0]
+        sources = sorted({r.source for r in own})
+        alive = {s: sum(r.source == s and r.key % 4 == 0 for r in done) for s in sources}
+        bare = [s for s in sources if not alive[s]] if len(sources) <= COUNT else []
+        short = max(0, COUNT - sum(alive.values()))
+        order, target = (bare, 3 * len(bare)) if bare else (sorted(sources, key=lambda s: (alive[s], s)), 3 * short)
+        taken, chosen = {s: [r for r in done if r.source == s] for s in sources}, []
+        moved = True
+        while len(chosen) < target and moved:
+            moved = False
+            for s in order:
+                if len(chosen) < target and (r := first_apart(best_first([r for r in own if r.source == s and r.key % 3]), chosen, taken[s], 30)):
+                    taken[s].append(r)
+                    chosen.append(r.key)
+                    moved = True
+        if chosen:
+            want[run] = set(chosen)
+    assert got == want
