@@ -54,7 +54,7 @@ def over(m: str, floor: float, scale: float) -> str:
 BRIGHT = clamp(f"0.35{D} * {clamp(f'(brightness - p_brightness_90) / greatest(8.0{D}, p_brightness_90 - p_brightness_50)')} + 0.25{D} * {over('near_white_ratio', 0.05, 0.18)} + 0.20{D} * {WASH} + 0.20{D} * {LOST}")
 DARK = clamp(f"0.40{D} * {clamp(f'(p_brightness_10 - brightness) / greatest(8.0{D}, p_brightness_50 - p_brightness_10)')} + 0.25{D} * {over('near_black_ratio', 0.05, 0.18)} + 0.20{D} * {over('dominant_tone_ratio', 0.55, 0.20)} + 0.15{D} * {LOST}")
 PROFILE = "SELECT " + ", ".join(f"quantile_cont({m}::FLOAT::DOUBLE, {q / 100}) AS p_{m}_{q}" for m in PROFILED for q in POINTS) + " FROM fr"
-INFO = "SELECT k1, k2, k3, k4, " + " + ".join(
+INFO = "SELECT k1, k2, k3, k4, k5, " + " + ".join(
     f"{w}{D} * (((CASE WHEN f_{m} < {m} THEN le_{m} ELSE lt_{m} END) + (CASE WHEN f_{m} > {m} THEN lt_{m} ELSE le_{m} END)) / 2.0{D} / n)" for m, w in INFORMATION.items()
 ) + " AS information FROM (SELECT *, count(*) OVER () AS n, " + ", ".join(f"count(*) OVER (ORDER BY f_{m}) AS le_{m}, count(*) OVER (ORDER BY f_{m}) - count(*) OVER (PARTITION BY f_{m}) AS lt_{m}" for m in INFORMATION) + " FROM (SELECT *, " + ", ".join(f"{m}::FLOAT::DOUBLE AS f_{m}" for m in INFORMATION) + " FROM fr))"
 REASON = """CASE
@@ -90,7 +90,7 @@ PARTS = {
     "emb": f"emb AS (SELECT vec_id, embedding, {SIGN} AS h FROM (SELECT *, {HU} AS hu FROM embeddings))",
     "ca": f"ca AS (SELECT e.*, h, embedding AS features FROM (SELECT {cols(CANDIDATE)} FROM (SELECT *, epoch_us(ts) AS epoch_us FROM events)) e JOIN emb ON vec_id = features_id % (SELECT count(*) FROM embeddings))",
     "judged": f"""prof AS ({PROFILE}), info AS ({INFO}),
-sc AS (SELECT norm.*, information, {VIS} AS visibility, {WASH} AS washout, {SUI} AS system_ui FROM norm JOIN info USING (k1, k2, k3, k4)),
+sc AS (SELECT norm.*, information, {VIS} AS visibility, {WASH} AS washout, {SUI} AS system_ui FROM norm JOIN info USING (k1, k2, k3, k4, k5)),
 rel AS (SELECT *, {BRIGHT} AS bright, {DARK} AS dark, {veiled('visibility', 'information', 'washout')} AS veiled FROM sc, prof),
 judged AS (SELECT *, {REASON} AS reason FROM rel)""",
     "sm": "sm AS (SELECT ca.* EXCLUDE (scene), event_type AS scene, CASE event_type WHEN 'purchase' THEN 'cinematic' WHEN 'click' THEN 'recurring_gameplay' ELSE 'ordinary' END AS role, score AS selection, key::DOUBLE AS quality, printf('p%08d', key) AS path, printf('%s_%03d', event_type, key % 4) AS variant_group FROM ca)",
@@ -115,13 +115,13 @@ def o(name: str, sql: str) -> None:
 
 o("profile_percentiles", "WITH {fr}, p AS (" + PROFILE + ") SELECT " + ", ".join(f"round(p_{m}_{q}, 6) AS p_{m}_{q}" for m in PROFILED for q in POINTS) + " FROM p")
 o("frame_scores", f"""WITH {{fr}}, {{norm}}, q AS (SELECT *, {QUALITY} AS quality, {VIS} AS visibility, {WASH} AS washout FROM norm)
-SELECT k1, k2, k3, k4, (brightness < 7 AND contrast < 4) OR (brightness > 248 AND contrast < 4) OR (contrast < 2 AND blur_score < 1) AS unusable,
+SELECT k1, k2, k3, k4, k5, (brightness < 7 AND contrast < 4) OR (brightness > 248 AND contrast < 4) OR (contrast < 2 AND blur_score < 1) AS unusable,
   round((greatest(0.0{D}, 1.0{D} - abs(brightness - 125.0{D}) / 125.0{D}) * 0.10{D} + least(1.0{D}, contrast / 70.0{D}) * 0.25{D} + least(1.0{D}, ln(1.0{D} + blur_score) / ln(801.0{D})) * 0.35{D} + least(1.0{D}, luminance_entropy / 7.5{D}) * 0.30{D}) * 100.0{D}, 6) AS mechanical,
   round(quality, 6) AS quality, round(quality * 0.7{D} + near_white_ratio * 0.3{D}, 6) AS selection, round(visibility, 6) AS visibility, round(washout, 6) AS washout, round({SUI}, 6) AS system_ui, round({SUP}, 6) AS support_ui,
   round({veiled('visibility', f'0.5{D}', 'washout')}, 6) AS veiled FROM q""")
-o("relative_transitions", f"WITH {{fr}}, prof AS ({PROFILE}) SELECT k1, k2, k3, k4, round({BRIGHT}, 9) AS bright, round({DARK}, 9) AS dark FROM fr, prof")
-o("information_scores", f"WITH {{fr}}, info AS ({INFO}) SELECT k1, k2, k3, k4, round(information, 9) AS information FROM info")
-o("reject_classifier", "WITH {fr}, {norm}, {judged} SELECT k1, k2, k3, k4, reason FROM judged")
+o("relative_transitions", f"WITH {{fr}}, prof AS ({PROFILE}) SELECT k1, k2, k3, k4, k5, round({BRIGHT}, 9) AS bright, round({DARK}, 9) AS dark FROM fr, prof")
+o("information_scores", f"WITH {{fr}}, info AS ({INFO}) SELECT k1, k2, k3, k4, k5, round(information, 9) AS information FROM info")
+o("reject_classifier", "WITH {fr}, {norm}, {judged} SELECT k1, k2, k3, k4, k5, reason FROM judged")
 o("reject_breakdown", "WITH {fr}, {norm}, {judged}, dom(reason) AS (VALUES " + ", ".join(f"('{r}')" for r in REASONS) + ") SELECT reason, count(k1) AS n FROM dom LEFT JOIN judged USING (reason) GROUP BY reason")
 o("temporal_dip_filter", """WITH {emb}, {ca}, u AS (SELECT *, list_transform(features, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(features, lambda y: y::DOUBLE * y::DOUBLE)))) AS u, score / 100.0::DOUBLE AS vis FROM ca),
 n AS (SELECT *, lag(u) OVER w AS ub, lead(u) OVER w AS ua, lag(vis) OVER w AS vb, lead(vis) OVER w AS va, lag(is_transition) OVER w AS tb, lead(is_transition) OVER w AS ta FROM u WINDOW w AS (PARTITION BY run ORDER BY ts, key))

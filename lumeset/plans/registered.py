@@ -11,7 +11,7 @@ from lumeset.functions import vectors as V
 from lumeset.operators import allocate, interleave, profile, reject, select, similarity
 from lumeset.sources.tables import candidates, frames, table
 
-KEYS = ["k1", "k2", "k3", "k4"]
+KEYS = ["k1", "k2", "k3", "k4", "k5"]
 COUNT = 6  # outputs of a run
 LIKE = 0.35  # cosine that counts as alike on these tables
 NEAR_BITS = 20  # bits that count as near on these tables

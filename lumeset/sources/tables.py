@@ -12,7 +12,7 @@ from lumeset.functions.vectors import sign_hash
 
 #: Columns of a frame from a row of lineitem
 FRAME = {
-    "k1": "l_orderkey", "k2": "l_partkey", "k3": "l_suppkey", "k4": "l_linenumber",
+    "k1": "l_orderkey", "k2": "l_partkey", "k3": "l_suppkey", "k4": "l_linenumber", "k5": "CAST(round(l_extendedprice * 100.0) AS BIGINT)",
     "brightness": "l_extendedprice - 256.0 * floor(l_extendedprice / 256.0)",
     "contrast": "l_quantity * 1.6",
     "edge_density": "l_discount * 3.0 + l_tax",
