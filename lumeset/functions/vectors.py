@@ -16,8 +16,9 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit vector; all zeros if the norm is under 1e-8."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n < 1e-8, 0.0).otherwise(x.cast("double") / n))
+    # the norm is bound as an element, so that it is not summed again for every component
+    scaled = lambda n: F.transform(v, lambda x: F.when(n < 1e-8, 0.0).otherwise(x.cast("double") / n))
+    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))
 
 
 def sign_hash(v: Column, bits: int = 64) -> Column:

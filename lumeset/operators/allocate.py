@@ -58,9 +58,17 @@ def weighted_counts(sources: DataFrame, run: str = "run") -> DataFrame:
     """run, key, n: ``target`` units of each run shared by highest averages.
 
     sources: run, key, ord, weight, least, most, target (the same in a run). Each key starts with ``least``; the unit that would be its k-th has
-    priority weight / k; ties go to the lower ord. A key holds at most MOST units, which bounds the rows made here.
+    priority weight / k; ties go to the lower ord. Only units over a priority that is low enough for the target are made: it is looked
+    for on a grid, so a run makes little more than ``target`` units.
     """
-    units = sources.where("most > least").select(run, "key", "ord", "weight", "target", F.explode(F.sequence(F.col("least") + 1, "most")).alias("k"))
+    w = F.greatest(F.col("weight"), F.lit(0.001))
+    tops = sources.groupBy(run).agg(F.max(w).alias("top"), F.max("target").alias("wanted"))
+    tried = sources.join(tops, run).select(run, "wanted", "least", "most", w.alias("w"), "top", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("j"))
+    held = F.greatest("least", F.least("most", F.floor(F.col("w") / (F.col("top") * F.pow(F.lit(1.17), -F.col("j"))))))
+    enough = tried.groupBy(run, "j").agg(F.sum(held).alias("c"), F.max("wanted").alias("wanted"), F.max("top").alias("top")).where("c >= wanted")
+    level = enough.groupBy(run).agg(F.min_by(F.col("top") * F.pow(F.lit(1.17), -F.col("j")), "j").alias("level"))
+    last = F.least("most", F.greatest("least", F.coalesce(F.floor(w / F.col("level")) + 1, F.col("most"))))
+    units = sources.join(level, run, "left").withColumn("last", last).where("last > least").select(run, "key", "ord", "weight", "target", F.explode(F.sequence(F.col("least") + 1, "last")).alias("k"))
     rank = F.row_number().over(W.partitionBy(run).orderBy((F.greatest(F.col("weight"), F.lit(0.001)) / F.col("k")).desc(), "ord", "k"))
     start = sources.groupBy(run).agg(F.sum("least").alias("begun"))
     given = units.withColumn("r", rank).join(start, run).where(F.col("r") <= F.col("target") - F.col("begun")).groupBy(run, "key").agg(F.count("*").alias("more"))
