@@ -187,8 +187,10 @@ def with_digests(pages: DataFrame) -> DataFrame:
     made = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"))
     first = made.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     # only digests that repeat go on to the join; the payload itself is not shuffled for it
-    keys = made.where(F.col("n") >= LEAST_REVISIT).select("page_id", "digest").join(first, "digest").where("page_id > first").select(F.col("page_id").alias("again"), "first").distinct()
-    return made.join(keys, made["page_id"] == keys["again"], "left").select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
+    keys = made.where(F.col("n") >= LEAST_REVISIT).select("page_id", "digest").join(first, "digest").where("page_id > first")
+    # a page_id may stand in rows of several payloads, so a row is named by both
+    keys = keys.select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), "first").distinct()
+    return made.join(keys, (made["page_id"] == keys["again"]) & (made["digest"] == keys["again_digest"]), "left").select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
 
 
 def pages_to_archives(pages: DataFrame) -> DataFrame:
@@ -201,10 +203,13 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialise(pages_to_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "archives", **{"parquet.block.size": 16 << 20, "compression": "none"})
     records = read_archives(archives)
     records = materialise(records.withColumn("page_id", F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")))), "records")
-    whole = records.where("record_type = 'response'").select(F.col("page_id").alias("first"), F.col("payload_bytes").alias("whole_bytes"))
-    wanted = records.where("record_type = 'revisit'").select("refers_to").distinct()
-    whole = whole.join(wanted, F.col("first") == F.col("refers_to"), "left_semi")
-    return records.join(whole, F.col("refers_to") == F.col("first"), "left").select("page_id", F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # a response is named by id and digest; repeated rows of one are the same payload
+    whole = records.where("record_type = 'response'").select(F.col("page_id").alias("first"), F.col("payload_digest").alias("whole_digest"), F.col("payload_bytes").alias("whole_bytes"))
+    wanted = records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    whole = whole.join(wanted, (F.col("first") == F.col("refers_to")) & (F.col("whole_digest") == F.col("payload_digest")), "left_semi").dropDuplicates(["first", "whole_digest"])
+    found = records.join(whole, (F.col("refers_to") == F.col("first")) & (F.col("payload_digest") == F.col("whole_digest")), "left")
+    return found.select("page_id", F.coalesce("payload_bytes", "whole_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
 
 
 ORACLE_SQL = """

@@ -157,6 +157,19 @@ def test_archives_round_trip(spark):
     assert warc_zstd.read_archives(warc_zstd.pages_to_archives(pages.limit(0))).count() == 0
 
 
+def test_repeated_pages_equal_sql(spark, tmp_path):
+    import duckdb
+
+    one, two = "<p>" + "a" * 200, "<p>" + "b" * 300
+    rows = [(0, "u", one), (0, "u", one), (1, "u", one), (1, "u", one), (2, "u", one), (2, "u", two), (3, "u", two), (4, "u", two), (4, "u", "short"), (None, "u", one)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc_zstd.op4_warc_zstd(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(warc_zstd.ORACLE_SQL).fetchall()
+    assert len(got) == 9 and collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
 def test_broken_archives_are_told():
     import pandas as pd
 
