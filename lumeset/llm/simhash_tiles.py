@@ -178,11 +178,11 @@ def compare_tiles(large: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of docs (doc_id, text).
+    """doc_id, fp, component_id (smallest doc_id reachable) and root (smallest fp reachable) of docs (doc_id, text).
 
     Null and empty texts have fingerprint 0 and are linked like any others. Rows of one doc_id are documents of their
-    own that share a component only if their fingerprints do; a null doc_id is never a component_id unless it stands alone. An empty
-    table gives an empty result.
+    own that share a component only if their fingerprints do; a null doc_id is never a component_id unless it stands alone. Components that
+    share a smallest doc_id, or have none, differ in their root. An empty table gives an empty result.
     """
     marked = materialise(docs.select(F.col("doc_id").cast("long"), fingerprint_of("text").alias("fp")), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
@@ -190,20 +190,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     # components are over fingerprints; their ids are the smallest doc_id in each
     rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(rooted.join(least, "root").select("fp", "component_id", "root"), "components")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns; of repeated rows of this doc_id, one."""
+    """One document of each component, that with the smallest doc_id (a null one only if there is no other), with all its columns; of repeated rows of this doc_id, one."""
     found = materialise(near_duplicates(docs.select("doc_id", "text"), radius), "found")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy(F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_fp"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least"))
+    kept = least.select(F.col("least.doc_id").alias("_id"), F.col("least.fp").alias("_fp"))
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
-    # some doc_id stands in several rows: the fingerprint tells which of them is meant
+    # some doc_id stands in several rows: the fingerprint, which is in one component only, tells which of them is meant
     marked = docs.select(F.col("doc_id").cast("long").alias("_own"), fingerprint_of("text").alias("_own_fp"), F.struct(*docs.columns).alias("doc"))
-    return marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp"))).dropDuplicates(["_own"]).select("doc.*")
+    return marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp"))).dropDuplicates(["_own_fp"]).select("doc.*")
+
 
 
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

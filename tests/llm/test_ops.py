@@ -299,6 +299,15 @@ def test_simhash(spark, odd, none):
     assert {r.doc_id for r in simhash_tiles.keep_one(once).collect()} == {1, 5, 6, 7}
 
 
+def test_unlike_documents_of_one_id_are_kept(spark):
+    texts = ["one two three four five", "red green blue black white", "sun moon star sky cloud", "iron zinc lead tin gold"]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[3])]
+    kept = simhash_tiles.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter({(None, texts[0]): 1, (None, texts[1]): 1, (7, texts[2]): 1, (7, texts[3]): 1})
+
+
 @pytest.mark.parametrize(("bucket", "tile"), [(16_384, 1024), (4, 2)])
 def test_links_connect_what_is_near(spark, bucket, tile, monkeypatch):
     rng = np.random.default_rng(7)
