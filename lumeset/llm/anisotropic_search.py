@@ -4,7 +4,8 @@ Vectors are quantised in two-dimensional subspaces with 16 centres each, so a co
 learned on a bounded sample under the anisotropic loss, which weighs the part of the residual that is parallel to the vector more than the
 rest, as that part changes large inner products. Every vector is encoded and searched: blocks of queries meet blocks of codes, a table
 of inner products with the centres is summed along the codes, and the best of each block are reranked exactly in
-double precision, with the vectors that the block holds.
+double precision, with the vectors that the block holds. The k-th score among these and a bound on what the codes leave out rule
+rows out; every row that they cannot rule out is reranked too, so the nearest are exact.
 
 What grows with the data is dealt out: a task holds one block of queries and one of vectors, and returns the nearest few of each query.
 """
@@ -27,7 +28,7 @@ SAMPLE = 8192  # rows that codebooks are learned on, at most
 ROUNDS, SWEEPS = 6, 2
 PARALLEL = 4.0  # weight of the parallel residual error against the other
 BLOCK, QUERY_BLOCK = 16_384, 512
-CANDIDATES = 400  # of each query and block, reranked exactly
+CANDIDATES = 400  # of each query and block, reranked first; their k-th score says which others must be
 
 
 def clean(vectors: DataFrame, vec: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
@@ -96,13 +97,21 @@ def learn(x: np.ndarray, centres: int = CENTRES, subspace: int = SUBSPACE, paral
 
 
 def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, row of x, exact score) of the k nearest of each query. Rows of x stand by ascending id, so ties keep the smaller ids."""
+    """(query row, row of x, exact score) of the k nearest of each query. Rows of x stand by ascending id, so ties keep the smaller ids.
+
+    A score is that of the codes plus the query's product with the residual, which is at most the product of their lengths. Rows that
+    may reach the k-th score of the first candidates are all scored in double precision.
+    """
     m, n = len(books), len(x)
     pairs = codes[:, 0 : m - m % 2 : 2].astype(np.intp) * 16 + codes[:, 1::2] if m > 1 else np.zeros((n, 0), np.intp)
     pairs = np.ascontiguousarray(pairs.T)
     keep = min(n, max(candidates, k) + 1)
+    residual, norms = np.empty(n), np.linalg.norm(x, axis=1)
+    for s in range(0, n, 4096):
+        residual[s : s + 4096] = np.linalg.norm(x[s : s + 4096] - books[np.arange(m), codes[s : s + 4096]].reshape(-1, x.shape[1]), axis=1)
     out = []
     for q, (vec, own) in enumerate(zip(queries, query_ids, strict=True)):
+        length = np.linalg.norm(vec)
         table = (books * vec.reshape(m, 1, -1)).sum(2)  # a product with every centre
         both = (table[0 : m - m % 2 : 2, :, None] + table[1::2, None, :]).reshape(-1, 256).astype(np.float32) if m > 1 else None
         rough = np.zeros(n, np.float32)
@@ -110,20 +119,27 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
             rough += both[j][pairs[j]]
         if m % 2:
             rough += table[-1][codes[:, -1]].astype(np.float32)
+        other = ids != own
+        found = np.flatnonzero(other)
         if keep < n:
-            least = np.partition(rough, n - keep)[n - keep]
-            over = np.flatnonzero(rough > least)
-            ties = np.flatnonzero(rough == least)[: keep - len(over)]
-            found = np.sort(np.concatenate([over, ties]))
-        else:
-            found = np.arange(n)
-        found = found[ids[found] != own]
+            first = np.argpartition(rough, n - keep)[n - keep :]
+            first = first[other[first]]
+            if len(first) >= k:
+                least = np.partition((x[first] * vec).sum(1), len(first) - k)[len(first) - k]
+                # rounding: of the sum in single precision, and of the scores in double precision
+                error = (m + 2) * 2.0**-23 * np.abs(table).max(1).sum() + x.shape[1] * 2.0**-50 * length * norms
+                # what is not a number is not ruled out
+                found = np.flatnonzero(other & ~(rough + length * residual + error < least))
+                if len(found) > 2 * keep:  # many: a product by blocks narrows them to what rounding leaves open
+                    near = (x @ vec)[found] if len(found) > n // 4 else x[found] @ vec
+                    found = found[~(near + x.shape[1] * 2.0**-50 * length * norms[found] < least)]
         score = (x[found] * vec).sum(1)
         best = np.argsort(-score, kind="stable")[:k]
         out.append((np.full(len(best), q), found[best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+
 def packed(df: DataFrame, block: str, name: str) -> DataFrame:
     """One row per block: its ids in ascending order and its vectors, as bytes. df: vec_id, vec and the block, of bounded size."""
 
@@ -136,7 +152,7 @@ def packed(df: DataFrame, block: str, name: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int = CANDIDATES, block: int = BLOCK, query_block: int = QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score of the k vectors with the largest inner product found for each query.
+    """query_id, rank, vec_id, score of the k vectors with the largest inner product with each query.
 
     vectors and queries: vec_id, vec as ``clean`` gives them, all of one dimension (raises if they differ). A row of the query's own id
     is no candidate. Repeated ids are rows of their own; ties go to the smaller id. With fewer candidates than k all are returned, with none the

@@ -94,6 +94,23 @@ def test_search_recall_and_ties(spark):
     assert tied[:20] == list(range(101, 121))
 
 
+def test_dense_group_of_near_copies():
+    rng = np.random.default_rng(8)
+    n, dims, k = 16_384, 32, 20
+    x = rng.normal(size=(n, dims))
+    group = rng.permutation(n)[: n // 3]  # a third of a block, noise far below a cell of the codes
+    x[group] = x[group[0]] + 1e-4 * rng.normal(size=(len(group), dims))
+    ids = np.arange(n)
+    asked = np.concatenate([np.sort(group)[-8:], rng.integers(0, n, 8)])
+    books = anisotropic_search.learn(x[rng.permutation(n)[:2048]], rounds=2)
+    codes = anisotropic_search.encode(x, books)
+    at, found, score = anisotropic_search.scan(x[asked], asked, x, ids, codes, books, k, anisotropic_search.CANDIDATES)
+    for q, own in enumerate(asked):
+        exact = (x * x[own]).sum(1)
+        want = [i for i in np.lexsort((ids, -exact)) if i != own][:k]
+        assert found[at == q].tolist() == want and score[at == q].tolist() == exact[want].tolist()
+
+
 def test_search_of_little(spark):
     two = anisotropic_search.clean(spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (21, [1.0, 1.0])], "vec_id long, embedding array<double>"))
     assert sorted((r.query_id, r.vec_id, r["rank"]) for r in anisotropic_search.nearest(two, two.where("vec_id % 20 = 0")).collect()) == [(0, 20, 1), (0, 21, 2), (20, 0, 1), (20, 21, 2)]
