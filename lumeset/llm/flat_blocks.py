@@ -32,9 +32,13 @@ AROUND = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies copyright disqus dialog disclaimer foot footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget complementary contentinfo".split()
 )
 MARKUP = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(?P<raw>{RAW_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S | re.I)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-UNSEEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPLIT_NAMES = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Elements that hold the article or the page itself; their names do not say what stands around it
+WHOLE_TAGS = frozenset("html body main article".split())
+#: Words in a compound name (has-sidebar, no-comments) after which it tells of something else on the page, or of its absence
+ABOUT_OTHERS = frozenset("has have with without no not non hide hides".split())
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "around", "inside", "heading")
 #: Labelled blocks: FEATURES in order, then 1 for article text
@@ -116,6 +120,32 @@ def is_text(tree, row: tuple) -> bool:
     return bool(tree)
 
 
+def attributes_of(rest: str) -> dict[str, str]:
+    """Attributes of a start tag by name in lower case, without a value empty; of one that stands twice the first holds."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), entities.unescape("".join(values)))
+    return found
+
+
+def is_unseen(attributes: dict[str, str]) -> bool:
+    """Whether an element is not shown: a ``hidden`` attribute, aria-hidden of true, or display none in its style."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(UNSHOWN.search(attributes.get("style", "")))
+
+
+def is_around(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the class, id or role of an element names something around an article."""
+    if tag in WHOLE_TAGS:
+        return False
+    for name in " ".join(attributes.get(x, "") for x in ("class", "id", "role")).split():
+        for word in SPLIT_NAMES.split(name):
+            if word.lower() in ABOUT_OTHERS:
+                break
+            if word.lower() in AROUND:
+                return True
+    return False
+
+
 def blocks_of(page: str) -> list[tuple]:
     """(text, words, link density, around, inside, heading) of each block that has text, in page order."""
     found: list[tuple] = []
@@ -168,10 +198,9 @@ def blocks_of(page: str) -> list[tuple]:
                 if stack[k][0] in BLOCK_TAGS:
                     break
         stack.append((tag, tuple(state)))
-        rest = m["rest"]
-        names = {x.lower() for v in NAMED.findall(rest) for x in SPLIT_NAMES.split("".join(v))} if rest else ()
-        state[0] += tag in HIDDEN_TAGS or bool(rest and UNSEEN.search(rest))
-        state[1] += (tag in FRAME_TAGS and not (tag == "header" and state[2])) or not AROUND.isdisjoint(names)
+        attributes = attributes_of(m["rest"]) if m["rest"] else {}
+        state[0] += tag in HIDDEN_TAGS or is_unseen(attributes)
+        state[1] += (tag in FRAME_TAGS and not (tag == "header" and state[2])) or is_around(tag, attributes)
         state[2] += tag in BODY_TAGS
         state[3] += tag in HEADINGS
         state[4] += tag == "a"

@@ -271,6 +271,27 @@ def test_main_text(spark):
     assert flat_blocks.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_attributes_that_only_look_like_hiding():
+    seen = ['class="overflow-hidden"', 'aria-hidden="false"', 'href="/hidden-lakes"', 'title="hidden"', "data-hidden=1", 'style="visibility:visible;x-display:none"', 'alt="style=display:none"', "class='not hidden'"]
+    unseen = ["hidden", 'class="a" HIDDEN=""', "hidden=until-found", 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; display : none"', "style='display:none !important'", "style=display:none"]
+    for given, want in [(x, 0) for x in seen] + [(x, 1) for x in unseen]:
+        for tag in ("div", "a", "span"):
+            assert [b[0] for b in flat_blocks.blocks_of(f"<p>before</p><{tag} {given}>within</{tag}><p>after</p>")].count("within") == 1 - want, given
+
+
+def test_names_of_the_page_are_not_around_it():
+    def around(tag, given):
+        return flat_blocks.blocks_of(f"<{tag} {given}>some words</{tag}>")[0][3]
+
+    for tag, given in [("body", 'class="has-sidebar"'), ("article", 'class="post no-comments tags"'), ("main", "id=content-with-menu"), ("html", 'class="nav"'), ("div", 'class="has-left-sidebar"'), ("div", "id=layoutWithSidebar"), ("div", 'class="without-ads"'), ("div", 'title="menu"'), ("div", 'data-class="menu"')]:
+        assert not around(tag, given), (tag, given)
+    for given in ('class="ad"', 'id="cookie-banner"', "role=navigation", "class='left sideBar sidebar-no-border'", 'class="no-comments sidebar"'):
+        assert around("div", given), given
+    words = "A paragraph with quite a few words of running text that tells about lakes in the north and their fish."
+    page = f'<body class="has-sidebar"><div class="overflow-hidden"><article class="post no-comments tags"><p>{words}</p><p>{words}</p></article></div></body>'
+    assert flat_blocks.main_text(page, flat_blocks.trained_tree()) == f"{words}\n{words}"
+
+
 # --- 7 ---
 
 
