@@ -34,6 +34,7 @@ from lumeset.llm.common import materialise
 
 LENGTH = 400
 HEAD = 128  # bytes from an anchor on that lie in every window that names it
+PASSAGE = {"length": 200, "head": 64, "least_words": 50}  # for keep_rest: fifty words of three letters and a space each are as long
 GRAM = 8  # bytes that are hashed to choose anchors
 CHUNK = 30_000  # suffixes that a task sorts at once
 BLOCK = 1 << 16  # positions that anchors are chosen among at once
@@ -336,8 +337,19 @@ def repeats(pieces: DataFrame, length: int = LENGTH, head: int = HEAD, chunk: in
 RESULT_SCHEMA = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def cut_out(texts: DataFrame, keep_text: bool, length: int = LENGTH) -> DataFrame:
-    """RESULT_SCHEMA of texts (t1, t2, text, anchors, runs): runs are (start, at, least, most) of repeated starts."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of spans that overlap or touch, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def cut_out(texts: DataFrame, keep_text: bool, length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """RESULT_SCHEMA of texts (t1, t2, text, anchors, runs): runs are (start, at, least, most) of repeated starts; spans of fewer words than least_words stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -347,16 +359,11 @@ def cut_out(texts: DataFrame, keep_text: bool, length: int = LENGTH) -> DataFram
                 spans = [(a["pos"], a["pos"] + length) for a in anchors if a["whole"]]
                 spans += [(r["start"] + r["at"] - r["most"], r["start"] + r["at"] - r["least"] + length) for r in (runs if runs is not None else ())]
                 kept, at, removed, n = [], 0, 0, 0
-                end = -1
-                for s, e in sorted(spans):
-                    if s > end:
-                        kept.append(raw[at:s])
-                        n += 1
-                        end, at = e, e
-                        removed += e - s
-                    elif e > end:
-                        removed += e - end
-                        end = at = e
+                for s, e in merged(spans):
+                    if least_words and len(raw[s:e].split()) < least_words:
+                        continue
+                    kept.append(raw[at:s])
+                    n, removed, at = n + 1, removed + e - s, e
                 kept.append(raw[at:])
                 rest = b"".join(kept)
                 rows.append((t1, t2, removed, n, hashlib.sha256(rest).hexdigest(), rest if keep_text and n else None))
@@ -365,12 +372,12 @@ def cut_out(texts: DataFrame, keep_text: bool, length: int = LENGTH) -> DataFram
     return texts.mapInPandas(run, RESULT_SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, head: int = HEAD, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, head: int = HEAD, chunk: int = CHUNK, least_words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and sha256 of the whole text, kept) of docs (doc_id, text).
 
     Null and empty texts have no bytes; texts shorter than ``length`` keep all. Equal texts of that length are removed whole. Repeated rows
     count as documents of their own. kept is null where nothing is removed or keep_text is false; it may
-    break characters, as the unit is the byte.
+    break characters, as the unit is the byte. least_words: removed runs of fewer words stay.
     """
     sketches = materialise(sketch(docs, length, head), "sketches", compression="zstd")
     meta = sketches.select("doc_id", "t1", "t2", "n_bytes", "sha256")
@@ -385,31 +392,41 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
     distinct = pieces.groupBy("f1", "f2").agg(F.sum("docs").alias("copies"), *(F.first(c, ignorenulls=True).alias(c) for c in ("at", "few", "many", "piece")))
     found = repeats(distinct, length, head, chunk)
     runs = pieces.where("open").select("t1", "t2", "start", "at", "f1", "f2").join(found, ["f1", "f2"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "at", "least", "most")).alias("runs"))
-    cut = materialise(cut_out(texts.join(runs, ["t1", "t2"], "left"), keep_text, length), "cut", compression="zstd")
+    cut = materialise(cut_out(texts.join(runs, ["t1", "t2"], "left"), keep_text, length, least_words), "cut", compression="zstd")
     return meta.join(cut, ["t1", "t2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "sha256", "kept",
     )
 
 
-def keep_rest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with all their columns, repeated passages cut out of ``text`` and ``n_chars`` set anew if there is such a column.
+def with_rest(docs: DataFrame, length: int = LENGTH, head: int = HEAD, least_words: int = 0) -> DataFrame:
+    """``doc`` (a row of docs as a struct), n_bytes, n_removed, n_spans, kept_sha256 and ``rest``: what stays of the text, null where nothing is removed.
 
-    Bytes of a character that is cut in two are dropped. No document goes, even if nothing is left of its text.
+    Bytes of a character that is cut in two are dropped from ``rest``, not from the digest.
     """
-    found = remove_repeats(docs.select("doc_id", "text"), keep_text=True, length=length)
-    changed = found.where("n_spans > 0").select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha"), "kept").dropDuplicates(["_id", "_sha"])
+    found = remove_repeats(docs.select("doc_id", "text"), keep_text=True, length=length, head=head, least_words=least_words).where("n_spans > 0")
 
     @F.pandas_udf("string")
     def decoded(kept: pd.Series) -> pd.Series:
         return kept.map(lambda x: None if x is None else x.decode(errors="ignore"))
 
-    changed = changed.select("_id", "_sha", decoded("kept").alias("_rest"))
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    doc = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("_own"), sha.alias("_own_sha"))
+    changed = found.select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha"), "n_removed", "n_spans", "kept_sha256", decoded("kept").alias("rest")).dropDuplicates(["_id", "_sha"])
+    raw = F.coalesce("text", F.lit(""))
+    doc = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("_own"), F.sha2(raw.cast("binary"), 256).alias("_own_sha"), F.octet_length(raw).cast("long").alias("n_bytes"))
     joined = doc.join(changed, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left")
-    text = F.coalesce("_rest", "doc.text")
-    new = {"text": text, "n_chars": F.when(F.col("_rest").isNull(), F.col("doc.n_chars")).otherwise(F.length("_rest").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {"text": text}
+    none = F.lit(0).cast("long")
+    return joined.select("doc", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_own_sha").alias("kept_sha256"), "rest")
+
+
+def keep_rest(docs: DataFrame, length: int = PASSAGE["length"], head: int = PASSAGE["head"], least_words: int = PASSAGE["least_words"]) -> DataFrame:
+    """The documents with all their columns, repeated passages cut out of ``text`` and ``n_chars`` set anew if there is such a column.
+
+    A passage is a run of bytes covered by repeated strings of ``length`` bytes, with ``least_words`` words or more. No document goes, even if nothing is left of its text.
+    """
+    joined = with_rest(docs, length, head, least_words)
+    new = {"text": F.coalesce("rest", "doc.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("rest").isNull(), F.col("doc.n_chars")).otherwise(F.length("rest").cast(dict(docs.dtypes)["n_chars"]))
     return joined.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
@@ -432,6 +449,6 @@ def only_own(fetched: DataFrame) -> DataFrame:
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed of every document, and the digest of what stays."""
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is removed of every document, the digest of what stays, and what stays as text."""
+    found = with_rest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("rest", "doc.text").alias("text"))

@@ -478,6 +478,23 @@ def test_rest_of_texts(spark, odd, none):
     assert suffix_repeats.keep_rest(odd).count() == len(ODD) and suffix_repeats.keep_rest(none).count() == 0
 
 
+def test_passages_of_fifty_words_go(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8)))) for _ in range(n))
+    planted, short = [prose(51) for _ in range(8)], [prose(40) for _ in range(4)]
+    docs = [(i, f"{prose(30)}\n{planted[i % 8]}\n{prose(20)}" if i < 24 else f"{prose(60)} {short[i % 4]} {prose(5)}", "en", "a", 1) for i in range(60)]
+    rest = {r.doc_id: r.text for r in suffix_repeats.keep_rest(spark.createDataFrame(docs, DOCS)).collect()}
+    assert all(planted[i % 8] not in rest[i] and len(rest[i].split()) in (49, 50, 51) for i in range(24))  # a word beside the passage may share letters with it
+    assert all(rest[i] == docs[i][1] for i in range(24, 60))
+
+
+def test_rest_is_what_the_digest_tells(spark, tmp_path, odd):
+    odd.union(spark.createDataFrame([(8, "ä" * 300, "en", "a", 1), (9, "ä" * 200 + "x", "en", "a", 1)], DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = suffix_repeats.op10_suffix_repeats(spark, str(tmp_path)).collect()
+    assert len(rows) == len(ODD) + 2 and {r.doc_id for r in rows if r.n_removed} == {5, 8, 9}
+    assert all(hashlib.sha256((r.text or "").encode()).hexdigest() == r.kept_sha256 for r in rows)
+
+
 # --- shared ---
 
 
