@@ -437,9 +437,57 @@ def test_urls(spark):
 
 def test_reputation_shrinks_to_the_domain(spark):
     rows = [("bad1.spam.net", 30, 30), ("bad2.spam.net", 30, 29), ("new.spam.net", 0, 0), ("good.fine.net", 60, 1), ("few.fine.net", 1, 1), ("", 0, 0)]
-    got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, labelled long, bad long")).collect()}
-    assert got["bad1.spam.net"].bad_low > 0.5 and got["few.fine.net"].bad_low < 0.5 and got["new.spam.net"].bad_rate > got["few.fine.net"].prior
+    table = spark.createDataFrame(rows, "host string, labelled long, bad long")
+    got = {r.host: r for r in url_reputation.host_reputation(table).collect()}
+    assert got["bad1.spam.net"].over > 0.95 and got["few.fine.net"].over < 0.5 and got["new.spam.net"].bad_rate > got["few.fine.net"].prior
     assert len(got) == 6
+    assert url_reputation.host_reputation(table.limit(0)).count() == 0
+
+
+def test_strength_is_fitted(spark):
+    def strength(alpha, beta):
+        rng = np.random.default_rng(4)
+        rows = [(f"h{i}.d{i % 5}.net", 40, int(rng.binomial(40, rng.beta(alpha, beta)))) for i in range(1500)]
+        return url_reputation.host_reputation(spark.createDataFrame(rows, "host string, labelled long, bad long")).first().strength
+
+    assert 3.5 < strength(2.0, 3.0) < 6.5 and 70 < strength(40.0, 60.0) < 140
+
+
+def test_beta_tail(spark):
+    from math import comb
+
+    shapes = [(a, b) for a in (1, 2, 7, 40, 300) for b in (1, 3, 11, 60, 250)]
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in shapes], "a double, b double")
+    got = {(r.a, r.b): r.p for r in rows.select("a", "b", url_reputation.share_over(F.col("a"), F.col("b"), 0.5).alias("p")).collect()}
+    for a, b in shapes:  # with whole shapes a beta tail is a binomial sum
+        n = a + b - 1
+        assert abs(got[a, b] - sum(comb(n, j) for j in range(a)) / 2**n) < 1e-4
+
+
+def test_hosts_are_blocked_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    rate = {"spam.net": 0.9, "fine.net": 0.1, "mixed.co.uk": 0.5, "other.io": 0.3}
+    pages, labels = [], []
+    for i in range(6000):
+        domain = list(rate)[rng.integers(4)]
+        sub = int(rng.integers(12))
+        pages.append((i, f"http://h{sub}.{domain}/p{i}"))
+        if rng.random() < 0.7:
+            bad = rng.random() < (rate[domain] if domain != "mixed.co.uk" else (0.95 if sub % 2 else 0.05))
+            labels.append((i, int(not bad), 0))
+    pages += [(1, "http://h1.spam.net/again"), (1, pages[1][1]), (None, "http://h1.spam.net/"), (7, None), (8, "http://a.org/")]
+    labels += [(2, None, None), (None, 0, 1), (3, 0, 1), (3, 1, 0)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = list(map(tuple, url_reputation.op9_url_reputation(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert collections.Counter(got) == collections.Counter(con.execute(url_reputation.ORACLE_SQL).fetchall())
+    blocked = collections.Counter(r[1].split(".", 1)[1] for r in got if r[4] == "block" and r[3] is None)
+    assert blocked["spam.net"] > 1400 and 600 < blocked["mixed.co.uk"] < 900 and set(blocked) == {"spam.net", "mixed.co.uk"}
 
 
 # --- 10 ---
