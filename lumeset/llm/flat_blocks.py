@@ -2,7 +2,7 @@
 
 A page is read once as a flat run of blocks: block-level tags end a block, inline tags do not. Each block
 has its word count and link density, those of the blocks before and after, and what encloses it. A
-decision tree, grown here from the small labelled table below, says which blocks belong to the article.
+decision tree, grown from a small labelled table of pages (``labelled_pages``), says which blocks belong to the article.
 Pages are independent, so there is no shuffle at all.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumeset.llm.labelled_pages import labelled_pages
+
 #: Fixed values of HTML: elements that end a text block, those whose content is not text, and those without an end tag
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -41,50 +43,7 @@ WHOLE_TAGS = frozenset("html body main article".split())
 ABOUT_OTHERS = frozenset("has have with without no not non hide hides".split())
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "around", "inside", "heading")
-#: Labelled blocks: FEATURES in order, then 1 for article text
-LABELLED = (
-    # running text, between other running text
-    (60, 0.0, 45, 0.0, 80, 0.0, 0, 1, 0, 1), (25, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 1), (120, 0.05, 12, 0.0, 90, 0.0, 0, 1, 0, 1),
-    (45, 0.1, 100, 0.0, 0, 0.0, 0, 1, 0, 1), (8, 0.0, 70, 0.0, 65, 0.0, 0, 1, 0, 1), (3, 0.0, 70, 0.0, 40, 0.0, 0, 1, 0, 1),
-    (14, 0.0, 3, 0.0, 90, 0.0, 0, 1, 1, 1), (6, 0.0, 9, 0.0, 14, 0.0, 0, 1, 1, 1), (2, 0.0, 4, 0.0, 2, 0.0, 0, 1, 1, 1),
-    (5, 0.0, 6, 0.0, 12, 0.0, 0, 1, 0, 1), (1, 0.0, 12, 0.0, 14, 0.0, 0, 1, 0, 1), (20, 0.4, 60, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (9, 0.6, 60, 0.0, 50, 0.1, 0, 1, 0, 1), (12, 1.0, 80, 0.0, 70, 0.0, 0, 1, 0, 1), (4, 1.0, 30, 0.0, 40, 0.0, 0, 1, 0, 1),
-    # running text and headings next to menus and link lists
-    (80, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0, 1), (40, 0.0, 3, 1.0, 20, 0.0, 0, 1, 0, 1), (3, 0.0, 2, 1.0, 40, 0.0, 0, 1, 1, 1), (1, 0.0, 1, 1.0, 60, 0.0, 0, 1, 1, 1),
-    (12, 0.0, 2, 1.0, 90, 0.0, 0, 1, 0, 1), (5, 0.0, 1, 1.0, 30, 0.0, 0, 1, 0, 1), (30, 0.1, 4, 1.0, 4, 1.0, 0, 1, 0, 1), (9, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1),
-    (90, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, 1), (45, 0.05, 3, 1.0, 4, 1.0, 0, 0, 0, 1), (60, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 1),
-    # without an article or main element around it
-    (70, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (35, 0.05, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (40, 0.0, 5, 0.0, 3, 0.5, 0, 0, 0, 1),
-    (18, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 1), (8, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1), (9, 0.0, 3, 1.0, 55, 0.0, 0, 0, 1, 1),
-    (6, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (16, 0.1, 80, 0.0, 30, 0.0, 0, 0, 0, 1),
-    # link lists inside an article
-    (3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 1, 0, 0), (8, 1.0, 7, 1.0, 0, 0.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 0),
-    # menus and link lists
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0), (12, 0.9, 4, 1.0, 8, 1.0, 0, 0, 0, 0), (30, 0.8, 10, 1.0, 12, 1.0, 0, 0, 0, 0),
-    # adverts, notices, footers, sidebars and comments, long ones too
-    (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (5, 0.0, 3, 1.0, 8, 0.0, 1, 0, 0, 0), (14, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0), (45, 0.0, 60, 0.0, 50, 0.0, 1, 0, 0, 0),
-    (70, 0.0, 30, 0.0, 20, 0.0, 1, 1, 0, 0), (6, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0), (120, 0.0, 90, 0.0, 100, 0.0, 1, 0, 0, 0), (3, 0.0, 9, 0.0, 60, 0.0, 1, 1, 1, 0),
-    (4, 0.0, 2, 1.0, 5, 0.5, 0, 0, 0, 0), (7, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (6, 0.2, 3, 0.5, 0, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0), (10, 0.5, 5, 1.0, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 8, 0.0, 4, 0.0, 0, 0, 0, 0),
-)
-DEPTH, LEAST_LEAF = 6, 4
-
-
-def with_neighbours_varied(table: np.ndarray) -> np.ndarray:
-    """The labelled blocks again with their neighbours swapped, absent, shorter and longer, which does not change what they are."""
-    out = [table]
-    swapped = table.copy()
-    swapped[:, 2:6] = table[:, [4, 5, 2, 3]]
-    for gone in ([2, 3], [4, 5]):
-        less = table.copy()
-        less[:, gone] = 0
-        out.append(less)
-    for times in (0.2, 4.0):
-        scaled = table.copy()
-        scaled[:, [2, 4]] = np.round(table[:, [2, 4]] * times)
-        out.append(scaled)
-    return np.concatenate([*out, swapped])
+DEPTH, LEAST_LEAF = 8, 6
 
 
 def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH):
@@ -92,26 +51,41 @@ def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH):
     share = labels.mean()
     if depth == 0 or share in (0.0, 1.0):
         return int(share > 0.5)
-    best = (-1e-9, None, None)
+    best = (0.0, None, None)
     for f in range(rows.shape[1]):
-        values = np.unique(rows[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = rows[:, f] <= t
-            a, b = labels[low], labels[~low]
-            if min(len(a), len(b)) < LEAST_LEAF:
-                continue
-            gain = share * (1 - share) - (len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())) / len(labels)
-            if gain > best[0]:
-                best = (gain, f, float(t))
+        order = np.argsort(rows[:, f], kind="stable")
+        v, ones = rows[order, f], np.cumsum(labels[order])
+        cut = np.flatnonzero(v[1:] > v[:-1])
+        n = cut + 1
+        cut, n = cut[(n >= LEAST_LEAF) & (len(v) - n >= LEAST_LEAF)], n[(n >= LEAST_LEAF) & (len(v) - n >= LEAST_LEAF)]
+        if not len(cut):
+            continue
+        low, high = ones[cut] / n, (ones[-1] - ones[cut]) / (len(v) - n)
+        gain = share * (1 - share) - (n * low * (1 - low) + (len(v) - n) * high * (1 - high)) / len(v)
+        k = int(gain.argmax())
+        if gain[k] > best[0]:
+            best = (float(gain[k]), f, float(v[cut[k]] + v[cut[k] + 1]) / 2)
     if best[1] is None:
         return int(share > 0.5)
     low = rows[:, best[1]] <= best[2]
     return best[1], best[2], grow_tree(rows[low], labels[low], depth - 1), grow_tree(rows[~low], labels[~low], depth - 1)
 
 
-def trained_tree(labelled=LABELLED, depth: int = DEPTH):
-    table = with_neighbours_varied(np.asarray(labelled, float))
-    return grow_tree(table[:, :-1], table[:, -1], depth)
+def labelled_blocks(pages: list[tuple[str, list[tuple[str, int]]]]) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and labels of the blocks of labelled pages (html, [(text, label)]); raises if a page's blocks are not those labelled."""
+    rows, labels = [], []
+    for html, blocks in pages:
+        found = blocks_of(html)
+        if [b[0] for b in found] != [text for text, _ in blocks]:
+            raise ValueError("labels that are not of the page's blocks")
+        rows += features_of(found)
+        labels += [label for _, label in blocks]
+    return np.asarray(rows, float), np.asarray(labels)
+
+
+def trained_tree(pages: list[tuple[str, list[tuple[str, int]]]] | None = None, depth: int = DEPTH):
+    """The tree of labelled pages, those of ``labelled_pages`` if none are given."""
+    return grow_tree(*labelled_blocks(labelled_pages() if pages is None else pages), depth)
 
 
 def is_text(tree, row: tuple) -> bool:
@@ -211,20 +185,25 @@ def blocks_of(page: str) -> list[tuple]:
     return found
 
 
+def features_of(blocks: list[tuple]) -> list[tuple]:
+    """FEATURES of each block of a page."""
+    none = ("", 0, 0.0, 0, 0, 0)
+    padded = [none, *blocks, none]
+    return [(b[1], b[2], before[1], before[2], after[1], after[2], *b[3:]) for before, b, after in zip(padded, blocks, padded[2:], strict=False)]
+
+
 def main_text(page: str, tree) -> str:
     """Article blocks of a page, joined by one newline; empty if there is none."""
     blocks = blocks_of(page)
-    none = ("", 0, 0.0, 0, 0, 0)
-    kept = []
-    for k, (text, n, density, around, inside, heading) in enumerate(blocks):
-        before, after = blocks[k - 1] if k else none, blocks[k + 1] if k + 1 < len(blocks) else none
-        if is_text(tree, (n, density, before[1], before[2], after[1], after[2], around, inside, heading)):
-            kept.append(text)
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, row in zip(blocks, features_of(blocks), strict=True) if is_text(tree, row))
+
 
+def extract_text(pages: DataFrame, labelled: list[tuple[str, list[tuple[str, int]]]] | None = None) -> DataFrame:
+    """page_id, url, text, n_chars of pages (page_id, url, html).
 
-def extract_text(pages: DataFrame, labelled=LABELLED) -> DataFrame:
-    """page_id, url, text, n_chars of pages (page_id, url, html). Null and empty html give an empty text; repeated rows are extracted each; the whole page is read whatever its length."""
+    Null and empty html give an empty text; repeated rows are extracted each; the whole page is read whatever its length; other columns
+    of pages are ignored, so names cannot clash.
+    """
     tree = trained_tree(labelled)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

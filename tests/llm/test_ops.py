@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import rows_of
-from lumeset.llm import anisotropic_search, best_fit_packing, catalog, common, flat_blocks, graph, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
+from lumeset.llm import anisotropic_search, best_fit_packing, catalog, common, flat_blocks, graph, labelled_pages, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -289,6 +289,32 @@ def test_main_text(spark):
     assert flat_blocks.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_held_out_pages(spark):
+    """Pages with menus, notices, sidebars, adverts, related links, comments and footers that the tree was not grown from."""
+    tree = flat_blocks.trained_tree()
+    for named, least in ((labelled_pages.NAMED, 0.99), (0.0, 0.98)):
+        rows, labels = flat_blocks.labelled_blocks(labelled_pages.labelled_pages(150, seed=99, named=named))
+        said = np.array([flat_blocks.is_text(tree, tuple(r)) for r in rows])
+        assert (said == labels).mean() > least and 0.6 < 1 - labels.mean() < 0.75
+    x, y = flat_blocks.labelled_blocks(labelled_pages.labelled_pages())
+    x[:, 2:6] = 0  # without the neighbours
+    blind = flat_blocks.grow_tree(x, y)
+    rows[:, 2:6] = 0
+    assert (np.array([flat_blocks.is_text(blind, tuple(r)) for r in rows]) == labels).mean() < (said == labels).mean() - 0.02
+    held = labelled_pages.labelled_pages(60, seed=77)
+    table = spark.createDataFrame([(i, "u", h, "x", 5, 1) for i, (h, _) in enumerate(held)], "page_id long, url string, html string, text string, n_chars int, words int")  # names that clash
+    got = {r.page_id: r for r in flat_blocks.extract_text(table).collect()}
+    wrong = sum(got[i].text != "\n".join(t for t, label in blocks if label) for i, (_, blocks) in enumerate(held))
+    assert len(got) == 60 and wrong <= 12 and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
+def test_very_long_page(spark):
+    words = "A paragraph with quite a few words of running text that tells about lakes in the north and their fish."
+    html = f"<nav><a href=x>Home</a></nav><article>{f'<p>{words}</p>' * 30_000}</article><div class=ad>Buy it</div>"
+    (row,) = flat_blocks.extract_text(spark.createDataFrame([(1, None, html)], "page_id long, url string, html string")).collect()
+    assert row.text == "\n".join([words] * 30_000) and row.url is None
+
+
 def test_attributes_that_only_look_like_hiding():
     seen = ['class="overflow-hidden"', 'aria-hidden="false"', 'href="/hidden-lakes"', 'title="hidden"', "data-hidden=1", 'style="visibility:visible;x-display:none"', 'alt="style=display:none"', "class='not hidden'"]
     unseen = ["hidden", 'class="a" HIDDEN=""', "hidden=until-found", 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; display : none"', "style='display:none !important'", "style=display:none"]
