@@ -21,9 +21,27 @@ ROW_OVERHEAD = 16  # bytes that a record takes besides its text
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, before long"
 
 
-def to_slots(df: DataFrame, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """Add ``virtual_slot``; a null key goes to one fixed slot, repeated keys to the same."""
-    return df.withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
+def to_slots(df: DataFrame, *key: str, slots: int = SLOTS) -> DataFrame:
+    """Add ``virtual_slot``; equal keys go to the same slot, null ones too."""
+    return df.withColumn("virtual_slot", F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int"))
+
+
+def split_slots(df: DataFrame, sizes: np.ndarray, rows: np.ndarray, shards: int, slots: int) -> tuple[DataFrame, int]:
+    """Deal the rows of slots that hold more than an eighth of a shard's share to further slots by ``row``, and the number of slots then.
+
+    Such a slot holds one record repeated many times, or a very large one. There are at most 16 further slots a shard.
+    """
+    limit = max(1, int(sizes.sum()) // (8 * shards))
+    split, at = [], slots
+    for s in np.flatnonzero((sizes > limit) & (rows > 1)).tolist():
+        parts = min(int(rows[s]), -(-int(sizes[s]) // limit))
+        split += [(s, at, parts)]
+        at += parts
+    if not split:
+        return df, slots
+    first, parts = (F.create_map(*(F.lit(x) for row in split for x in (row[0], row[k]))) for k in (1, 2))
+    further = (first[F.col("virtual_slot")] + F.pmod("row", parts[F.col("virtual_slot")].cast("long"))).cast("int")
+    return df.withColumn("virtual_slot", F.coalesce(further, "virtual_slot")), at
 
 
 def slot_totals(df: DataFrame, size: str = "size", slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +101,8 @@ def map_rows(version: int, shard_of: np.ndarray, sizes: np.ndarray, rows: np.nda
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """Deal records to shards whose bytes are nearly equal.
 
-    docs: doc_id, text. Null and empty texts take the row overhead only. Shards can differ by a slot at most, so a
+    docs: doc_id, text; other columns are ignored. Null and empty texts take the row overhead only. A record's slot follows from its id, size and
+    checksum; slots that hold much more than others (a record that repeats) are split. Shards can differ by a slot at most, so a
     record larger than an equal share still fills a shard of its own. Returns (records, map): the records with size,
     text_crc32, virtual_slot, shard and place (gapless from 0 in each shard); the map with both its versions.
     """
@@ -92,15 +111,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    sized = materialise(to_slots(sized, slots=slots), "sized")
+    sized = to_slots(sized, "doc_id", "size", "text_crc32", slots=slots).withColumn("row", F.monotonically_increasing_id())
+    sized = materialise(sized, "sized")  # so that row numbers stay
     sizes, rows = slot_totals(sized, slots=slots)
+    sized, all_slots = split_slots(sized, sizes, rows, shards, slots)
+    if all_slots > slots:
+        slots = all_slots
+        sizes, rows = slot_totals(sized, slots=slots)
     first = first_map(slots, shards)
     edited = rebalance(first, sizes, shards)
     table = materialise(spark.createDataFrame(map_rows(1, first, sizes, rows) + map_rows(2, edited, sizes, rows), MAP_SCHEMA), "slot_map")
     current = table.where("version = 2").select(F.col("slot").alias("virtual_slot"), "shard", "before")
-    placed = sized.join(F.broadcast(current), "virtual_slot")  # as many rows as slots, a constant
+    placed = sized.join(F.broadcast(current), "virtual_slot")  # as many rows as slots, at most a constant and 16 a shard
     rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32"))
-    return placed.withColumn("place", F.col("before") + rank - 1).drop("before"), table
+    return placed.withColumn("place", F.col("before") + rank - 1).drop("before", "row"), table
 
 
 def op1_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

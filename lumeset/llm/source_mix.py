@@ -50,8 +50,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed:
     empty result. Returns the three columns, source_size, target and copies, and ``doc`` if docs has a column of that name.
     """
     extra = [c for c in docs.columns if c == "doc"]
-    # size buckets: bit length and the three bits after the first, so an eighth wide at most
-    bucket = F.length(F.bin("size")) * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")
+    # size buckets: bit length and the six bits after the first, so a 64th wide at most, and single sizes up to 127
+    bucket = F.length(F.bin("size")) * 64 + F.expr("shiftright(size, greatest(length(bin(size)) - 7, 0))")
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     counted = docs if counted is None else counted
     n_salts = counted.agg(F.greatest(F.lit(LEAST_SALTS), F.ceil(F.count("*") / ROWS_A_SALT)).cast("long").alias("salts"))
@@ -110,7 +110,7 @@ src AS (
   SELECT source, source_size, least(source_size * 3.0::DOUBLE, weight * lv.level) AS target,
     ('0x' || substr(md5('mix-1|' || coalesce(source, '')), 1, 5))::BIGINT::DOUBLE / 1048576.0::DOUBLE AS u FROM s3, lv),
 dealt AS (
-  SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) AS bucket,
+  SELECT *, length(bin(size)) * 64 + (size >> greatest(length(bin(size)) - 7, 0)) AS bucket,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(16, ceil(count(*) / 1000000.0))::BIGINT FROM docs) AS salt FROM docs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, salt, size, doc_id) AS pos FROM dealt),
 c AS (

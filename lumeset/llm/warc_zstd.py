@@ -23,7 +23,7 @@ from lumeset.llm.common import materialise
 #: Fixed values of the formats
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ID_PREFIX = "urn:page:"
+ID_PREFIX, NO_ID = "urn:page:", "none"
 
 LEAST_REVISIT = 100  # bytes; smaller payloads are always kept
 ARCHIVE_BYTES = 4 << 20  # of compressed records, after which an archive is closed
@@ -32,12 +32,12 @@ ARCHIVE_SCHEMA = "path string, content binary"
 RECORD_SCHEMA = "path string, frame int, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, error string"
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit carries the response's header block but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
     kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ID_PREFIX}{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(url.split())}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ID_PREFIX}{NO_ID if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(url.split())}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{ID_PREFIX}{refers_to}>"]
     head.append(f"Content-Length: {len(block)}")
@@ -54,7 +54,7 @@ def train_dictionary(sample: list[bytes]) -> bytes:
 
 def write_archives(batches: Iterator[pd.DataFrame], archive_bytes: int = ARCHIVE_BYTES) -> Iterator[pd.DataFrame]:
     """mapInPandas body: rows (page_id, url, html, digest, refers_to) to archives."""
-    records = (record_bytes(int(i), u or "", (h or "").encode(), d, None if pd.isna(r) else int(r)) for b in batches for i, u, h, d, r in b.itertuples(index=False))
+    records = (record_bytes(None if pd.isna(i) else int(i), u or "", (h or "").encode(), d, None if pd.isna(r) else int(r)) for b in batches for i, u, h, d, r in b.itertuples(index=False))
     sample, size = [], 0
     for r in records:
         sample.append(r)
@@ -118,7 +118,7 @@ def parse_record(raw: bytes) -> dict:
             raise ValueError(f"no {need}")
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise ValueError("content length differs")
-    number = lambda x: int(x.strip("<>").removeprefix(ID_PREFIX))
+    number = lambda x: None if (name := x.strip("<>").removeprefix(ID_PREFIX)) == NO_ID else int(name)
     out = {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri", ""), "record_type": fields["warc-type"], "refers_to": None, "payload_bytes": None}
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     http, found, payload = rest[:-4].partition(b"\r\n\r\n")
@@ -185,17 +185,21 @@ def with_digests(pages: DataFrame) -> DataFrame:
     """Add digest (lower-case hex SHA-256 of the payload) and refers_to (smallest page_id of an equal earlier payload, else null)."""
     html = F.coalesce("html", F.lit(""))
     made = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"))
-    first = made.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    first = made.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
     # only digests that repeat go on to the join; the payload itself is not shuffled for it
-    keys = made.where(F.col("n") >= LEAST_REVISIT).select("page_id", "digest").join(first, "digest").where("page_id > first")
+    keys = made.where(F.col("n") >= LEAST_REVISIT).select("page_id", "digest").join(first, "digest").where("page_id is null or page_id > first")
     # a page_id may stand in rows of several payloads, so a row is named by both
     keys = keys.select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), "first").distinct()
-    return made.join(keys, (made["page_id"] == keys["again"]) & (made["digest"] == keys["again_digest"]), "left").select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
+    return made.join(keys, made["page_id"].eqNullSafe(keys["again"]) & (made["digest"] == keys["again_digest"]), "left").select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
 
 
 def pages_to_archives(pages: DataFrame) -> DataFrame:
-    """Archives of pages (page_id, url, html). Null html is an empty payload, a null url an empty one; rows of null page_id are left out, as a record must have an id."""
-    return with_digests(pages.select("page_id", "url", "html").where("page_id is not null")).mapInPandas(write_archives, ARCHIVE_SCHEMA)
+    """Archives of pages (page_id, url, html); other columns are ignored.
+
+    Null html is an empty payload, a null url an empty one. A row of null page_id gets a record without a number; it is a revisit if its payload is that
+    of a numbered page, and no record refers to it. Repeated rows get a record each.
+    """
+    return with_digests(pages.select("page_id", "url", "html")).mapInPandas(write_archives, ARCHIVE_SCHEMA)
 
 
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +217,11 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 m AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
         min(page_id) OVER (PARTITION BY sha256(h)) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND coalesce(page_id > first, first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND coalesce(page_id > first, first IS NOT NULL) THEN first END AS refers_to
 FROM m
 """
