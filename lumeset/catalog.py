@@ -1,8 +1,9 @@
 """Registered queries and their DuckDB counterparts."""
 
-from lumeset.plans.oracles import ORACLES
-from lumeset.plans.registered import QUERIES
+from lumeset.plans import oracles, registered, resumed
 
+QUERIES = registered.QUERIES | resumed.QUERIES
+ORACLES = oracles.ORACLES | resumed.ORACLES
 FLAGSHIP = "diverse_topk"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -14,6 +14,13 @@ FAMILY_PHRASES = {
     "menu": ("メニュー画面", "装備画面", "設定画面", "ステータス画面", "settings screen"),
 }
 ROLES = ("ordinary", "cinematic", "recurring_gameplay")
+#: What follows a title, the first that is found counts; white space and digits of all scripts
+TITLE_ENDS = (r"(?iU)\s+part\s*\d+.*$", r"(?iU)\s+#\d+.*$", r"(?iU)\s+パート\s*\d+.*$")
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_scene(scene: Column) -> Column:
@@ -23,7 +30,7 @@ def normalize_scene(scene: Column) -> Column:
 
 
 def screen_family(scene: Column) -> Column:
-    name = F.lower(F.trim(scene))
+    name = F.lower(strip(scene))
     out = F.lit("content")
     for family, phrases in reversed(FAMILY_PHRASES.items()):
         found = F.lit(False)
@@ -37,17 +44,15 @@ def screen_family(scene: Column) -> Column:
 
 def role(value: Column) -> Column:
     """A known role, else ordinary."""
-    return F.when(F.trim(value).isin(*ROLES), F.trim(value)).otherwise("ordinary")
+    return F.when(strip(value).isin(*ROLES), strip(value)).otherwise("ordinary")
 
 
 def infer_title(stem: Column) -> Column:
     """The stem without the first suffix of the kinds "Part n", "#n", "パート n" that it has; never empty."""
-    title = F.trim(stem)
-    out = title
-    for pattern in (r"(?i)\s+パート\s*\d+.*$", r"(?i)\s+#\d+.*$", r"(?i)\s+part\s*\d+.*$"):
-        cut = F.trim(F.regexp_replace(title, pattern, ""))
-        out = F.when(cut != title, F.when(cut == "", title).otherwise(cut)).otherwise(out)
-    return out
+    title = strip(stem)
+    cuts = F.array(*(strip(F.regexp_replace(title, pattern, "")) for pattern in TITLE_ENDS))
+    cut = F.get(F.filter(cuts, lambda x: x != title), F.lit(0))
+    return F.when(cut != "", cut).otherwise(title)
 
 
 def frame_interval(rate: Column) -> Column:

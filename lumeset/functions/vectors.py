@@ -21,6 +21,16 @@ def l2_normalise(v: Column) -> Column:
     return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))
 
 
+def content_vector(tones: Column, colours: Column, entropy: Column, spread: Column, black: Column, white: Column, dominant: Column) -> Column:
+    """Unit histogram of tones, then colour features, then the luminance metrics at a scale of one."""
+    return F.concat(l2_normalise(tones), F.transform(colours, lambda x: x.cast("double")), F.array(entropy / 8.0, spread / 255.0, black, white, dominant))
+
+
+def combined_vector(colours: Column, embedding: Column) -> Column:
+    """Colour features, then the model's embedding."""
+    return F.concat(F.transform(colours, lambda x: x.cast("double")), F.transform(embedding, lambda x: x.cast("double")))
+
+
 def sign_hash(v: Column, bits: int = 64) -> Column:
     """Signs of the first 64 components, the first as the highest bit."""
     return F.aggregate(F.slice(v, 1, bits), F.lit(0).cast("bigint"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))

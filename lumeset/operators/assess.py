@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +51,18 @@ def ask(scorer: Scorer, batch: pd.DataFrame, tries: int = TRIES, wait: float = W
 
 
 def state(df: DataFrame, folder: str, key: str) -> DataFrame:
-    """Assessments stored under the key; of several for one candidate, any, as they answer the same question."""
+    """Assessments stored under the key; of several for one candidate the one written last, then the smallest."""
     spark = df.sparkSession
-    path = f"{folder}/cache_key={key}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+    try:
+        stored = spark.read.schema(STATE).parquet(f"{folder}/cache_key={key}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(path).dropDuplicates(["key"])
+    fields = [c.split()[0] for c in STATE.split(", ")]
+    # as structs they compare field by field: the earliest of the negated times is the last write
+    first = F.min(F.struct((-F.unix_micros("_metadata.file_modification_time")).alias("t"), *fields))
+    return stored.groupBy(F.col("key").alias("_key")).agg(first.alias("s")).select(*(f"s.{c}" for c in fields))
 
 
 def assess(candidates: DataFrame, scorer: Scorer, folder: str, key: str, batch: int = 12) -> DataFrame:
@@ -92,6 +98,31 @@ def assess_until_covered(candidates: DataFrame, first: DataFrame, scorer: Scorer
     raise RuntimeError("no end after so many rounds")
 
 
+def assess_twice(candidates: DataFrame, first: DataFrame, one: Scorer, two: Scorer, folder: str, keys: tuple[str, str], count: int, distinct_bits: int = 5, rounds: int = 100) -> DataFrame:
+    """Assess with the first scorer, then those it lets pass with the second, until each run has enough survivors of both or nothing is left.
+
+    When the second's pool has no more candidates of the sources that lack survivors, the first's is filled up from all candidates of those
+    sources, and what passes there is added to the pool. Arguments and result (the second's assessments) as in ``assess_until_covered``.
+    """
+    from lumeset.operators.select import backfill_order, source_backfill
+
+    primary = assess_until_covered(candidates, first, one, folder, keys[0], count, distinct_bits, rounds)
+    asked = primary.select("key")
+    for _ in range(rounds):
+        pool = candidates.join(assess(candidates.join(asked, "key", "left_semi"), one, folder, keys[0]).where(~F.col("is_transition")).select("key"), "key", "left_semi")
+        start = pool.join(first.select("key"), "key", "left_semi")
+        done = assess_until_covered(pool, (pool if start.isEmpty() else start).select("run", "key"), two, folder, keys[1], count, distinct_bits, rounds)
+        order = backfill_order(candidates.join(done, "key").select("run", "source", "is_transition"), candidates.select("run", "source").distinct(), count)
+        known = candidates.join(asked.select("key", F.lit(True).alias("assessed")), "key", "left").withColumn("assessed", F.coalesce("assessed", F.lit(False)))
+        more = source_backfill(known, order, distinct_bits)
+        if more.isEmpty():
+            return done
+        # stored, so that the next round's list is no plan over all rounds before
+        assess(candidates.join(more.select("key"), "key", "left_semi"), one, folder, keys[0]).count()
+        asked = state(candidates, folder, keys[0]).select("key")
+    raise RuntimeError("no end after so many rounds")
+
+
 def with_fallback(candidates: DataFrame, classified: DataFrame, slug: str = "fallback") -> DataFrame:
     """Candidates with their classification (path, scene, confidence); a fixed scene of confidence 0 where it failed."""
     return candidates.join(classified, "path", "left").withColumns({"scene": F.coalesce("scene", F.lit(slug)), "confidence": F.coalesce("confidence", F.lit(0.0))})

@@ -161,7 +161,7 @@ o("label_conflicts", "SELECT user_id, event_type, count(DISTINCT props) AS kinds
 o("last_update", "SELECT user_id, event_type, arg_max(value, {'a': ts, 'b': event_id}) AS value, max(event_id) AS last_id FROM events GROUP BY ALL")
 o("id_sets", """SELECT 'union' AS what, count(*) AS n FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) UNION ALL SELECT 'difference', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
 UNION ALL SELECT 'common', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'distinct', count(DISTINCT doc_id) FROM documents""")
-o("canonical_digest", "SELECT o_orderkey, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS digest FROM orders")
+o("canonical_digest", '''SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS digest FROM orders''')
 o("run_statistics", "WITH {emb}, {ca} SELECT run, count(*) AS n, count(*) FILTER (is_transition) AS rejected, round(avg(is_transition::INT), 6) AS failure_rate, count(DISTINCT scene) AS scenes, round(max(score), 4) AS best FROM ca GROUP BY run")
 CU = """cu0 AS (SELECT c_nationkey AS run, c_custkey AS key, c_custkey AS ord, abs(c_acctbal) AS duration FROM customer),
 cu AS (SELECT *, least(4000, floor(greatest(0.0::DOUBLE, CASE WHEN 0.05::DOUBLE + 0.05::DOUBLE >= duration THEN greatest(0.0::DOUBLE, duration - 0.05::DOUBLE) ELSE duration - 0.05::DOUBLE - 0.05::DOUBLE END) / 0.25::DOUBLE + 1e-9::DOUBLE) + 1)::BIGINT AS capacity FROM cu0)"""

@@ -287,8 +287,9 @@ def id_sets(spark, d):
 @query
 def canonical_digest(spark, d):
     """SHA-256 of each order in a fixed text form."""
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("digest"))
+    from lumeset.sinks.artifacts import digest
+
+    return table(spark, d, "orders").select("o_orderkey", digest("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("digest"))
 
 
 @query
