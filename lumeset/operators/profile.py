@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -30,31 +28,42 @@ def with_profile(df: DataFrame, profile: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(profile))
 
 
-def percentile_ranks(df: DataFrame, metric: str, key: list[str]) -> DataFrame:
-    """key and ``rank``: the mean of the shares of values below, and up to, the value.
+def rank_table(df: DataFrame, metric: str) -> DataFrame:
+    """f, lt, le, total: for each single-precision value of the metric how many values are less, and no more, of how many.
 
-    The values compared with are in single precision but the value itself is not, so it counts as above or below
-    its own rounded value where rounding moved it. Counts of distinct values are summed per range partition, not in one task.
+    Counts of distinct values are summed per range partition, not in one task.
     """
-    f = F.col(metric).cast("float").cast("double")
-    counts = df.where(F.col(metric).isNotNull()).groupBy(f.alias("f")).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).cast("float").cast("double").alias("f")).agg(F.count("*").alias("n"))
     # running count in two levels: within slices of equal width, and over the slices
     edges = counts.agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.sum("n").alias("total"))
     sliced = counts.crossJoin(F.broadcast(edges)).withColumn("s", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(4095), F.floor((F.col("f") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096))).otherwise(0))
     slices = sliced.groupBy("s").agg(F.sum("n").alias("sn"))
     slices = slices.select("s", F.coalesce(F.sum("sn").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 4096 rows
     run = F.sum("n").over(W.partitionBy("s").orderBy("f"))
-    table = sliced.withColumn("run", run).join(F.broadcast(slices), "s").select("f", "total", (F.col("base") + F.col("run")).alias("le"), (F.col("base") + F.col("run") - F.col("n")).alias("lt"))
-    joined = df.select(*key, metric, f.alias("f")).join(table, "f")
-    left = F.when(F.col("f") < F.col(metric), F.col("le")).otherwise(F.col("lt"))
-    right = F.when(F.col("f") > F.col(metric), F.col("lt")).otherwise(F.col("le"))
-    return joined.select(*key, ((left + right) / 2.0 / F.col("total")).alias("rank"))
+    return sliced.withColumn("run", run).join(F.broadcast(slices), "s").select("f", (F.col("base") + F.col("run") - F.col("n")).alias("lt"), (F.col("base") + F.col("run")).alias("le"), "total")
+
+
+def with_rank(df: DataFrame, metric: str, name: str) -> DataFrame:
+    """df with the mean of the shares of values below, and up to, each row's value; null where the metric is.
+
+    The values compared with are in single precision but the value itself is not, so it counts as above or below
+    its own rounded value where rounding moved it.
+    """
+    table = rank_table(df, metric).select(F.col("f").alias("_f"), F.col("lt").alias("_lt"), F.col("le").alias("_le"), F.col("total").alias("_total"))
+    f = F.col(metric).cast("float").cast("double")
+    left, right = F.when(f < F.col(metric), F.col("_le")).otherwise(F.col("_lt")), F.when(f > F.col(metric), F.col("_lt")).otherwise(F.col("_le"))
+    return df.join(table, f == F.col("_f"), "left").select(*df.columns, ((left + right) / 2.0 / F.col("_total")).alias(name))
 
 
-def information_scores(df: DataFrame, key: list[str], weights=INFORMATION) -> DataFrame:
-    """key and ``information``: weighted percentile ranks. Keys must be unique."""
-    parts = [percentile_ranks(df, m, key).select(*key, F.lit(i).alias("i"), (F.col("rank") * w).alias("part")) for i, (m, w) in enumerate(weights.items())]
+def with_information(df: DataFrame, weights=INFORMATION) -> DataFrame:
+    """df with ``information``: weighted percentile ranks, one join with a table of values each. The rows need no key."""
+    out = df
+    for i, m in enumerate(weights):
+        table = rank_table(df, m).select(F.col("f").alias(f"_f{i}"), F.col("lt").alias(f"_lt{i}"), F.col("le").alias(f"_le{i}"), F.col("total").alias(f"_n{i}"))
+        out = out.join(table, F.col(m).cast("float").cast("double") == F.col(f"_f{i}"), "left")
     total = F.lit(0.0)
-    for i in range(len(weights)):
-        total = total + F.max(F.when(F.col("i") == i, F.col("part")))
-    return reduce(DataFrame.union, parts).groupBy(*key).agg(total.alias("information"))
+    for i, (m, w) in enumerate(weights.items()):
+        left = F.when(F.col(f"_f{i}") < F.col(m), F.col(f"_le{i}")).otherwise(F.col(f"_lt{i}"))
+        right = F.when(F.col(f"_f{i}") > F.col(m), F.col(f"_lt{i}")).otherwise(F.col(f"_le{i}"))
+        total = total + (left + right) / 2.0 / F.col(f"_n{i}") * w
+    return out.select(*df.columns, total.alias("information"))

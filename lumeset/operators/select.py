@@ -7,7 +7,7 @@ independent, so Spark deals them out. Everything that does not depend on the ord
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,23 +20,24 @@ DISTINCT_BITS = 5
 SOFT_CAPS: dict[str, Callable[[int], int]] = {"title": lambda n: 1, "map": lambda n: max(1, math.ceil(n * 0.10)), "menu": lambda n: max(2, math.ceil(n * 0.15))}
 
 
-def time_scales(src: np.ndarray, ts: np.ndarray, count: int) -> np.ndarray:
-    """Each row's source's span over the number expected of it, 60 at least."""
-    expected = max(1.0, count / len(np.unique(src)))
-    scales = pd.Series(ts).groupby(src).transform(lambda t: max(60.0, (t.max() - t.min()) / expected))
-    return scales.to_numpy()
+def time_scales(source: np.ndarray, ts: np.ndarray, count: int) -> np.ndarray:
+    """Each row's source's span over the number expected of it, 60 at least. Sources are numbered from 0."""
+    n = int(source.max()) + 1
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
+    np.minimum.at(low, source, ts)
+    np.maximum.at(high, source, ts)
+    return np.maximum(60.0, (high - low) / max(1.0, count / n))[source]
 
 
-def pick_diverse(pdf: pd.DataFrame, count: int, distinct_bits: int, visual: float, time: float, duplicate: float, families: bool) -> list[int]:
+def pick_diverse(rows: dict[str, np.ndarray], count: int, distinct_bits: int, visual: float, time: float, duplicate: float, families: bool) -> list[int]:
     """Rows chosen one by one: the largest utility among what is left, then score, earlier time, earlier row."""
-    n = len(pdf)
-    src, ts, score = pdf["source"].to_numpy(), pdf["ts"].to_numpy(float), pdf["score"].to_numpy(float)
-    hashes = pdf["h"].to_numpy(np.int64).view(np.uint64)
-    scene = pd.factorize(pdf["scene"])[0]
-    source = pd.factorize(src)[0]
-    family = pdf["family"].to_numpy() if families else np.full(n, "content")
+    ts, score = rows["ts"].astype(float), rows["score"].astype(float)
+    n = len(ts)
+    hashes = rows["h"].astype(np.int64).view(np.uint64)
+    scene, source = (np.unique(rows[c], return_inverse=True)[1] for c in ("scene", "source"))
+    family = rows["family"] if families else np.full(n, "content")
     caps = {k: f(count) for k, f in SOFT_CAPS.items()}
-    scale = time_scales(src, ts, count)
+    scale = time_scales(source, ts, count)
     vd, td, left = np.full(n, 64), scale.copy(), np.ones(n, bool)
     scenes, sources = np.zeros(scene.max() + 1), np.zeros(source.max() + 1)
     shown: dict[str, int] = {}
@@ -74,16 +75,41 @@ def diverse_candidates(df: DataFrame, count: int, distinct_bits: int = DISTINCT_
     """
     weights = (0.65, 9.0, 35.0) if final else (0.60, 8.0, 30.0)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = bounded(pdf).sort_values("ord", kind="stable").reset_index(drop=True)
-        if len(pdf) < count and strict:
-            raise ValueError(f"{len(pdf)} candidates are fewer than the {count} asked for")
-        chosen = pick_diverse(pdf, min(count, len(pdf)), distinct_bits, *weights, final)
-        return pd.DataFrame({"run": pdf["run"].iloc[chosen].to_numpy(), "key": pdf["key"].iloc[chosen].to_numpy(), "pick": np.arange(1, len(chosen) + 1, dtype=np.int32)})
+    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(rows["key"])
+        if n < count and strict:
+            raise ValueError(f"{n} candidates are fewer than the {count} asked for")
+        chosen = pick_diverse(rows, min(count, n), distinct_bits, *weights, final)
+        return {"run": rows["run"][chosen], "key": rows["key"][chosen], "pick": np.arange(1, len(chosen) + 1, dtype=np.int32)}
 
     kind = dict(df.dtypes)
     cols = ["run", "key", "ord", "source", "ts", "score", "h", "scene", *(["family"] if final else [])]
-    return df.select(*cols).groupBy("run").applyInPandas(one, f"run {kind['run']}, key {kind['key']}, pick int")
+    ordered = df.select(*cols).repartition("run").sortWithinPartitions("run", "ord", "key")
+    return ordered.mapInPandas(lambda batches: walked(batches, "run", one), f"run {kind['run']}, key {kind['key']}, pick int")
+
+
+def walked(batches: Iterator[pd.DataFrame], group: str, one: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """What ``one`` makes of each group of sorted rows, a frame for each batch; a group that goes on in the next batch waits for it."""
+    held: pd.DataFrame | None = None
+
+    def made(f: pd.DataFrame) -> pd.DataFrame:
+        columns = {c: f[c].to_numpy() for c in f.columns}
+        g = columns[group]
+        ends = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        out = [one({c: x[a:b] for c, x in columns.items()}) for a, b in zip(ends, ends[1:], strict=False)]
+        return pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
+
+    for f in batches:
+        if not len(f):
+            continue
+        f = f if held is None else pd.concat([held, f], ignore_index=True)
+        g = f[group].to_numpy()
+        last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+        held = bounded(f.iloc[last:].reset_index(drop=True))
+        if last:
+            yield made(f.iloc[:last])
+    if held is not None:
+        yield made(held)
 
 
 def next_apart(rows: list[int], hashes: np.ndarray, taken: list[int], distinct_bits: int) -> int | None:

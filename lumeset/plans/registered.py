@@ -62,14 +62,14 @@ def relative_transitions(spark, d):
 
 def judged_frames(spark, d) -> DataFrame:
     df = keyed_frames(spark, d)
-    scored = df.join(profile.information_scores(df, KEYS), KEYS).withColumn("visibility", M.visibility()).withColumn("washout", M.bright_washout())
+    scored = profile.with_information(df).withColumn("visibility", M.visibility()).withColumn("washout", M.bright_washout())
     return profile.with_profile(scored, profile.build_profile(df)).withColumn("reason", reject.static_reason())
 
 
 @query
 def information_scores(spark, d):
     df = keyed_frames(spark, d)
-    return profile.information_scores(df, KEYS).select(*KEYS, F.round("information", 9).alias("information"))
+    return profile.with_information(df).select(*KEYS, F.round("information", 9).alias("information"))
 
 
 @query

@@ -100,7 +100,7 @@ def test_percentile_ranks_in_single_precision(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id int, v double")
     pop = np.sort(np.asarray(v, np.float32))
     want = {i: (np.searchsorted(pop, x, "left") + np.searchsorted(pop, x, "right")) / 2 / len(v) for i, x in enumerate(v)}
-    assert {r.id: r.rank for r in profile.percentile_ranks(df, "v", ["id"]).collect()} == pytest.approx(want)
+    assert {r.id: r.rank for r in profile.with_rank(df, "v", "rank").collect()} == pytest.approx(want)
 
 
 def test_text_functions(spark):
