@@ -617,6 +617,61 @@ def test_components_of_a_path_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """One source, so that the mix takes every document once; too few labels for a cutoff."""
+    import re
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    shared = [prose(55) for _ in range(3)]
+    texts = [f"{prose(70)} {shared[i % 3]} {prose(40)}" if i < 9 else prose(int(rng.integers(40, 130))) for i in range(40)]
+    texts += [texts[20], texts[20], texts[30].upper(), texts[25] + " end", "short", "", None, "again and again " * 40, prose(9000)]
+    docs = [(i, t, "en", "s", len(t or ""), "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, DOCS + ", size string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_sequences(rows)
+    good = {}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        repeated = {j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(k, k + 3)}
+        if len(words) >= 50 and 100 * len(repeated) <= 50 * len(words):
+            good[i] = plain_fingerprint(t)
+    root = plain_components(good)
+    kept = sorted({r.doc_id for r in rows})
+    assert sorted(root[i] for i in kept) == sorted(set(root.values())) and len(kept) < len(good)  # one of each group
+    length, least = suffix_repeats.PASSAGE["length"], suffix_repeats.PASSAGE["least_words"]
+    raws = {i: texts[i].encode() for i in kept}
+    seen = collections.Counter(r[k : k + length] for r in raws.values() for k in range(len(r) - length + 1))
+    tok, want, cut = Tokenizer.from_file(best_fit_packing.public_path()), [], 0
+    for i, raw in raws.items():
+        spans = suffix_repeats.merged([(k, k + length) for k in range(len(raw) - length + 1) if seen[raw[k : k + length]] > 1])
+        gone = {b for s, e in spans if len(raw[s:e].split()) >= least for b in range(s, e)}
+        cut += bool(gone)
+        ids = [*tok.encode(bytes(b for k, b in enumerate(raw) if k not in gone).decode(), add_special_tokens=False).ids, 1]
+        want += [(i, k, s, len(ids[s : s + 4096]), zlib.crc32(np.asarray(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    assert cut == 9 and sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    clash = DOCS + ", h string, fp long, head int, copies int, kept boolean, doc string"
+    spark.createDataFrame([(*r, None, 1, 2, 3, True, "d") for r in rows], clash).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0  # all are short or repeat themselves
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and (found.count() > 0) == bool(rows)
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
