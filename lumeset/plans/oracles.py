@@ -95,7 +95,7 @@ rel AS (SELECT *, {BRIGHT} AS bright, {DARK} AS dark, {veiled('visibility', 'inf
 judged AS (SELECT *, {REASON} AS reason FROM rel)""",
     "sm": "sm AS (SELECT ca.* EXCLUDE (scene), event_type AS scene, CASE event_type WHEN 'purchase' THEN 'cinematic' WHEN 'click' THEN 'recurring_gameplay' ELSE 'ordinary' END AS role, score AS selection, key::DOUBLE AS quality, printf('p%08d', key) AS path, printf('%s_%03d', event_type, key % 4) AS variant_group FROM ca)",
     "stats": "stats AS (SELECT run, scene, count(*) AS n, min(ord) AS first, coalesce(arg_min(role, ord) FILTER (role <> 'ordinary'), 'ordinary') AS role, greatest(max({'a': selection, 'b': quality}), {'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}) AS best FROM sm GROUP BY run, scene)",
-    "grp": "grp AS (SELECT label || '-' || (vec_id // 500) AS grp, vec_id, embedding, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)",
+    "grp": "grp AS (SELECT label::VARCHAR AS grp, vec_id, embedding, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)",
 }
 
 

@@ -402,9 +402,8 @@ def source_backfill(spark, d):
 
 
 def grouped_embeddings(spark, d) -> DataFrame:
-    """Embeddings in groups of about a hundred rows, however many there are."""
-    e = table(spark, d, "embeddings")
-    return e.withColumn("grp", F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string")))
+    """Embeddings grouped by label, each a scene; a scene holds at most as many rows as a run has candidates."""
+    return table(spark, d, "embeddings").withColumn("grp", F.col("label").cast("string"))
 
 
 @query
