@@ -20,24 +20,31 @@ def ladder(base: float, steps=(0.03, 0.06, 0.10, 0.15), most: float = 0.98) -> l
     return [base, *(min(base + d, most) for d in steps)]
 
 
-def hamming_pairs(df: DataFrame, key: str, h: str, under: int) -> DataFrame:
-    """a, b, distance (a < b) of rows whose hashes differ in fewer than ``under`` bits.
+def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
+    """h, class (the smallest key of the rows with this hash) and n (how many they are); rows without a hash are in none."""
+    return df.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("class"), F.count("*").alias("n"))
 
-    Two such hashes agree in at least one of ``under`` bands of bits, so the join is on (band, value); a pair is kept in the first band that
-    it shares. Equal hashes are joined once as hashes, so copies meet only where pairs of them are asked for, as here.
+
+def hamming_links(df: DataFrame, key: str, h: str, under: int) -> DataFrame:
+    """a, b, distance, n_a, n_b (a < b): classes of equal hashes whose hashes differ in fewer than ``under`` bits, and how many rows each has.
+
+    Two such hashes agree in at least one of ``under`` bands of bits, so the join is on (band, value); a pair is kept once. Copies are never
+    expanded into pairs: each row of a class is linked to each of the other, and the rows of one class to each other.
     """
     edges = [64 * k // under for k in range(under + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     bands = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("h").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))).alias("e")
-    hashes = df.select(F.col(h).alias("h")).where("h is not null").distinct()
-    dealt = hashes.select("h", bands).select("h", "e.band", "e.bits")
+    classes = hash_classes(df, key, h)
+    dealt = classes.select("h", bands).select("h", "e.band", "e.bits")
     x, y = dealt.alias("x"), dealt.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.h") <= F.col("y.h")))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.h") < F.col("y.h")))
     met = met.where(hamming(F.col("x.h"), F.col("y.h")) < under).select(F.col("x.h").alias("h1"), F.col("y.h").alias("h2")).distinct()
-    one, two = df.select(F.col(key).alias("k1"), F.col(h).alias("h1")), df.select(F.col(key).alias("k2"), F.col(h).alias("h2"))
-    pairs = met.join(one, "h1").join(two, "h2").where((F.col("h1") != F.col("h2")) | (F.col("k1") < F.col("k2")))
-    return pairs.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), hamming(F.col("h1"), F.col("h2")).alias("distance"))
+    one, two = (classes.select(F.col("h").alias(f"h{i}"), F.col("class").alias(f"k{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    found = met.join(one, "h1").join(two, "h2")
+    first = F.col("k1") < F.col("k2")
+    either = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
+    return found.select(either("k1", "k2").alias("a"), either("k2", "k1").alias("b"), hamming(F.col("h1"), F.col("h2")).alias("distance"), either("n1", "n2").alias("n_a"), either("n2", "n1").alias("n_b"))
 
 
 def cosine_pairs(df: DataFrame, key: str, vec: str, at_least: float, block: int = 2048) -> DataFrame:

@@ -149,7 +149,14 @@ def event_entropy(spark, d):
 @query
 def hamming_pairs(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", V.sign_hash(F.col("embedding")).alias("h"))
-    return similarity.hamming_pairs(e, "vec_id", "h", NEAR_BITS)
+    return similarity.hamming_links(e, "vec_id", "h", NEAR_BITS)
+
+
+@query
+def hash_classes(spark, d):
+    """Documents of equal length as copies of one hash: each with its class."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("h"))
+    return docs.join(similarity.hash_classes(docs, "doc_id", "h"), "h").select("doc_id", "class", "n")
 
 
 @query
