@@ -2,11 +2,11 @@
 
 Every document gets counts and, from them, scores that rise with badness. For each stratum (language) and
 score a cutoff is searched on a fixed grid: labelled good documents are split by a hash of their id into
-a choosing half and a holdout. On the holdout, an exact binomial test asks for each cutoff whether the
+a choosing quarter and a holdout. On the holdout, an exact binomial test asks for each cutoff whether the
 share of good documents that it would reject is below the limit; cutoffs are tested from the loosest on
 until the first that fails, which needs no correction along the grid, and the error level is divided by
 the number of (stratum, score) pairs tested. Among the cutoffs certified this way, the one that rejects most
-bad documents net of good ones on the choosing half is used, and none if it rejects no more bad than good.
+bad documents net of good ones on the choosing quarter is used, and none if it rejects no more bad than good.
 The limit is divided among the scores, so that all of a stratum's cutoffs together keep it.
 
 Built-in functions only. Texts are read once; what is shuffled are counts of labelled documents.
