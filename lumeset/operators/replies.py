@@ -17,11 +17,21 @@ LEAST_SCENES, MOST_SCENES, OTHER = 3, 8, "other"
 Ask = Callable[[DataFrame], DataFrame]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def whole_json(text: Column) -> Column:
+    """The value that a text is, as a variant; null if it is none or more follows. The parser stops after a value, so it reads a list of one."""
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return bound(values, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
+
+
 def json_object(reply: Column) -> Column:
     """The object that a reply is, else the widest {...} in it, as a variant; null if neither is JSON."""
-    whole = F.try_parse_json(strip(reply))
-    kind = F.schema_of_variant(whole)
-    return F.when(whole.isNull(), F.try_parse_json(salvaged_json(reply))).when(kind.startswith("OBJECT"), whole)
+    found = F.coalesce(whole_json(strip(reply)), whole_json(salvaged_json(reply)))
+    return bound(found, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def string_of(value: Column, field: str) -> Column:
@@ -47,19 +57,24 @@ def catalog_of(reply: Column) -> Column:
         stated = F.when(F.try_variant_get(x, "$.selection_role", "string").isNotNull(), string_of(x, "selection_role")).otherwise(string_of(x, "scene_selection_role"))
         return F.struct(slug.alias("slug"), string_of(x, "display_name").alias("display_name"), string_of(x, "description").alias("description"), F.when(slug == OTHER, "ordinary").when(stated.isNotNull(), role(stated)).alias("role"))
 
-    found = F.transform(scenes, entry)
-    whole = F.forall(found, lambda s: s["slug"].isNotNull() & s["display_name"].isNotNull() & s["description"].isNotNull() & s["role"].isNotNull())
-    slugs = F.transform(found, lambda s: s["slug"])
-    return F.when(whole & F.size(found).between(LEAST_SCENES, MOST_SCENES) & (F.size(F.array_distinct(slugs)) == F.size(slugs)) & F.array_contains(slugs, OTHER), found)
+    def checked(found: Column) -> Column:
+        whole = F.forall(found, lambda s: s["slug"].isNotNull() & s["display_name"].isNotNull() & s["description"].isNotNull() & s["role"].isNotNull())
+        slugs = F.transform(found, lambda s: s["slug"])
+        return F.when(whole & F.size(found).between(LEAST_SCENES, MOST_SCENES) & (F.size(F.array_distinct(slugs)) == F.size(slugs)) & F.array_contains(slugs, OTHER), found)
+
+    return bound(F.transform(scenes, entry), checked)
 
 
 def classification_of(reply: Column, catalog: dict[str, str]) -> Column:
     """struct<scene, display_name, description, confidence> of a classification reply, or null. catalog: display names by slug."""
-    value = json_object(reply)
-    slug = string_of(value, "scene_slug")
     names = F.create_map(*(F.lit(x) for pair in catalog.items() for x in pair))
-    found = F.struct(slug.alias("scene"), F.try_element_at(names, slug).alias("display_name"), string_of(value, "description").alias("description"), number_of(value, "confidence").alias("confidence"))
-    return F.when(slug.isin(*catalog) & found["description"].isNotNull() & found["confidence"].isNotNull(), found)
+
+    def fields(value: Column) -> Column:
+        slug = string_of(value, "scene_slug")
+        return F.struct(slug.alias("scene"), F.try_element_at(names, slug).alias("display_name"), string_of(value, "description").alias("description"), number_of(value, "confidence").alias("confidence"))
+
+    whole = lambda c: c["scene"].isin(*catalog) & c["description"].isNotNull() & c["confidence"].isNotNull()
+    return bound(bound(json_object(reply), fields), lambda c: F.when(whole(c), c))
 
 
 def agreed_titles(df: DataFrame, group: str, stem: str, strict: bool = False) -> DataFrame:

@@ -42,7 +42,7 @@ def test_catalog_replies(spark):
     bad = [
         "", "none", json.dumps([{"scenes": whole}]), json.dumps({"scenes": whole[:2]}), json.dumps({"scenes": [*whole, SCENE]}), json.dumps({"scenes": [*whole[:2], {**SCENE, "slug": "c"}]}),
         json.dumps({"scenes": [{**SCENE, "slug": 5}, *whole[1:]]}), json.dumps({"scenes": [{**SCENE, "description": " "}, *whole[1:]]}), json.dumps({"scenes": [{**SCENE, "selection_role": 3}, *whole[1:]]}),
-        json.dumps({"scenes": [{"slug": "a", "display_name": "A", "description": "d"}, *whole[1:]]}), json.dumps({"scenes": whole * 3}), json.dumps({"scenes": "x"}), None,
+        json.dumps({"scenes": [{"slug": "a", "display_name": "A", "description": "d"}, *whole[1:]]}), json.dumps({"scenes": whole * 3}), json.dumps({"scenes": "x"}), None, json.dumps({"scenes": whole}) + "}", json.dumps({"scenes": whole}) + ", {}", "[" + json.dumps({"scenes": whole}) + "]",
     ]
     for reply in good:
         assert [(s.slug, s.role) for s in one(spark, replies.catalog_of(F.col("r")), r=reply)] == [("a", "cinematic"), ("b", "ordinary"), ("other", "ordinary")], reply
