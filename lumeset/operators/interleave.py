@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -34,10 +39,55 @@ def batches(df: DataFrame, run: list[str], order: list[str], size: int) -> DataF
     return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*run).orderBy(*order)) - 1) / size))
 
 
-def memory_chunks(df: DataFrame, size: str, budget: float, order: list[str], run: list[str]) -> DataFrame:
-    """Add ``chunk``: the number of whole budgets that the rows before fill."""
-    before = F.coalesce(F.sum(size).over(W.partitionBy(*run).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumn("chunk", F.floor(before / budget))
+def cut(sizes: np.ndarray, budget: int, least: int, number: int, total: int, count: int) -> tuple[np.ndarray, int, int, int]:
+    """Chunk of each size, going on in chunk ``number`` that holds ``count`` sizes of ``total``, and where this ends: number, total, count."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(len(sizes), np.int64)
+    i = 0
+    while True:
+        # the first size that no longer fits; a chunk of fewer than ``least`` sizes takes more than its budget
+        j = max(i, int(np.searchsorted(before[1:], budget - total + before[i], side="right")), i + max(least, 1) - count)
+        out[i:j] = number
+        if j >= len(sizes):
+            return out, number, total + int(before[-1] - before[i]), count + len(sizes) - i
+        i, number, total, count = j, number + 1, 0, 0
+
+
+def memory_chunks(df: DataFrame, size: str, budget: int, order: list[str], run: list[str], least: int = 16, unknown: int = 1 << 20) -> DataFrame:
+    """The columns of ``run`` and ``order``, and ``chunk``: numbers of runs of rows whose sizes fit the budget together.
+
+    A chunk is closed before the row that would pass the budget, once it has ``least`` rows; a last one of fewer rows joins the one before.
+    A null size counts as ``unknown``, a negative one as none. Null values of ``run`` are a run. A run is walked in order with the sum and count of its
+    open chunk carried along; a task holds one batch of sizes and fewer than ``least`` rows that wait to know whether they are the last.
+    """
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, number, total, count = None, 0, 0, 0
+        for f in batches:
+            if not len(f):
+                continue
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            place, sizes, out = f["_place"].to_numpy(), f["_size"].to_numpy(), np.empty(len(f), np.int64)
+            ends = [0, *(np.flatnonzero(place[1:] == 1) + 1).tolist(), len(f)]
+            for a, b in itertools.pairwise(ends):
+                if place[a] == 1:
+                    number, total, count = 0, 0, 0
+                out[a:b], number, total, count = cut(sizes[a:b], budget, least, number, total, count)
+                if b < len(f) and number and count < least:
+                    out[b - count : b] -= 1
+            waiting = count if number and count < least else 0
+            done = len(f) - waiting
+            held = f.iloc[done:] if waiting else None
+            total, count = (0, 0) if waiting else (total, count)
+            yield f.iloc[:done][keep].assign(chunk=out[:done])
+        if held is not None:
+            yield held[keep].assign(chunk=number - 1)
+
+    keep, kind = [*run, *order], dict(df.dtypes)
+    sizes = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(size).cast("long"), F.lit(unknown).cast("long")))
+    place = F.row_number().over(W.partitionBy(*run).orderBy(*order))
+    walked = df.select(*keep, sizes.alias("_size"), place.alias("_place")).sortWithinPartitions(*run, "_place")
+    return walked.mapInPandas(chunks, ", ".join(f"{c} {kind[c]}" for c in keep) + ", chunk long")
 
 
 def output_names(df: DataFrame, run: str, order: str, requested: int) -> DataFrame:

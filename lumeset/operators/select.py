@@ -7,14 +7,15 @@ independent, so Spark deals them out. Everything that does not depend on the ord
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lumeset.operators.similarity import bounded, unit_rows, walk_diverse
+from lumeset.operators.similarity import diverse_filter, unit_rows, walk_diverse
+from lumeset.operators.walks import bounded, walk
 
 DISTINCT_BITS = 5
 SOFT_CAPS: dict[str, Callable[[int], int]] = {"title": lambda n: 1, "map": lambda n: max(1, math.ceil(n * 0.10)), "menu": lambda n: max(2, math.ceil(n * 0.15))}
@@ -84,32 +85,7 @@ def diverse_candidates(df: DataFrame, count: int, distinct_bits: int = DISTINCT_
 
     kind = dict(df.dtypes)
     cols = ["run", "key", "ord", "source", "ts", "score", "h", "scene", *(["family"] if final else [])]
-    ordered = df.select(*cols).repartition("run").sortWithinPartitions("run", "ord", "key")
-    return ordered.mapInPandas(lambda batches: walked(batches, "run", one), f"run {kind['run']}, key {kind['key']}, pick int")
-
-
-def walked(batches: Iterator[pd.DataFrame], group: str, one: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """What ``one`` makes of each group of sorted rows, a frame for each batch; a group that goes on in the next batch waits for it."""
-    held: pd.DataFrame | None = None
-
-    def made(f: pd.DataFrame) -> pd.DataFrame:
-        columns = {c: f[c].to_numpy() for c in f.columns}
-        g = columns[group]
-        ends = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        out = [one({c: x[a:b] for c, x in columns.items()}) for a, b in zip(ends, ends[1:], strict=False)]
-        return pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
-
-    for f in batches:
-        if not len(f):
-            continue
-        f = f if held is None else pd.concat([held, f], ignore_index=True)
-        g = f[group].to_numpy()
-        last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
-        held = bounded(f.iloc[last:].reset_index(drop=True))
-        if last:
-            yield made(f.iloc[:last])
-    if held is not None:
-        yield made(held)
+    return walk(df.select(*cols), ["run"], ["ord", "key"], one, f"run {kind['run']}, key {kind['key']}, pick int")
 
 
 def next_apart(rows: list[int], hashes: np.ndarray, taken: list[int], distinct_bits: int) -> int | None:
@@ -207,8 +183,6 @@ def backfill_order(df: DataFrame, sources: DataFrame, count: int, per_source: in
 
     df: run, source, is_transition of the assessed rows. sources: run, source.
     """
-    from pyspark.sql import Window as W
-
     alive = df.where(~F.col("is_transition")).groupBy("run", "source").agg(F.count("*").alias("alive"))
     by = W.partitionBy("run")
     s = sources.join(alive, ["run", "source"], "left").withColumn("alive", F.coalesce("alive", F.lit(0)))
@@ -226,17 +200,38 @@ def similar_aware_choice(df: DataFrame, count: int, thresholds: list[float], rec
     (segment 2) is looked at only after all steps over the rest, and if places are left.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = bounded(pdf).sort_values("turn").reset_index(drop=True)
-        x = unit_rows(np.stack(pdf["features"].to_numpy()).astype(float))
-        lax = pdf["role"].to_numpy() == "recurring_gameplay"
+    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = unit_rows(np.stack(rows["features"]).astype(float))
+        lax = rows["role"] == "recurring_gameplay"
         steps = [np.where(lax, max(t, recurring), t) for t in thresholds]
-        late = pdf["segment"].to_numpy() == 2
+        late = rows["segment"] == 2
         chosen: list[int] = []
         for part in (np.flatnonzero(~late), np.flatnonzero(late)):
-            if len(chosen) < min(count, len(pdf)):
-                walk_diverse(x, min(count, len(pdf)), steps, part, chosen)
-        return pdf.iloc[chosen][["run", "key"]].assign(pick=np.arange(1, len(chosen) + 1, dtype=np.int32))
+            if len(chosen) < min(count, len(x)):
+                walk_diverse(x, min(count, len(x)), steps, part, chosen)
+        return {"run": rows["run"][chosen], "key": rows["key"][chosen], "pick": np.arange(1, len(chosen) + 1, dtype=np.int32)}
 
     kind = dict(df.dtypes)
-    return df.select("run", "key", "turn", "segment", "role", "features").groupBy("run").applyInPandas(one, f"run {kind['run']}, key {kind['key']}, pick int")
+    cols = df.select("run", "key", "turn", "segment", "role", "features")
+    return walk(cols, ["run"], ["turn"], one, f"run {kind['run']}, key {kind['key']}, pick int")
+
+
+def shortlist_size(wanted: int, multiple: int = 10, least: int = 500, most: int = 2000, reserve: int = 10) -> int:
+    """How many rows go on for ``wanted`` outputs: a multiple of them within bounds, or a reserve above them if they pass the upper bound."""
+    wanted = max(wanted, 0)
+    size = min(max(wanted * multiple, least), most)
+    return size if wanted <= size else wanted + max(wanted // reserve, 1)
+
+
+def shortlist(df: DataFrame, size: int, thresholds: list[float]) -> DataFrame:
+    """run, key, place of the ``size`` rows of each run that go on: those unlike the ones before by quality, then the rest by quality.
+
+    df: run, key, quality, features. A run of no more rows than ``size`` goes on whole, in the order of its keys.
+    """
+    by = W.partitionBy("run")
+    ranked = df.withColumn("rank", F.row_number().over(by.orderBy(F.col("quality").desc(), "key"))).withColumn("n", F.count("*").over(by))
+    large = diverse_filter(ranked.where(F.col("n") > size), "run", "key", "rank", "features", size, thresholds).where("pick > 0").select("run", "key", "pick")
+    small = F.col("n") <= size
+    order = [F.when(~small, F.col("pick").isNull()), F.when(~small, F.col("pick")), F.when(~small, F.col("rank")), "key"]
+    found = ranked.select("run", "key", "rank", "n").join(large, ["run", "key"], "left")
+    return found.withColumn("place", F.row_number().over(by.orderBy(*order))).where(F.col("place") <= size).select("run", "key", "place")

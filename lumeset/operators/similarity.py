@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumeset.functions.vectors import hamming
+from lumeset.operators.walks import MOST_ROWS, walk
 
-MOST_ROWS = 4000  # of a group that is walked in order; a larger one raises
 LADDER = (0.72, 0.75, 0.78, 0.82, 0.87)
 
 
@@ -83,12 +83,6 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return np.where(n < 1e-8, 0.0, x / np.where(n < 1e-8, 1.0, n))
 
 
-def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    if len(pdf) > MOST_ROWS:
-        raise ValueError(f"a group of {len(pdf)} rows is walked in order; at most {MOST_ROWS} can be")
-    return pdf
-
-
 def walk_diverse(x: np.ndarray, count: int, steps: list[np.ndarray], order: np.ndarray, chosen: list[int]) -> set[int]:
     """Add to ``chosen``, in order, rows whose cosine with all chosen ones is no more than their threshold in any step; returns those refused and never taken."""
     refused: set[int] = set()
@@ -112,36 +106,36 @@ def walk_diverse(x: np.ndarray, count: int, steps: list[np.ndarray], order: np.n
 def diverse_filter(df: DataFrame, run: str, key: str, order: str, vec: str, count: int, thresholds: list[float]) -> DataFrame:
     """run, key, pick (1-based place, 0 if not chosen), refused: a run's rows taken in order while they are unlike those taken before."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = bounded(pdf).sort_values("o", kind="stable").reset_index(drop=True)
-        x = unit_rows(np.stack(pdf["v"].to_numpy()).astype(float))
+    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = unit_rows(np.stack(rows["v"]).astype(float))
         chosen: list[int] = []
         refused = walk_diverse(x, min(count, len(x)), [np.full(len(x), t) for t in thresholds], np.arange(len(x)), chosen)
-        place = np.zeros(len(pdf), np.int32)
-        for n, i in enumerate(chosen):
-            place[i] = n + 1
-        return pd.DataFrame({"run": pdf["run"], "key": pdf["key"], "pick": place, "refused": [i in refused for i in range(len(pdf))]})
+        place = np.zeros(len(x), np.int32)
+        place[chosen] = np.arange(1, len(chosen) + 1)
+        return {"run": rows["run"], "key": rows["key"], "pick": place, "refused": np.isin(np.arange(len(x)), list(refused))}
 
     rows = df.select(F.col(run).alias("run"), F.col(key).alias("key"), F.col(order).alias("o"), F.col(vec).alias("v"))
     kind = dict(rows.dtypes)
-    return rows.groupBy("run").applyInPandas(one, f"run {kind['run']}, key {kind['key']}, pick int, refused boolean")
+    return walk(rows, ["run"], ["o", "key"], one, f"run {kind['run']}, key {kind['key']}, pick int, refused boolean")
+
 
+def leader_groups(df: DataFrame, scene: str | list[str], key: str, order: str, vec: str, at_least: float) -> DataFrame:
+    """The scene's columns, key, leader (number in the scene from 1): each row joins the first earlier leader that is near enough, else leads a group."""
 
-def leader_groups(df: DataFrame, scene: str, key: str, order: str, vec: str, at_least: float) -> DataFrame:
-    """scene, key, leader (number in the scene from 1): each row joins the first earlier leader that is near enough, else leads a group."""
+    scene = [scene] if isinstance(scene, str) else scene
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = bounded(pdf).sort_values("o", kind="stable").reset_index(drop=True)
-        x = unit_rows(np.stack(pdf["v"].to_numpy()).astype(float))
-        leaders: list[int] = []
-        group = np.zeros(len(pdf), np.int32)
+    def one(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = unit_rows(np.stack(rows["v"]).astype(float))
+        leaders = np.empty((0, x.shape[1]))
+        group = np.zeros(len(x), np.int32)
         for i in range(len(x)):
-            near = np.flatnonzero(x[leaders] @ x[i] >= at_least) if leaders else ()
+            near = np.flatnonzero(leaders @ x[i] >= at_least)
             if not len(near):
-                leaders.append(i)
+                leaders = np.vstack([leaders, x[i]])
             group[i] = near[0] + 1 if len(near) else len(leaders)
-        return pd.DataFrame({"scene": pdf["scene"], "key": pdf["key"], "leader": group})
+        return {**{c: rows[c] for c in scene}, "key": rows["key"], "leader": group}
 
-    rows = df.select(F.col(scene).alias("scene"), F.col(key).alias("key"), F.col(order).alias("o"), F.col(vec).alias("v"))
+    rows = df.select(*scene, F.col(key).alias("key"), F.col(order).alias("o"), F.col(vec).alias("v"))
     kind = dict(rows.dtypes)
-    return rows.groupBy("scene").applyInPandas(one, f"scene {kind['scene']}, key {kind['key']}, leader int")
+    schema = ", ".join(f"{c} {kind[c]}" for c in [*scene, "key"])
+    return walk(rows, scene, ["o", "key"], one, f"{schema}, leader int")

@@ -93,7 +93,7 @@ PARTS = {
 sc AS (SELECT norm.*, information, {VIS} AS visibility, {WASH} AS washout, {SUI} AS system_ui FROM norm JOIN info USING (k1, k2, k3, k4, k5)),
 rel AS (SELECT *, {BRIGHT} AS bright, {DARK} AS dark, {veiled('visibility', 'information', 'washout')} AS veiled FROM sc, prof),
 judged AS (SELECT *, {REASON} AS reason FROM rel)""",
-    "sm": "sm AS (SELECT ca.* EXCLUDE (scene), event_type AS scene, CASE event_type WHEN 'purchase' THEN 'cinematic' WHEN 'click' THEN 'recurring_gameplay' ELSE 'ordinary' END AS role, score AS selection, key::DOUBLE AS quality, printf('p%08d', key) AS path, printf('%s_%03d', event_type, key % 4) AS variant_group FROM ca)",
+    "sm": "sm AS (SELECT ca.* EXCLUDE (scene), event_type AS scene, CASE event_type WHEN 'purchase' THEN 'cinematic' WHEN 'click' THEN 'recurring_gameplay' ELSE 'ordinary' END AS role, score AS selection, key::DOUBLE AS quality, printf('p%08d', key) AS path FROM ca)",
     "stats": "stats AS (SELECT run, scene, count(*) AS n, min(ord) AS first, coalesce(arg_min(role, ord) FILTER (role <> 'ordinary'), 'ordinary') AS role, greatest(max({'a': selection, 'b': quality}), {'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}) AS best FROM sm GROUP BY run, scene)",
     "grp": "grp AS (SELECT label::VARCHAR AS grp, vec_id, embedding, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)",
 }
@@ -155,7 +155,14 @@ b AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY run ORDER BY source ROWS B
 o("time_bins", "WITH {emb}, {ca}, " + BINS % (COUNT * 12) + " SELECT run, key, least(bins - 1, floor((off + greatest(0.0::DOUBLE, ts - start)) / whole * bins))::BIGINT AS bin FROM ca JOIN b USING (run, source)")
 o("source_topk", "WITH {emb}, {ca} SELECT run, source, key, row_number() OVER (PARTITION BY run, source ORDER BY score DESC, ts, key)::INT AS place FROM ca QUALIFY place <= 3")
 o("batch_numbers", "WITH {emb}, {ca} SELECT run, key, (row_number() OVER (PARTITION BY run ORDER BY key) - 1) // 12 AS batch FROM ca")
-o("memory_chunks", "SELECT doc_id, source, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536)::BIGINT AS chunk FROM documents")
+o("memory_chunks", """WITH RECURSIVE s AS (SELECT doc_id, source, coalesce(n_chars, 1048576) AS z, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+g(source, i, chunk, total, rows) AS (
+  SELECT source, 1::BIGINT, 0::BIGINT, z::BIGINT, 1::BIGINT FROM s WHERE i = 1
+  UNION ALL
+  SELECT g.source, s.i, g.chunk + over::BIGINT, CASE WHEN over THEN s.z ELSE g.total + s.z END, CASE WHEN over THEN 1 ELSE g.rows + 1 END
+  FROM g JOIN s ON s.source IS NOT DISTINCT FROM g.source AND s.i = g.i + 1, LATERAL (SELECT g.total + s.z > 65536 AND g.rows >= 16 AS over)),
+c AS (SELECT source, i, chunk, count(*) OVER (PARTITION BY source, chunk) < 16 AND chunk > 0 AND chunk = max(chunk) OVER (PARTITION BY source) AS short FROM g)
+SELECT doc_id, s.source, chunk - short::BIGINT AS chunk FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source AND s.i = c.i""")
 o("output_names", """WITH {emb}, {ca}, s AS (SELECT run, key, event_type || lpad((row_number() OVER (PARTITION BY run, event_type ORDER BY key))::VARCHAR, 4, '0') AS stem, CASE WHEN key % 2 = 0 THEN '.JPG' ELSE '.jpg' END AS suffix FROM ca),
 a AS (SELECT *, row_number() OVER (PARTITION BY run, lower(stem || suffix) ORDER BY key) - 1 AS again FROM s) SELECT run, key, stem || CASE WHEN again > 0 THEN '_' || again ELSE '' END || suffix AS name FROM a""")
 o("label_conflicts", "SELECT user_id, event_type, count(DISTINCT props) AS kinds, count(*) AS n FROM events GROUP BY ALL HAVING count(DISTINCT props) > 1")
@@ -188,11 +195,17 @@ SELECT key, i, round(CASE WHEN n = 1 THEN (st + en) / 2.0{D} WHEN i = n - 1 THEN
 o("scene_stats", "WITH {emb}, {ca}, {sm}, {stats} SELECT run, scene, n, first, role, best.a AS best_selection, best.b AS best_quality FROM stats")
 o("scene_quotas", "WITH {emb}, {ca}, {sm}, {stats}, " + quota(20) + " SELECT run, scene, quota FROM quotas")
 o("scarce_scene_quotas", "WITH {emb}, {ca}, {sm}, {stats}, " + quota(3) + " SELECT run, scene, quota FROM quotas")
-PLACE = """p0 AS (SELECT *, row_number() OVER (PARTITION BY run, scene ORDER BY selection DESC, quality DESC, path) AS sr FROM sm),
+PLACE = f"""va AS (SELECT run, scene, key, list_transform(features, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(features, lambda y: y::DOUBLE * y::DOUBLE)))) AS u, row_number() OVER (PARTITION BY run, scene ORDER BY ord, key) AS i, count(*) OVER (PARTITION BY run, scene) AS n FROM sm),
+vg(run, scene, n, t, lead, got) AS (
+  SELECT run, scene, any_value(n), 0, []::DOUBLE[][], []::INT[] FROM va GROUP BY run, scene
+  UNION ALL
+  SELECT run, scene, n, t + 1, CASE WHEN near IS NULL THEN list_append(lead, u) ELSE lead END, list_append(got, coalesce(near, len(lead) + 1)::INT)
+  FROM (SELECT vg.*, va.u, (list_filter(range(1, len(vg.lead) + 1), lambda k: list_dot_product(vg.lead[k], va.u) >= {LIKE}))[1] AS near FROM vg JOIN va ON va.run = vg.run AND va.scene = vg.scene AND va.i = vg.t + 1)),
+p0 AS (SELECT sm.*, printf('%s_%03d', sm.scene, got[i]) AS variant_group, row_number() OVER (PARTITION BY sm.run, sm.scene ORDER BY selection DESC, quality DESC, path) AS sr FROM sm JOIN va ON va.run = sm.run AND va.scene = sm.scene AND va.key = sm.key JOIN vg ON vg.run = sm.run AND vg.scene = sm.scene AND vg.t = va.n),
 p1 AS (SELECT *, row_number() OVER (PARTITION BY run, scene, variant_group ORDER BY sr) AS k, min(sr) OVER (PARTITION BY run, scene, variant_group) AS f FROM p0),
 pl AS (SELECT *, row_number() OVER (PARTITION BY run, scene ORDER BY k, f)::INT AS place FROM p1)"""
-o("variant_turns", "WITH {emb}, {ca}, {sm}, " + PLACE + " SELECT run, scene, key, place FROM pl")
-o("scene_turns", "WITH {emb}, {ca}, {sm}, {stats}, " + quota(20) + ", " + PLACE + """,
+o("variant_turns", "WITH RECURSIVE {emb}, {ca}, {sm}, " + PLACE + " SELECT run, scene, key, variant_group, place FROM pl")
+o("scene_turns", "WITH RECURSIVE {emb}, {ca}, {sm}, {stats}, " + quota(20) + ", " + PLACE + """,
 sg AS (SELECT pl.*, q.first, CASE WHEN place <= quota THEN 0 WHEN q.role = 'cinematic' THEN 2 ELSE 1 END AS segment FROM pl JOIN quotas q USING (run, scene))
 SELECT run, key, segment, row_number() OVER (PARTITION BY run ORDER BY segment, CASE WHEN segment = 0 THEN place ELSE 0 END, first, place)::INT AS turn FROM sg""")
 
@@ -281,7 +294,17 @@ taken AS (SELECT grp, unnest(list_transform(sel, lambda s: s.id)) AS vec_id, unn
 qual AS (SELECT grp, vec_id, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS quality FROM grp)"""
 
 
-o("shortlist", "WITH RECURSIVE {grp}, " + unlike(30, 0.15) + """ SELECT grp AS run, vec_id AS key, row_number() OVER (PARTITION BY grp ORDER BY pick IS NULL, pick, quality DESC, vec_id)::INT AS place FROM qual LEFT JOIN taken USING (grp, vec_id) QUALIFY place <= 30""")
+o("shortlist", """WITH RECURSIVE {grp}, q AS (SELECT grp, vec_id, u, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS quality FROM grp),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, vec_id) AS i, count(*) OVER (PARTITION BY grp) AS n FROM q),
+g(grp, n, t, sel) AS (
+  SELECT grp, any_value(n), 0, []::STRUCT(id BIGINT, u DOUBLE[])[] FROM r GROUP BY grp
+  UNION ALL
+  SELECT g.grp, g.n, g.t + 1, CASE WHEN len(g.sel) < 30 AND NOT list_contains(list_transform(g.sel, lambda s: s.id), r.vec_id) AND coalesce(list_max(list_transform(g.sel, lambda s: list_dot_product(s.u, r.u))), -1.0) <= ([0.15, 0.15 + 0.03, 0.15 + 0.06, 0.15 + 0.10, 0.15 + 0.15])[(g.t // g.n)::INT + 1]
+    THEN list_append(g.sel, {'id': r.vec_id, 'u': r.u}) ELSE g.sel END
+  FROM g JOIN r ON r.grp = g.grp AND r.i = g.t % g.n + 1 WHERE g.t < 5 * g.n),
+f AS (SELECT grp, list_transform(sel, lambda s: s.id) AS ids FROM g WHERE t = 5 * n),
+p AS (SELECT r.grp AS run, vec_id AS key, CASE WHEN n > 30 THEN coalesce(list_position(ids, vec_id), 1000000 + i) ELSE 0 END AS o FROM r JOIN f USING (grp))
+SELECT run, key, row_number() OVER (PARTITION BY run ORDER BY o, key)::INT AS place FROM p QUALIFY place <= 30""")
 o("catalog_representatives", "WITH RECURSIVE {grp}, " + LEADERS + ", " + unlike(24, 0.2) + """,
 fp AS (SELECT scene AS grp, best AS vec_id, 1000 + row_number() OVER (PARTITION BY scene ORDER BY n DESC, best DESC) AS n FROM (SELECT scene, leader, count(*) AS n, max(key) AS best FROM led GROUP BY ALL HAVING count(*) > 1)),
 sharp AS (SELECT grp, vec_id, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, vec_id) AS n FROM qual QUALIFY n <= 8),

@@ -260,7 +260,7 @@ def batch_numbers(spark, d):
 
 @query
 def memory_chunks(spark, d):
-    return interleave.memory_chunks(table(spark, d, "documents").withColumn("size", F.col("n_chars").cast("double")), "size", 65536.0, ["doc_id"], ["source"]).select("doc_id", "source", "chunk")
+    return interleave.memory_chunks(table(spark, d, "documents"), "n_chars", 65536, ["doc_id"], ["source"])
 
 
 @query
@@ -338,11 +338,17 @@ def sample_positions(spark, d):
 
 
 def scenes(spark, d) -> DataFrame:
-    """Candidates as scored scene members with variant groups."""
+    """Candidates as scored scene members."""
     role = F.when(F.col("event_type") == "purchase", "cinematic").when(F.col("event_type") == "click", "recurring_gameplay").otherwise("ordinary")
     c = candidates(spark, d, vectors=True).withColumn("scene", F.col("event_type")).withColumn("role", role)
-    c = c.withColumn("selection", F.col("score")).withColumn("quality", F.col("key").cast("double")).withColumn("path", F.format_string("p%08d", F.col("key")))
-    return c.withColumn("variant_group", F.format_string("%s_%03d", "scene", F.col("key") % 4))
+    return c.withColumn("selection", F.col("score")).withColumn("quality", F.col("key").cast("double")).withColumn("path", F.format_string("p%08d", F.col("key")))
+
+
+def placed(s: DataFrame) -> DataFrame:
+    """Scene members with the groups of like ones in a run's scene, and ``place``: the groups in turn."""
+    like = similarity.leader_groups(s, ["run", "scene"], "key", "ord", "features", LIKE)
+    like = like.select("run", "scene", "key", F.format_string("%s_%03d", "scene", "leader").alias("variant_group"))
+    return interleave.variant_turns(s.join(like, ["run", "scene", "key"]), ["run", "scene"])
 
 
 @query
@@ -362,13 +368,13 @@ def scarce_scene_quotas(spark, d):
 
 @query
 def variant_turns(spark, d):
-    return interleave.variant_turns(scenes(spark, d), ["run", "scene"]).select("run", "scene", "key", "place")
+    return placed(scenes(spark, d)).select("run", "scene", "key", "variant_group", "place")
 
 
 def turns(spark, d, count: int = 20) -> DataFrame:
     s = scenes(spark, d)
     stats = allocate.scene_quotas(allocate.scene_stats(s), count).select("run", "scene", "first", "quota", F.col("role").alias("scene_role"))
-    return interleave.scene_turns(interleave.variant_turns(s, ["run", "scene"]).join(stats, ["run", "scene"]))
+    return interleave.scene_turns(placed(s).join(stats, ["run", "scene"]))
 
 
 @query
@@ -420,25 +426,22 @@ def diversity_filter(spark, d):
 
 @query
 def variant_groups(spark, d):
-    return similarity.leader_groups(grouped_embeddings(spark, d), "grp", "vec_id", "vec_id", "embedding", 0.2)
+    return similarity.leader_groups(grouped_embeddings(spark, d), "grp", "vec_id", "vec_id", "embedding", 0.2).withColumnRenamed("grp", "scene")
 
 
 @query
 def frequent_patterns(spark, d):
     """Groups of several like vectors, largest first, with their best member (the highest id)."""
-    g = similarity.leader_groups(grouped_embeddings(spark, d), "grp", "vec_id", "vec_id", "embedding", 0.2)
+    g = variant_groups(spark, d)
     g = g.groupBy("scene", "leader").agg(F.count("*").alias("n"), F.max("key").alias("best")).where("n > 1")
     return g.withColumn("place", F.row_number().over(W.partitionBy("scene").orderBy(F.col("n").desc(), F.col("best").desc()))).select("scene", "leader", "n", "best", "place")
 
 
 @query
 def shortlist(spark, d):
-    """Unlike vectors of a group first, then the rest by quality, up to a size that follows the number wanted."""
-    e = grouped_embeddings(spark, d)
-    size = 30
-    f = similarity.diverse_filter(e, "grp", "vec_id", "vec_id", "embedding", size, [0.15]).join(e.select(F.col("vec_id").alias("key"), V.norm(F.col("embedding")).alias("quality")), "key")
-    rank = F.row_number().over(W.partitionBy("run").orderBy(F.col("pick") == 0, "pick", F.col("quality").desc(), "key"))
-    return f.withColumn("place", rank).where(F.col("place") <= size).select("run", "key", "place")
+    """Unlike vectors of a group first, by quality, then the rest by quality, up to a size that follows the number wanted."""
+    e = grouped_embeddings(spark, d).select(F.col("grp").alias("run"), F.col("vec_id").alias("key"), V.norm(F.col("embedding")).alias("quality"), F.col("embedding").alias("features"))
+    return select.shortlist(e, select.shortlist_size(3, least=20, most=200), similarity.ladder(0.15))
 
 
 @query

@@ -183,6 +183,51 @@ def test_names_collide_without_regard_to_case(spark):
     assert got == ["A0001.png", "a0001_1.PNG", "A0002.png"]
 
 
+def chunks_by_loop(sizes, budget, least):
+    """Plain walk of one run: chunk of each size."""
+    bounds, start, total, count = [], 0, 0, 0
+    for i, z in enumerate(sizes):
+        if i and total + z > budget and count >= least:
+            bounds.append((start, i))
+            start, total, count = i, z, 1
+        else:
+            total, count = total + z, count + 1
+    bounds.append((start, len(sizes)))
+    if len(bounds) > 1 and bounds[-1][1] - bounds[-1][0] < least:
+        end = bounds.pop()[1]
+        bounds[-1] = (bounds[-1][0], end)
+    return [n for n, (a, b) in enumerate(bounds) for _ in range(b - a)]
+
+
+@pytest.mark.parametrize("batch, least", [(10_000, 16), (7, 4), (3, 5), (1, 1)])
+def test_memory_chunks_equal_the_loop(spark, batch, least):
+    rng = np.random.default_rng(least)
+    runs = {"hot": 400, None: 37, "a": 1, "b": 3, "c": 16}
+    rows = [(r, i, None if i % 29 == 5 else int(rng.choice([0, 3, 40, 90, 400]))) for r, n in runs.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "run string, o long, size long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = interleave.memory_chunks(df, "size", 200, ["o"], ["run"], least, unknown=150).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for run in runs:
+        own = [150 if z is None else z for r, _, z in rows if r == run]
+        assert [x.chunk for x in sorted(got, key=lambda x: x.o) if x.run == run] == chunks_by_loop(own, 200, least)
+
+
+def test_memory_chunks_of_nothing(spark):
+    assert interleave.memory_chunks(spark.createDataFrame([], "run string, o long, size long"), "size", 200, ["o"], ["run"]).count() == 0
+
+
+def test_shortlist(spark):
+    assert [select.shortlist_size(n) for n in (-1, 0, 30, 100, 200, 600, 2000, 3000)] == [500, 500, 500, 1000, 2000, 2000, 2000, 3300]
+    vectors = [(1, 0), (0.9, 0.1), (0, 1), (0.1, 0.9)]
+    rows = [(r, i, 4.0 - i, [float(x) for x in v]) for r, part in ((1, vectors), (2, vectors[:2])) for i, v in enumerate(part)]
+    df = spark.createDataFrame(rows, "run int, key int, quality double, features array<double>")
+    got = sorted((r.run, r.place, r.key) for r in select.shortlist(df, 3, [0.5]).collect())
+    assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 1), (2, 1, 0), (2, 2, 1)]
+
+
 def test_too_large_groups_raise(spark):
     df = spark.range(similarity.MOST_ROWS + 1).select(F.lit(1).alias("run"), F.col("id").alias("key"), F.array(F.lit(1.0)).alias("v"))
     with pytest.raises(Exception, match="walked in order"):
