@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumeset.functions import metrics as M
 from lumeset.functions import text as X
 from lumeset.functions import vectors as V
-from lumeset.operators import allocate, interleave, profile, reject, select, similarity
+from lumeset.operators import allocate, blocks, interleave, profile, reject, select, similarity
 
 METRICS = "brightness contrast edge_density action_intensity luminance_entropy luminance_range near_black_ratio near_white_ratio dominant_tone_ratio".split()
 FRAMES = {
@@ -228,10 +228,34 @@ def test_shortlist(spark):
     assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 1), (2, 1, 0), (2, 2, 1)]
 
 
-def test_too_large_groups_raise(spark):
-    df = spark.range(similarity.MOST_ROWS + 1).select(F.lit(1).alias("run"), F.col("id").alias("key"), F.array(F.lit(1.0)).alias("v"))
+def test_too_large_runs_raise(spark):
+    df = spark.range(similarity.MOST_ROWS + 1).select(F.lit(1).alias("run"), F.col("id").alias("key"), F.col("id").alias("turn"), F.lit(0).alias("segment"), F.lit("ordinary").alias("role"), F.array(F.lit(1.0)).alias("features"))
     with pytest.raises(Exception, match="walked in order"):
-        similarity.diverse_filter(df, "run", "key", "key", "v", 2, [0.5]).collect()
+        select.similar_aware_choice(df, 2, [0.5]).collect()
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, int(rng.integers(0, 50)), rng.normal(size=3).tolist()) for g, n in (("a", 300), (None, 220), ("b", 30)) for i in range(n)]
+    return spark.createDataFrame(rows, "g string, key long, o int, v array<double>").repartition(5)
+
+
+@pytest.mark.parametrize("block", [7, 64])
+@pytest.mark.parametrize("at_least", [0.6, 0.97])
+def test_leader_groups_in_blocks(vectors, monkeypatch, block, at_least):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(blocks, "SLICE", 50)
+    want = similarity.leader_groups(vectors, "g", "key", "o", "v", at_least).collect()
+    assert len(want) == 550 and sorted(map(repr, want)) == sorted(map(repr, similarity.leader_groups(vectors, "g", "key", "o", "v", at_least, most=100).collect()))
+
+
+@pytest.mark.parametrize("count, steps", [(0, [0.5]), (4, [0.5]), (12, [0.3, 0.6, 0.9]), (40, [0.6, 0.9]), (400, [0.5, 0.995])])
+def test_diverse_filter_in_blocks(vectors, monkeypatch, count, steps):
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "SLICE", 50)
+    want = similarity.diverse_filter(vectors, "g", "key", "o", "v", count, steps).collect()
+    assert len(want) == 550 and sorted(map(repr, want)) == sorted(map(repr, similarity.diverse_filter(vectors, "g", "key", "o", "v", count, steps, most=100).collect()))
 
 
 def scene_select_by_loop(rows, count, steps):
