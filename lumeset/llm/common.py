@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumeset.session import shared_folder
+from lumeset.session import materialise  # noqa: F401
 
 #: ASCII white space; a word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\t\n\x0b\x0c\r "
 
-def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage: what follows survives lost executors without computing df anew, and an
-    expensive df that is used twice is computed once. Each call takes a new folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumeset/{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def words_in(text: str) -> F.Column:
     """Number of words; a null text has none."""
