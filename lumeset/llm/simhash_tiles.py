@@ -74,25 +74,22 @@ def forest(nodes: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndar
     bits = np.bitwise_count(nodes)
     order = np.argsort(bits, kind="stable")
     nodes, bits = nodes[order], bits[order].astype(np.int64)
-    parent = np.arange(len(nodes))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    group = np.arange(len(nodes))  # rows of one number are linked already
     links = []
     for a in range(0, len(nodes), tile):
         for b in range(a, len(nodes), tile):
             if bits[b] - bits[min(a + tile, len(nodes)) - 1] > radius:
                 break  # all later tiles have larger bit counts
             near = np.bitwise_count(nodes[a : a + tile, None] ^ nodes[None, b : b + tile]) <= radius
-            for i, j in np.argwhere(near):
-                i, j = a + int(i), b + int(j)
-                if i < j and (x := root(i)) != (y := root(j)):
-                    parent[max(x, y)] = min(x, y)
-                    links.append((order[i], order[j]))
+            near = np.triu(near, 1) if a == b else near
+            for i in np.flatnonzero(near.any(axis=1)):
+                others = b + np.flatnonzero(near[i])
+                # one link to each group that the row is near to and not in
+                apart, first = np.unique(group[others], return_index=True)
+                new = apart != group[a + i]
+                if new.any():
+                    links += [(order[a + i], order[j]) for j in others[first[new]]]
+                    group[np.isin(group, apart)] = group[a + i]
     return np.asarray(links, np.int64).reshape(-1, 2)
 
 

@@ -683,3 +683,17 @@ def test_pipeline_stages(spark, small):
     last = corpus_pipeline.STAGES[-1][1](spark, df, small).collect()
     check_sequences(last)
     assert {r.doc_id for r in last} == {r.doc_id for r in df.select("doc_id").distinct().collect()}
+
+
+@pytest.mark.parametrize("n, bits, tile", [(0, 8, 4), (1, 8, 4), (200, 9, 7), (300, 12, 32), (500, 20, 1024)])
+def test_forest_links_what_brute_force_links(n, bits, tile):
+    nodes = np.unique(np.random.default_rng(n).integers(0, 1 << bits, n).astype(np.uint64))
+    near = np.bitwise_count(nodes[:, None] ^ nodes[None]) <= 2
+    want = np.arange(len(nodes))
+    for _ in nodes:
+        want = np.array([want[row].min() for row in near], int)
+    got = np.arange(len(nodes))
+    for i, j in simhash_tiles.forest(nodes, 2, tile):
+        assert near[i, j] and got[i] != got[j]  # a link of near nodes that are not connected yet
+        got[(got == got[i]) | (got == got[j])] = min(got[i], got[j])
+    assert got.tolist() == want.tolist()
