@@ -36,24 +36,24 @@ def pick_diverse(rows: dict[str, np.ndarray], count: int, distinct_bits: int, vi
     n = len(ts)
     hashes = rows["h"].astype(np.int64).view(np.uint64)
     scene, source = (np.unique(rows[c], return_inverse=True)[1] for c in ("scene", "source"))
-    family = rows["family"] if families else np.full(n, "content")
-    caps = {k: f(count) for k, f in SOFT_CAPS.items()}
+    names, family = np.unique(rows["family"].astype(str), return_inverse=True) if families else (np.array(["content"]), np.zeros(n, int))
+    caps = np.array([SOFT_CAPS[f](count) if f in SOFT_CAPS else np.inf for f in names.tolist()])
+    weighed = np.where(names == "content", 0.0, 1.5)
     scale = time_scales(source, ts, count)
     vd, td, left = np.full(n, 64), scale.copy(), np.ones(n, bool)
     scenes, sources = np.zeros(scene.max() + 1), np.zeros(source.max() + 1)
-    shown: dict[str, int] = {}
+    shown = np.zeros(len(names))
     chosen: list[int] = []
     while len(chosen) < count:
         pool = left & (sources[source] == 0) if len(chosen) < min(count, len(sources)) else left
         if families:
-            full = {k for k, cap in caps.items() if shown.get(k, 0) >= cap}
-            wanted = pool & ~np.isin(family, list(full))
+            wanted = pool & (shown < caps)[family]
             pool = wanted if wanted.any() else pool
             apart = pool & (vd >= distinct_bits)
             pool = apart if apart.any() else pool
         total = score + 14.0 / (scenes[scene] + 1) + 12.0 / (sources[source] + 1) + np.minimum(32, vd) * visual + np.minimum(scale, td) / scale * time
         if families:
-            total = total - np.where(family != "content", np.array([shown.get(f, 0) for f in family]) * 1.5, 0.0)
+            total = total - (shown * weighed)[family]
         total = total - np.where((vd < distinct_bits) & (td < 60), duplicate, 0.0)
         rows = np.flatnonzero(pool)
         best = rows[np.lexsort((rows, ts[rows], -score[rows], -total[rows]))[0]]
@@ -61,7 +61,7 @@ def pick_diverse(rows: dict[str, np.ndarray], count: int, distinct_bits: int, vi
         left[best] = False
         scenes[scene[best]] += 1
         sources[source[best]] += 1
-        shown[family[best]] = shown.get(family[best], 0) + 1
+        shown[family[best]] += 1
         vd = np.minimum(vd, np.bitwise_count(hashes ^ hashes[best]))
         same = source == source[best]
         td = np.where(same, np.where(sources[source] == 1, np.abs(ts - ts[best]), np.minimum(td, np.abs(ts - ts[best]))), td)
