@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumeset.llm import anisotropic_search, best_fit_packing, flat_blocks, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
+from lumeset.llm import anisotropic_search, best_fit_packing, flat_blocks, hard_negatives, lookup_clusters, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_risk_controlled_quality": risk_controlled_quality.op8_risk_controlled_quality,
     "op9_url_reputation": url_reputation.op9_url_reputation,
     "op10_suffix_repeats": suffix_repeats.op10_suffix_repeats,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op13_lookup_clusters": lookup_clusters.op13_lookup_clusters,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op4_warc_zstd": warc_zstd.ORACLE_SQL,
     "op8_risk_controlled_quality": risk_controlled_quality.oracle_sql(),
     "op9_url_reputation": url_reputation.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_lookup_clusters": lookup_clusters.ORACLE_SQL,
 }
