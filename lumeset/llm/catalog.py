@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumeset.llm import anisotropic_search, best_fit_packing, flat_blocks, hard_negatives, lookup_clusters, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, suffix_repeats, url_reputation, warc_zstd
+from lumeset.llm import anisotropic_search, best_fit_packing, flat_blocks, hard_negatives, lookup_clusters, risk_controlled_quality, simhash_tiles, slot_shards, source_mix, subword_quality, suffix_repeats, url_reputation, warc_zstd
 
 QUERIES = {
     "op1_slot_shards": slot_shards.op1_slot_shards,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_reputation": url_reputation.op9_url_reputation,
     "op10_suffix_repeats": suffix_repeats.op10_suffix_repeats,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_subword_quality": subword_quality.op12_subword_quality,
     "op13_lookup_clusters": lookup_clusters.op13_lookup_clusters,
 }
 
