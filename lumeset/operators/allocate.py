@@ -118,3 +118,26 @@ def scene_quotas(scenes: DataFrame, count: int, run: str = "run") -> DataFrame:
     rank = F.row_number().over(W.partitionBy(run).orderBy("k", "turn"))
     given = units.withColumn("r", rank).where("r <= places").groupBy(run, "scene").agg(F.count("*").alias("quota"))
     return df.join(given, [run, "scene"], "left").select(*scenes.columns, F.coalesce("quota", F.lit(0)).alias("quota"))
+
+
+def round_robin(groups: DataFrame, run: str = "run") -> DataFrame:
+    """Add ``given``: ``target`` units of each run dealt one at a time to its groups in turn, none more than its ``free``.
+
+    groups: run, turn, free, target (the same in a run). In closed form: what all get is the level at which the units would be used up if larger
+    groups stopped there; the first of the larger ones get one more.
+    """
+    by = W.partitionBy(run)
+    rising = by.orderBy("free", "turn")
+    at, below = F.row_number().over(rising), F.coalesce(F.sum("free").over(rising.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    df = groups.withColumn("_at", at).withColumn("_below", below).withColumn("_groups", F.count("*").over(by))
+    # if all larger groups stopped at this one's size
+    df = df.withColumn("_held", F.col("_below") + F.col("free") * (F.col("_groups") - F.col("_at") + 1))
+    known = F.max(F.when(F.col("_held") <= F.col("target"), F.struct("_at", "free", "_held", "_groups"))).over(by)
+    df = df.withColumn("_known", known)
+    base, held = F.coalesce("_known.free", F.lit(0)), F.coalesce("_known._held", F.lit(0))
+    over = F.count_if(F.col("free") > F.coalesce("_known.free", F.lit(0))).over(by)
+    df = df.withColumn("_base", base).withColumn("_rest", F.greatest(F.lit(0), F.col("target") - held)).withColumn("_over", over)
+    larger = F.col("free") > F.col("_base")
+    place = F.row_number().over(W.partitionBy(run, larger).orderBy("turn"))
+    more = F.when(larger, F.floor(F.col("_rest") / F.col("_over")) + F.when(place <= F.col("_rest") % F.col("_over"), 1).otherwise(0)).otherwise(0)
+    return df.withColumn("given", F.least("free", F.least("free", "_base") + more).cast("int")).select(*groups.columns, "given")

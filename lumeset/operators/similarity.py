@@ -113,16 +113,16 @@ def diverse_filter(df: DataFrame, run: str, key: str, order: str, vec: str, coun
         place[chosen] = np.arange(1, len(chosen) + 1)
         return {"run": rows["run"], "key": rows["key"], "pick": place, "refused": np.isin(np.arange(len(x)), list(refused))}
 
-    def pick(x: np.ndarray, wanted: int, threshold: float) -> list[int]:
+    def pick(x: np.ndarray, wanted: int, thresholds: np.ndarray) -> list[int]:
         chosen: list[int] = []
-        walk_diverse(x, min(wanted, len(x)), [np.full(len(x), threshold)], np.arange(len(x)), chosen)
+        walk_diverse(x, min(wanted, len(x)), [thresholds], np.arange(len(x)), chosen)
         return chosen
 
     rows = df.select(F.col(run).alias("run"), F.col(key).alias("key"), F.col(order).alias("o"), F.col(vec).alias("v"))
     kind = dict(rows.dtypes)
     small, large, sizes = by_size(rows, ["run"], most)
     found = walk(small, ["run"], ["o", "key"], one, f"run {kind['run']}, key {kind['key']}, pick int, refused boolean")
-    return found if large is None else found.union(picks_of_large(large, sizes, ["run", "key"], count, thresholds, pick))
+    return found if large is None else found.union(picks_of_large(large, sizes, ["run", "key"], count, [(F.lit(True), F.lit(t)) for t in thresholds], pick))
 
 
 def leaders(x: np.ndarray, at_least: float) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MOST_ROWS = 4000  # of a group that is walked as one; a larger one raises
+MOST_ROWS = 4000  # of a group that is walked as one; larger ones are walked in blocks or rounds
 
 Columns = dict[str, np.ndarray]
 

@@ -228,12 +228,6 @@ def test_shortlist(spark):
     assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 1), (2, 1, 0), (2, 2, 1)]
 
 
-def test_too_large_runs_raise(spark):
-    df = spark.range(similarity.MOST_ROWS + 1).select(F.lit(1).alias("run"), F.col("id").alias("key"), F.col("id").alias("turn"), F.lit(0).alias("segment"), F.lit("ordinary").alias("role"), F.array(F.lit(1.0)).alias("features"))
-    with pytest.raises(Exception, match="walked in order"):
-        select.similar_aware_choice(df, 2, [0.5]).collect()
-
-
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
