@@ -103,3 +103,19 @@ def relative_transition(washout: Column) -> tuple[Column, Column]:
     bright = clamp01(0.35 * above + 0.25 * over("near_white_ratio", 0.05, 0.18) + 0.20 * washout + 0.20 * lost)
     dark = clamp01(0.40 * below + 0.25 * over("near_black_ratio", 0.05, 0.18) + 0.20 * over("dominant_tone_ratio", 0.55, 0.20) + 0.15 * lost)
     return bright, dark
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """x rounded to decimal digits by its exact binary value, a tie to the even digit: 2.675 is less than it looks and gives 2.67.
+
+    x times the power of ten is taken as the exact sum of two products of halves of its digits, so that the comparison with a tie has no error.
+    Values so large that they have no such digits stay as they are; so do null, NaN and the infinities.
+    """
+    power = float(10**digits)
+    turned = x * 134217729.0
+    high = turned - (turned - x)
+    a, b = high * power, (x - high) * power
+    whole = F.floor(a + b)
+    over = (a - (whole + 0.5)) + b
+    units = F.when(over > 0, whole + 1).when(over < 0, whole).otherwise(whole + F.abs(whole % 2))
+    return F.when(F.abs(x) < 2.0**52 / power, F.when(units == 0, F.lit(0.0) * x).otherwise(units / power)).otherwise(x)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the key of a scene without letters or digits
 OTHER_SCENE = "その他"
 #: Families of special screens, by whole name and by phrase
 FAMILY_NAMES = {"title": ("タイトル", "オープニング", "opening", "title"), "map": ("マップ", "地図", "map", "world map"), "menu": ("メニュー", "インベントリ", "menu", "inventory")}
@@ -13,33 +16,44 @@ FAMILY_PHRASES = {
     "map": ("世界地図", "ワールドマップ", "マップ画面", "map screen"),
     "menu": ("メニュー画面", "装備画面", "設定画面", "ステータス画面", "settings screen"),
 }
+#: Roles of a scene
 ROLES = ("ordinary", "cinematic", "recurring_gameplay")
 #: What follows a title, the first that is found counts; white space and digits of all scripts
 TITLE_ENDS = (r"(?iU)\s+part\s*\d+.*$", r"(?iU)\s+#\d+.*$", r"(?iU)\s+パート\s*\d+.*$")
 
 
+#: Characters whose folded form is not their lower case, by the rules of Unicode that Python's own strings follow
+FOLDED = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c.lower()}
+FOLDING = "[" + "".join(FOLDED) + "\u03a3]"  # and capital sigma, whose lower case depends on its place
+
+
+def casefold(text: Column) -> Column:
+    """Text for comparisons without regard to case: sharp s is ss, ligatures are their letters."""
+    table = F.create_map(*(F.lit(x) for pair in FOLDED.items() for x in pair))
+    each = F.transform(F.split(text, "(?<=.)(?=.)"), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    return F.when(text.rlike(FOLDING), F.array_join(each, "")).otherwise(F.lower(text))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_scene(scene: Column) -> Column:
-    """Letters and digits in lower case, 48 characters at most, or a fixed name if none is left."""
-    kept = F.substring(F.regexp_replace(F.lower(scene), r"[^\p{L}\p{N}]", ""), 1, 48)
+    """Letters and digits without regard to case, 48 characters at most, or a fixed name if none is left."""
+    kept = F.substring(F.regexp_replace(casefold(scene), r"[^\p{L}\p{N}]", ""), 1, 48)
     return F.when(F.coalesce(kept, F.lit("")) == "", OTHER_SCENE).otherwise(kept)
 
 
 def screen_family(scene: Column) -> Column:
-    name = F.lower(strip(scene))
-    out = F.lit("content")
-    for family, phrases in reversed(FAMILY_PHRASES.items()):
-        found = F.lit(False)
-        for phrase in phrases:
-            found = found | name.contains(phrase)
-        out = F.when(found, family).otherwise(out)
-    for family, names in reversed(FAMILY_NAMES.items()):
-        out = F.when(name.isin(*names), family).otherwise(out)
-    return out
+    """The family of a special screen by its whole name, else by a phrase in it, else content."""
+    name = strip(casefold(scene))
+    named = [(family, name.isin(*names)) for family, names in FAMILY_NAMES.items()]
+    phrased = [(family, reduce(Column.__or__, (name.contains(p) for p in phrases))) for family, phrases in FAMILY_PHRASES.items()]
+    out = F
+    for family, found in named + phrased:
+        out = out.when(found, family)
+    return out.otherwise("content")
 
 
 def role(value: Column) -> Column:

@@ -72,6 +72,7 @@ REASON = """CASE
   WHEN (near_white_ratio >= 0.28 OR brightness >= greatest(200.0, p_brightness_90) OR near_black_ratio >= 0.28 OR brightness <= least(58.0, p_brightness_10))
     AND contrast <= greatest(12.0, p_contrast_25) AND edge_density <= greatest(0.08, p_edge_density_25)
     AND (dominant_tone_ratio >= 0.72 OR luminance_range <= greatest(28.0, p_luminance_range_25)) THEN 'fade_transition' END"""
+#: In text of these tables no letter but sharp s folds to other letters
 KEY_SCENE = f"coalesce(nullif(substr(regexp_replace(lower(%s), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 1, 48), ''), '{OTHER_SCENE}')"
 
 
@@ -114,6 +115,9 @@ def o(name: str, sql: str) -> None:
 
 
 o("profile_percentiles", "WITH {fr}, p AS (" + PROFILE + ") SELECT " + ", ".join(f"round(p_{m}_{q}, 6) AS p_{m}_{q}" for m in PROFILED for q in POINTS) + " FROM p")
+o("report_profile", "WITH {fr}, p AS (" + PROFILE + "), l AS (SELECT unnest([" + ", ".join(f"{{'metric': '{m}', 'point': {q}, 'x': p_{m}_{q} / 3.0{D}}}" for m in PROFILED for q in POINTS) + f"""], recursive := true) FROM p),
+h AS (SELECT *, x * 134217729.0{D} - (x * 134217729.0{D} - x) AS hi FROM l), w AS (SELECT *, floor(hi * 10000.0{D} + (x - hi) * 10000.0{D}) AS whole FROM h), o AS (SELECT *, (hi * 10000.0{D} - (whole + 0.5{D})) + (x - hi) * 10000.0{D} AS over FROM w)
+SELECT metric, point, CASE WHEN over > 0 THEN whole + 1 WHEN over < 0 THEN whole ELSE whole + abs(whole % 2) END / 10000.0{D} AS value FROM o""")
 o("frame_scores", f"""WITH {{fr}}, {{norm}}, q AS (SELECT *, {QUALITY} AS quality, {VIS} AS visibility, {WASH} AS washout FROM norm)
 SELECT k1, k2, k3, k4, k5, (brightness < 7 AND contrast < 4) OR (brightness > 248 AND contrast < 4) OR (contrast < 2 AND blur_score < 1) AS unusable,
   round((greatest(0.0{D}, 1.0{D} - abs(brightness - 125.0{D}) / 125.0{D}) * 0.10{D} + least(1.0{D}, contrast / 70.0{D}) * 0.25{D} + least(1.0{D}, ln(1.0{D} + blur_score) / ln(801.0{D})) * 0.35{D} + least(1.0{D}, luminance_entropy / 7.5{D}) * 0.30{D}) * 100.0{D}, 6) AS mechanical,
@@ -270,7 +274,15 @@ g(grp, n, t, lead, got) AS (
   FROM (SELECT g.*, o.u, (list_filter(range(1, len(g.lead) + 1), lambda k: list_dot_product(g.lead[k], o.u) >= 0.2))[1] AS near FROM g JOIN o ON o.grp = g.grp AND o.i = g.t + 1) g WHERE g.t < g.n)
 , led AS (SELECT o.grp AS scene, vec_id AS key, got[i] AS leader FROM o JOIN g ON o.grp = g.grp AND g.t = g.n)"""
 o("variant_groups", "WITH RECURSIVE {grp}, " + LEADERS + " SELECT * FROM led")
-o("frequent_patterns", "WITH RECURSIVE {grp}, " + LEADERS + ", c AS (SELECT scene, leader, count(*) AS n, max(key) AS best FROM led GROUP BY ALL HAVING count(*) > 1) SELECT *, row_number() OVER (PARTITION BY scene ORDER BY n DESC, best DESC)::INT AS place FROM c")
+SHARP = "sharp AS (SELECT grp, vec_id, u, embedding[1]::DOUBLE AS quality, row_number() OVER (PARTITION BY grp ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS i, count(*) OVER (PARTITION BY grp) AS n FROM grp)"
+PATTERNS = """g(grp, n, t, lead, got) AS (
+  SELECT grp, any_value(n), 0, []::DOUBLE[][], []::INT[] FROM sharp GROUP BY grp
+  UNION ALL
+  SELECT g.grp, g.n, g.t + 1, CASE WHEN near IS NULL THEN list_append(g.lead, g.u) ELSE g.lead END, list_append(g.got, coalesce(near, len(g.lead) + 1)::INT)
+  FROM (SELECT g.*, s.u, (list_filter(range(1, len(g.lead) + 1), lambda k: list_dot_product(g.lead[k], s.u) >= 0.2))[1] AS near FROM g JOIN sharp s ON s.grp = g.grp AND s.i = g.t + 1) g WHERE g.t < g.n),
+pattern AS (SELECT s.grp AS scene, got[i] AS leader, count(*) AS n, max(quality) AS sharpest, arg_min(vec_id, i) AS best FROM sharp s JOIN g ON s.grp = g.grp AND g.t = s.n GROUP BY ALL HAVING count(*) > 1),
+often AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY n DESC, sharpest DESC, best) AS place FROM pattern)"""
+o("frequent_patterns", "WITH RECURSIVE {grp}, " + SHARP + ", " + PATTERNS + " SELECT scene, leader, n, best, place::INT AS place FROM often")
 o("classification_refill", f"""WITH {{emb}}, {{ca}}, c AS (SELECT run, key, row_number() OVER w AS i, NOT is_transition AS ok, coalesce(sum((NOT is_transition)::INT) OVER (PARTITION BY run ORDER BY score DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ca WINDOW w AS (PARTITION BY run ORDER BY score DESC, key))
 SELECT run, key, i::INT AS i, ok FROM c WHERE before < {COUNT}""")
 o("histogram_metrics", """WITH e AS (SELECT user_id, least(255, floor(value / 2.0))::INT AS tone FROM events), n AS (SELECT user_id, tone, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT user_id, sum(n) AS t FROM n GROUP BY 1),
@@ -282,34 +294,29 @@ o("sheet_layout", greedy(True) + ", " + PICKED + ", pl AS (SELECT run, key, row_
 o("quality_scene_join", "WITH {emb}, {ca}, {sm} SELECT event_type, max(role) AS role, avg((role = 'ordinary')::INT) AS without, count(*) AS n FROM sm GROUP BY event_type")
 
 
-def unlike(count: int, threshold: float) -> str:
-    """CTEs o, dv, dvf: rows of each grp taken in order while unlike those taken (one threshold)."""
-    return f"""od AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY grp) AS n FROM grp),
-dv(grp, n, t, sel) AS (
-  SELECT grp, any_value(n), 0, []::STRUCT(id BIGINT, u DOUBLE[])[] FROM od GROUP BY grp
+o("shortlist", """WITH RECURSIVE {emb}, {ca},
+r AS (SELECT event_type AS run, key, value AS quality, features_id % (SELECT count(*) FROM embeddings) AS v, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, key) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ca),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
+st(step, thr) AS (VALUES (0, 0.72::DOUBLE), (1, 0.75::DOUBLE), (2, 0.78::DOUBLE), (3, 0.82::DOUBLE), (4, 0.87::DOUBLE)),
+like_ AS MATERIALIZED (SELECT a.vec_id AS v, step, list(b.vec_id) AS near FROM u a, u b, st WHERE list_dot_product(a.u, b.u) > thr GROUP BY ALL),
+x AS MATERIALIZED (SELECT r.run, r.key, r.v, step * n + i AS t, coalesce(near, []) AS near FROM r CROSS JOIN st LEFT JOIN like_ USING (v, step) WHERE n > 500),
+g(run, n, t, keys, vecs) AS (
+  SELECT DISTINCT run, n, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM r WHERE n > 500
   UNION ALL
-  SELECT dv.grp, dv.n, dv.t + 1, CASE WHEN len(dv.sel) < {count} AND coalesce(list_max(list_transform(dv.sel, lambda s: list_dot_product(s.u, od.u))), -1.0) <= {threshold} THEN list_append(dv.sel, {{'id': od.vec_id, 'u': od.u}}) ELSE dv.sel END
-  FROM dv JOIN od ON od.grp = dv.grp AND od.i = dv.t + 1 WHERE dv.t < dv.n),
-taken AS (SELECT grp, unnest(list_transform(sel, lambda s: s.id)) AS vec_id, unnest(range(1, len(sel) + 1)) AS pick FROM dv WHERE t = n),
-qual AS (SELECT grp, vec_id, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS quality FROM grp)"""
-
-
-o("shortlist", """WITH RECURSIVE {grp}, q AS (SELECT grp, vec_id, u, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS quality FROM grp),
-r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, vec_id) AS i, count(*) OVER (PARTITION BY grp) AS n FROM q),
-g(grp, n, t, sel) AS (
-  SELECT grp, any_value(n), 0, []::STRUCT(id BIGINT, u DOUBLE[])[] FROM r GROUP BY grp
+  SELECT g.run, g.n, g.t + 1, CASE WHEN ok THEN list_append(keys, x.key) ELSE keys END, CASE WHEN ok THEN list_append(vecs, x.v) ELSE vecs END
+  FROM g JOIN x ON x.run = g.run AND x.t = g.t + 1, LATERAL (SELECT len(keys) < 500 AND NOT list_has_any(vecs, x.near) AND NOT list_contains(keys, x.key) AS ok) WHERE g.t < 5 * g.n),
+f AS (SELECT run, unnest(keys) AS key, unnest(range(1, len(keys) + 1)) AS pick FROM g WHERE t = 5 * n),
+p AS (SELECT r.run, r.key, CASE WHEN n > 500 THEN coalesce(pick, 1000000 + i) ELSE 0 END AS o FROM r LEFT JOIN f USING (run, key))
+SELECT run, key, row_number() OVER (PARTITION BY run ORDER BY o, key)::INT AS place FROM p QUALIFY place <= 500""")
+o("catalog_representatives", "WITH RECURSIVE {grp}, " + SHARP + ", " + PATTERNS + """,
+dv(grp, n, t, sel) AS (
+  SELECT grp, any_value(n), 0, []::STRUCT(id BIGINT, u DOUBLE[])[] FROM sharp GROUP BY grp
   UNION ALL
-  SELECT g.grp, g.n, g.t + 1, CASE WHEN len(g.sel) < 30 AND NOT list_contains(list_transform(g.sel, lambda s: s.id), r.vec_id) AND coalesce(list_max(list_transform(g.sel, lambda s: list_dot_product(s.u, r.u))), -1.0) <= ([0.15, 0.15 + 0.03, 0.15 + 0.06, 0.15 + 0.10, 0.15 + 0.15])[(g.t // g.n)::INT + 1]
-    THEN list_append(g.sel, {'id': r.vec_id, 'u': r.u}) ELSE g.sel END
-  FROM g JOIN r ON r.grp = g.grp AND r.i = g.t % g.n + 1 WHERE g.t < 5 * g.n),
-f AS (SELECT grp, list_transform(sel, lambda s: s.id) AS ids FROM g WHERE t = 5 * n),
-p AS (SELECT r.grp AS run, vec_id AS key, CASE WHEN n > 30 THEN coalesce(list_position(ids, vec_id), 1000000 + i) ELSE 0 END AS o FROM r JOIN f USING (grp))
-SELECT run, key, row_number() OVER (PARTITION BY run ORDER BY o, key)::INT AS place FROM p QUALIFY place <= 30""")
-o("catalog_representatives", "WITH RECURSIVE {grp}, " + LEADERS + ", " + unlike(24, 0.2) + """,
-fp AS (SELECT scene AS grp, best AS vec_id, 1000 + row_number() OVER (PARTITION BY scene ORDER BY n DESC, best DESC) AS n FROM (SELECT scene, leader, count(*) AS n, max(key) AS best FROM led GROUP BY ALL HAVING count(*) > 1)),
-sharp AS (SELECT grp, vec_id, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, vec_id) AS n FROM qual QUALIFY n <= 8),
-al AS (SELECT grp, vec_id, min(n) AS n FROM (SELECT grp, vec_id, n FROM sharp UNION ALL SELECT grp, vec_id, n FROM fp UNION ALL SELECT grp, vec_id, 100000 + pick FROM taken) GROUP BY ALL)
-SELECT grp AS run, vec_id AS key, row_number() OVER (PARTITION BY grp ORDER BY n)::INT AS place FROM al QUALIFY place <= 24""")
+  SELECT dv.grp, dv.n, dv.t + 1, CASE WHEN len(dv.sel) < 24 AND coalesce(list_max(list_transform(dv.sel, lambda s: list_dot_product(s.u, sharp.u))), -1.0) <= 0.2 THEN list_append(dv.sel, {'id': sharp.vec_id, 'u': sharp.u}) ELSE dv.sel END
+  FROM dv JOIN sharp ON sharp.grp = dv.grp AND sharp.i = dv.t + 1 WHERE dv.t < dv.n),
+apart AS (SELECT grp, unnest(list_transform(sel, lambda s: s.id)) AS vec_id, unnest(range(1, len(sel) + 1)) AS pick FROM dv WHERE t = n),
+al AS (SELECT grp, vec_id, min(n) AS n FROM (SELECT grp, vec_id, CASE WHEN i <= 8 THEN i ELSE 3000000000 + i END AS n FROM sharp UNION ALL SELECT scene, best, 1000000000 + place FROM often UNION ALL SELECT grp, vec_id, 2000000000 + pick FROM apart) GROUP BY ALL)
+SELECT al.grp AS run, al.vec_id AS key, row_number() OVER (PARTITION BY al.grp ORDER BY CASE WHEN sharp.n <= 24 THEN i END, al.n)::INT AS place FROM al JOIN sharp ON sharp.grp = al.grp AND sharp.vec_id = al.vec_id QUALIFY place <= 24""")
 o("scene_select", "WITH RECURSIVE {emb}, {ca}, {sm}, {stats}, " + quota(20) + ", " + PLACE + """,
 sg AS (SELECT pl.*, q.first, CASE WHEN place <= quota THEN 0 WHEN q.role = 'cinematic' THEN 2 ELSE 1 END AS segment FROM pl JOIN quotas q USING (run, scene)),
 tu AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY segment, CASE WHEN segment = 0 THEN place ELSE 0 END, first, place) AS turn, list_transform(features, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(features, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM sg),

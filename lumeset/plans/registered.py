@@ -88,6 +88,14 @@ def temporal_dip_filter(spark, d):
     return reject.temporal_dips(df, ["run"], ["ts", "key"], similarity=0.05, margin=0.05).select("run", "key", "dip")
 
 
+@query
+def report_profile(spark, d):
+    """The profile as a report has it, here of a third of each value: four digits, ties to even."""
+    p = profile.build_profile(frames(spark, d))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(q).alias("point"), F.col(f"p_{m}_{q}").alias("x")) for m in profile.PROFILED for q in profile.POINTS))).alias("e")
+    return p.select(each).select("e.metric", "e.point", M.round_half_even(F.col("e.x") / 3.0, 4).alias("value"))
+
+
 # --- functions on text, hashes and vectors ---
 
 
@@ -429,30 +437,50 @@ def variant_groups(spark, d):
     return similarity.leader_groups(grouped_embeddings(spark, d), "grp", "vec_id", "vec_id", "embedding", 0.2).withColumnRenamed("grp", "scene")
 
 
+def sharp_embeddings(spark, d) -> DataFrame:
+    """Embeddings grouped by label with ``quality``, a component that stands for their sharpness, and ``fall``, by which the sharpest come first."""
+    e = grouped_embeddings(spark, d).withColumn("quality", F.get("embedding", F.lit(0)).cast("double"))
+    return e.withColumn("fall", -F.col("quality"))
+
+
+def repeated_patterns(e: DataFrame, at_least: float) -> DataFrame:
+    """scene, leader, n, sharpest, best of groups of several like rows (grp, vec_id, embedding, quality, fall), led by the sharpest of those unlike all leaders before."""
+    g = similarity.leader_groups(e, "grp", "vec_id", "fall", "embedding", at_least).withColumnRenamed("grp", "scene")
+    g = g.join(e.select("quality", F.col("vec_id").alias("key")), "key")
+    best = F.min_by("key", F.struct(-F.col("quality"), "key"))
+    return g.groupBy("scene", "leader").agg(F.count("*").alias("n"), F.max("quality").alias("sharpest"), best.alias("best")).where("n > 1")
+
+
 @query
 def frequent_patterns(spark, d):
-    """Groups of several like vectors, largest first, with their best member (the highest id)."""
-    g = variant_groups(spark, d)
-    g = g.groupBy("scene", "leader").agg(F.count("*").alias("n"), F.max("key").alias("best")).where("n > 1")
-    return g.withColumn("place", F.row_number().over(W.partitionBy("scene").orderBy(F.col("n").desc(), F.col("best").desc()))).select("scene", "leader", "n", "best", "place")
+    """Groups of several like vectors, largest first, then those with the sharpest member, which stands for them."""
+    g = repeated_patterns(sharp_embeddings(spark, d), 0.2)
+    place = F.row_number().over(W.partitionBy("scene").orderBy(F.col("n").desc(), F.col("sharpest").desc(), "best"))
+    return g.withColumn("place", place).select("scene", "leader", "n", "best", "place")
 
 
 @query
 def shortlist(spark, d):
-    """Unlike vectors of a group first, by quality, then the rest by quality, up to a size that follows the number wanted."""
-    e = grouped_embeddings(spark, d).select(F.col("grp").alias("run"), F.col("vec_id").alias("key"), V.norm(F.col("embedding")).alias("quality"), F.col("embedding").alias("features"))
-    return select.shortlist(e, select.shortlist_size(3, least=20, most=200), similarity.ladder(0.15))
+    """Unlike candidates of a kind first, by quality, then the rest by quality, up to a size that follows the number wanted."""
+    c = candidates(spark, d, vectors=True).select(F.col("event_type").alias("run"), "key", F.col("value").alias("quality"), "features")
+    return select.shortlist(c, select.shortlist_size(COUNT), list(similarity.LADDER))
 
 
 @query
 def catalog_representatives(spark, d):
-    """Of each group the sharpest, the most frequent kinds and the unlike, each once, in that order."""
-    e = grouped_embeddings(spark, d).withColumn("quality", V.norm(F.col("embedding")))
-    sharp = e.withColumn("n", F.row_number().over(W.partitionBy("grp").orderBy(F.col("quality").desc(), "vec_id"))).where("n <= 8").select(F.col("grp").alias("run"), F.col("vec_id").alias("key"), F.col("n").alias("n"))
-    often = frequent_patterns(spark, d).select(F.col("scene").alias("run"), F.col("best").alias("key"), (F.col("place") + 1000).alias("n"))
-    apart = similarity.diverse_filter(e, "grp", "vec_id", "vec_id", "embedding", 24, [0.2]).where("pick > 0").select("run", "key", (F.col("pick") + 100000).alias("n"))
-    each = sharp.union(often).union(apart).groupBy("run", "key").agg(F.min("n").alias("n"))
-    return each.withColumn("place", F.row_number().over(W.partitionBy("run").orderBy("n"))).where("place <= 24").select("run", "key", "place")
+    """Up to 24 of each group, each once: the 8 sharpest, the sharpest of the most frequent kinds, the unlike from the sharpest on, then the rest by sharpness."""
+    e, most = sharp_embeddings(spark, d), 24
+    ranked = e.withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy("fall", "vec_id"))).select(F.col("grp").alias("run"), F.col("vec_id").alias("key"), "rank").where(F.col("rank") <= most)
+    sharp = ranked.select("run", "key", F.when(F.col("rank") <= most // 3, F.struct(F.lit(0).alias("part"), F.col("rank").alias("at"))).otherwise(F.struct(F.lit(3).alias("part"), F.col("rank").alias("at"))).alias("n"))
+    g = repeated_patterns(e, 0.2)
+    place = F.row_number().over(W.partitionBy("scene").orderBy(F.col("n").desc(), F.col("sharpest").desc(), "best"))
+    often = g.select(F.col("scene").alias("run"), F.col("best").alias("key"), F.struct(F.lit(1).alias("part"), place.alias("at")).alias("n")).where(F.col("n.at") <= most)
+    apart = similarity.diverse_filter(e, "grp", "vec_id", "fall", "embedding", most, [0.2]).where("pick > 0").select("run", "key", F.struct(F.lit(2).alias("part"), F.col("pick").alias("at")).alias("n"))
+    # of a group no larger than the limit all stay, in the order of sharpness alone
+    small = e.groupBy(F.col("grp").alias("run")).agg((F.count("*") <= most).alias("small"))
+    each = sharp.union(often).union(apart).groupBy("run", "key").agg(F.min("n").alias("n")).join(ranked, ["run", "key"], "left").join(small, "run")
+    by = W.partitionBy("run").orderBy(F.when(F.col("small"), F.col("rank")), "n")
+    return each.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("run", "key", "place")
 
 
 @query

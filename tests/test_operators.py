@@ -116,6 +116,21 @@ def test_text_functions(spark):
     assert (row.host, row.full) == ("http://box:11434", "https://box:80")
 
 
+def test_folded_case(spark):
+    words = ["Straße", "STRASSE", "ﬁsh", "ΑΣ Σ", "İx", "Ꭰꭰ", "ſtop", "ǅ", "abc", "", "ẞ", "µm"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.casefold(F.col("w")).alias("c")).collect()
+    assert {r.w: r.c for r in got} == {w: w.casefold() for w in words}
+    assert spark.range(1).select(X.normalize_scene(F.lit("Straße")).alias("a"), X.screen_family(F.lit(" WORLD MAP ")).alias("b")).first() == ("strasse", "map")
+
+
+@pytest.mark.parametrize("digits", [0, 2, 4, 6])
+def test_half_even_rounding_by_exact_values(spark, digits):
+    rng = np.random.default_rng(9)
+    values = [2.675, 5e-7, 0.00015, 0.5, 1.5, -0.5, -2.5, -2.675, 1e20, 0.0, *rng.uniform(-1000, 1000, 500), *np.round(rng.uniform(0, 100, 500), 3), *(rng.integers(0, 10**6, 500) / 2.0 ** rng.integers(1, 12, 500))]
+    got = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", M.round_half_even(F.col("v"), digits).alias("r")).collect()
+    assert all(r.r == round(r.v, digits) for r in got)
+
+
 def test_hashes_and_zero_vectors(spark):
     row = spark.range(1).select(V.hamming(F.lit(-1).cast("long"), F.lit(0).cast("long")).alias("all"), V.hash_number(V.hash_text(F.lit(-1).cast("long"))).alias("back"), V.l2_normalise(F.array(F.lit(0.0), F.lit(0.0))).alias("zero")).first()
     assert (row["all"], row["back"], row["zero"]) == (64, -1, [0.0, 0.0])
