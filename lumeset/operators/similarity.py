@@ -1,15 +1,11 @@
-"""Near-duplicate joins, and groups and choices that depend on similarity."""
+"""Groups and choices that depend on similarity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumeset.functions.vectors import hamming
 from lumeset.operators.blocks import by_size, leaders_of_large, picks_of_large, unit_rows
 from lumeset.operators.walks import MOST_ROWS, walk
 
@@ -21,64 +17,6 @@ def ladder(base: float, steps=(0.03, 0.06, 0.10, 0.15), most: float = 0.98) -> l
     return [base, *(min(base + d, most) for d in steps)]
 
 
-def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
-    """h, class (the smallest key of the rows with this hash) and n (how many they are); rows without a hash are in none."""
-    return df.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("class"), F.count("*").alias("n"))
-
-
-def hamming_links(df: DataFrame, key: str, h: str, under: int) -> DataFrame:
-    """a, b, distance, n_a, n_b (a < b): classes of equal hashes whose hashes differ in fewer than ``under`` bits, and how many rows each has.
-
-    Two such hashes agree in at least one of ``under`` bands of bits, so the join is on (band, value); a pair is kept once. Copies are never
-    expanded into pairs: each row of a class is linked to each of the other, and the rows of one class to each other.
-    """
-    edges = [64 * k // under for k in range(under + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    bands = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.col("h").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))).alias("e")
-    classes = hash_classes(df, key, h)
-    dealt = classes.select("h", bands).select("h", "e.band", "e.bits")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.h") < F.col("y.h")))
-    met = met.where(hamming(F.col("x.h"), F.col("y.h")) < under).select(F.col("x.h").alias("h1"), F.col("y.h").alias("h2")).distinct()
-    one, two = (classes.select(F.col("h").alias(f"h{i}"), F.col("class").alias(f"k{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    found = met.join(one, "h1").join(two, "h2")
-    first = F.col("k1") < F.col("k2")
-    either = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
-    return found.select(either("k1", "k2").alias("a"), either("k2", "k1").alias("b"), hamming(F.col("h1"), F.col("h2")).alias("distance"), either("n1", "n2").alias("n_a"), either("n2", "n1").alias("n_b"))
-
-
-def cosine_pairs(df: DataFrame, key: str, vec: str, at_least: float, block: int = 2048) -> DataFrame:
-    """a, b, cosine (a < b) of rows whose unit vectors have a cosine of at least the threshold; zero vectors have none.
-
-    Blocks of vectors meet in numpy, a task for each pair of blocks, each pair once.
-    """
-    n = max(1, -(-df.count() // block))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype("<f8")
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "ids": [pdf["k"].to_numpy("<i8").tobytes()], "vecs": [x.tobytes()]})
-
-    dealt = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("g"))
-    stored = dealt.groupBy("g").applyInPandas(packed, "g long, ids binary, vecs binary")
-    last = F.lit(n - 1).cast("long")
-    left = stored.select(F.col("g").alias("p"), F.explode(F.sequence("g", last)).alias("q"), F.col("ids").alias("i1"), F.col("vecs").alias("v1"))
-    right = stored.select(F.explode(F.sequence(F.lit(0).cast("long"), "g")).alias("p"), F.col("g").alias("q"), F.col("ids").alias("i2"), F.col("vecs").alias("v2"))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            for r in f.itertuples(index=False):
-                a, b = np.frombuffer(r.i1, "<i8"), np.frombuffer(r.i2, "<i8")
-                x, y = (unit_rows(np.frombuffer(v, "<f8").reshape(len(i), -1)) for v, i in ((r.v1, a), (r.v2, b)))
-                cos = x @ y.T
-                near = cos >= at_least
-                near &= (a[:, None] < b[None]) if r.p == r.q else (a[:, None] != b[None])
-                i, j = np.nonzero(near)
-                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cosine": cos[i, j]})
-
-    return left.join(right, ["p", "q"]).mapInPandas(meet, "a long, b long, cosine double")
-
-
 def walk_diverse(x: np.ndarray, count: int, steps: list[np.ndarray], order: np.ndarray, chosen: list[int]) -> set[int]:
     """Add to ``chosen``, in order, rows whose cosine with all chosen ones is no more than their threshold in any step; returns those refused and never taken."""
     refused: set[int] = set()

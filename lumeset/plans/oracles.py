@@ -143,6 +143,11 @@ o("hash_text", "WITH {emb} SELECT vec_id, h, lpad(lower(to_hex(CASE WHEN h < 0 T
 o("unit_vectors", "WITH {grp} SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS square, round(u[1], 6) AS first FROM grp")
 o("event_entropy", "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM n) SELECT user_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY user_id")
 o("hamming_pairs", f"WITH {{emb}}, c AS (SELECT h, min(vec_id) AS k, count(*) AS n FROM emb GROUP BY h) SELECT a.k AS a, b.k AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.k < b.k AND bit_count(xor(a.h, b.h)) < {NEAR_BITS}")
+o("near_frames", """WITH {emb}, {ca}, x AS (SELECT key, xor(h, xor(1::BIGINT << (key % 61), (key % 4) << (key % 7 * 8))) AS h FROM ca), c AS (SELECT h, min(key) AS k, count(*) AS n FROM x GROUP BY h)
+SELECT a.k AS a, b.k AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.k < b.k AND bit_count(xor(a.h, b.h)) < 5""")
+o("cosine_degrees", f"""WITH {{emb}}, {{ca}}, c AS (SELECT features, min(key) AS class, count(*) AS n FROM ca GROUP BY features),
+u AS (SELECT class, n, list_transform(features, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(features, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM c)
+SELECT a.class, a.n, (a.n - 1 + coalesce(sum(b.n) FILTER (b.class <> a.class AND list_dot_product(a.u, b.u) >= {LIKE}), 0))::BIGINT AS links FROM u a, u b GROUP BY a.class, a.n""")
 o("hash_classes", "SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars) AS class, count(*) OVER (PARTITION BY n_chars) AS n FROM documents")
 o("cosine_pairs", f"WITH {{grp}} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM grp a JOIN grp b ON a.vec_id < b.vec_id AND list_dot_product(a.u, b.u) >= {LIKE}")
 o("stage_blend", "WITH {emb}, {ca} SELECT run, key, round(score * 0.4::DOUBLE + (100.0::DOUBLE - score) * 0.6::DOUBLE, 6) AS aggregate FROM ca WHERE NOT is_transition")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumeset.functions import metrics as M
 from lumeset.functions import text as X
 from lumeset.functions import vectors as V
-from lumeset.operators import allocate, interleave, profile, reject, select, similarity
+from lumeset.operators import allocate, interleave, links, profile, reject, select, similarity
 from lumeset.sources.tables import candidates, frames, table
 
 KEYS = ["k1", "k2", "k3", "k4", "k5"]
@@ -157,19 +157,34 @@ def event_entropy(spark, d):
 @query
 def hamming_pairs(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", V.sign_hash(F.col("embedding")).alias("h"))
-    return similarity.hamming_links(e, "vec_id", "h", NEAR_BITS)
+    return links.hamming_links(e, "vec_id", "h", NEAR_BITS)
+
+
+@query
+def near_frames(spark, d):
+    """Candidates whose hashes, in which some bits are turned over, differ in fewer than five."""
+    turned = F.expr("shiftleft(1L, CAST(key % 61 AS INT)) ^ shiftleft(key % 4, CAST(key % 7 * 8 AS INT))")
+    c = candidates(spark, d).select("key", F.col("h").bitwiseXOR(turned).alias("h"))
+    return links.hamming_links(c, "key", "h", select.DISTINCT_BITS)
 
 
 @query
 def hash_classes(spark, d):
     """Documents of equal length as copies of one hash: each with its class."""
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("h"))
-    return docs.join(similarity.hash_classes(docs, "doc_id", "h"), "h").select("doc_id", "class", "n")
+    return docs.join(links.hash_classes(docs, "doc_id", "h"), "h").select("doc_id", "class", "n")
 
 
 @query
 def cosine_pairs(spark, d):
-    return similarity.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", LIKE).select("a", "b", r6(F.col("cosine"), "cosine"))
+    return links.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", LIKE).select("a", "b", r6(F.col("cosine"), "cosine"))
+
+
+@query
+def cosine_degrees(spark, d):
+    """Classes of equal vectors among those of the candidates, and how many candidates a member of each is linked to."""
+    found, members = links.cosine_links(candidates(spark, d, vectors=True), "key", "features", LIKE)
+    return links.link_counts(found, members)
 
 
 @query

@@ -138,20 +138,6 @@ def test_hashes_and_zero_vectors(spark):
     assert spark.createDataFrame([(grey,)], "rows array<array<int>>").select(V.difference_hash(F.col("rows"))).first()[0] == -1
 
 
-def test_hamming_pairs_with_copies(spark):
-    rng = np.random.default_rng(5)
-    h = [int(x) for x in rng.integers(-(2**62), 2**62, 60)]
-    h += [h[0], h[0] ^ 0b1011, h[1] ^ (1 << 60), None]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(h)], "k long, h long")
-    m = (1 << 64) - 1
-    want = {(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if h[i] is not None and h[j] is not None and ((h[i] & m) ^ (h[j] & m)).bit_count() < 5}
-    members = {r["class"]: [i for i, x in enumerate(h) if x == r.h] for r in similarity.hash_classes(df, "k", "h").collect()}
-    links = similarity.hamming_links(df, "k", "h", 5).collect()
-    assert all((r.n_a, r.n_b) == (len(members[r.a]), len(members[r.b])) and r.a < r.b for r in links)
-    got = [(min(i, j), max(i, j)) for r in links for i in members[r.a] for j in members[r.b]] + [(i, j) for m in members.values() for i in m for j in m if i < j]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
 def choose(spark, vectors, count, steps):
     df = spark.createDataFrame([(1, i, [float(x) for x in v]) for i, v in enumerate(vectors)], "run int, key int, v array<double>")
     rows = similarity.diverse_filter(df, "run", "key", "key", "v", count, steps).collect()
