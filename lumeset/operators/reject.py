@@ -11,12 +11,30 @@ from lumeset.functions.vectors import dot, l2_normalise
 REASONS = ("blackout", "whiteout", "single_tone", "fade_transition", "temporal_transition")
 
 
-def static_reason() -> Column:
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often later expressions use them: a generated row keeps the optimiser from writing them out there."""
+    each = F.explode(F.array(F.struct(*(x.alias(c) for c, x in columns.items())))).alias("_settled")
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, each).select(*rest, *(F.col(f"_settled.{c}").alias(c) for c in columns))
+
+
+def with_reason(df: DataFrame) -> DataFrame:
+    """df with ``reason`` (see ``static_reason``), which all scores that rules share are settled for."""
+    df = settled(df, **{c: F.col(c) for c in ("visibility", "information", "washout")})
+    bright, dark = M.relative_transition(F.col("washout"))
+    veiled = M.veiled_transition(F.col("visibility"), F.col("information"), F.col("washout"))
+    df = settled(df, bright=bright, dark=dark, veiled=veiled)
+    return df.withColumn("reason", static_reason(*map(F.col, ("bright", "dark", "veiled"))))
+
+
+def static_reason(bright: Column | None = None, dark: Column | None = None, veiled: Column | None = None) -> Column:
     """First rule that a frame meets, else null. Needs metrics, ``n_`` metrics, layout, profile, visibility, information and washout columns."""
     c, g, lit = F.col, F.greatest, F.lit
     p = lambda m, q: c(f"p_{m}_{q}")
-    bright, dark = M.relative_transition(c("washout"))
-    veiled = M.veiled_transition(c("visibility"), c("information"), c("washout"))
+    if bright is None or dark is None or veiled is None:
+        bright, dark = M.relative_transition(c("washout"))
+        veiled = M.veiled_transition(c("visibility"), c("information"), c("washout"))
+    # fixed values: the thresholds of all rules below
     extreme = g("near_black_ratio", "near_white_ratio")
     span10, span25 = g(lit(12.0), p("luminance_range", 10)), g(lit(14.0), p("luminance_range", 25))
     whiteout = (

@@ -9,7 +9,7 @@ from lumeset.functions import metrics as M
 from lumeset.functions import text as X
 from lumeset.functions import vectors as V
 from lumeset.operators import allocate, interleave, links, profile, reject, select, similarity
-from lumeset.sources.tables import candidates, frames, table
+from lumeset.sources.tables import candidates, frames, spread, table
 
 KEYS = ["k1", "k2", "k3", "k4", "k5"]
 COUNT = 6  # outputs of a run
@@ -62,8 +62,8 @@ def relative_transitions(spark, d):
 
 def judged_frames(spark, d) -> DataFrame:
     df = keyed_frames(spark, d)
-    scored = profile.with_information(df).withColumn("visibility", M.visibility()).withColumn("washout", M.bright_washout())
-    return profile.with_profile(scored, profile.build_profile(df)).withColumn("reason", reject.static_reason())
+    scored = profile.with_information(df, rows=spread(df)).withColumn("visibility", M.visibility()).withColumn("washout", M.bright_washout())
+    return reject.with_reason(profile.with_profile(scored, profile.build_profile(df)))
 
 
 @query

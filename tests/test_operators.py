@@ -103,6 +103,30 @@ def test_percentile_ranks_in_single_precision(spark):
     assert {r.id: r.rank for r in profile.with_rank(df, "v", "rank").collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_ranks_of_values_with_an_outlier(spark, few):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=800), [1e12, -1e12, 0.1, 0.1, 0.0]])
+    df = spark.createDataFrame([(i, float(x), float(x) * 3) for i, x in enumerate(v)] + [(-1, None, 1.0)], "id int, v double, w double")
+    pop = np.sort(v.astype(np.float32))
+    want = {i: (np.searchsorted(pop, x, "left") + np.searchsorted(pop, x, "right")) / 2 / len(v) for i, x in enumerate(v)} | {-1: None}
+    got = {r.id: r.rank for r in profile.with_ranks(df, {"v": "rank", "w": "other"}, slices=16, few=few).collect()}
+    assert got == pytest.approx(want)
+    if not few:  # the slices are even in spite of the outliers
+        sizes = profile.rank_table(df, ["v"], slices=16, few=0)[0]
+        assert sizes.count() == len(np.unique(pop))
+
+
+def test_percentiles_of_odd_values(spark):
+    rng = np.random.default_rng(8)
+    columns = {"a": rng.normal(size=3000), "b": np.concatenate([np.full(1000, 7.0), rng.normal(0, 1e-20, 1999), [1e30]]), "c": np.zeros(3000), "d": np.concatenate([[-1e38, 1e38], rng.integers(-3, 3, 2998).astype(float)])}
+    df = spark.createDataFrame([tuple(float(x[i]) for x in columns.values()) for i in range(3000)] + [(None,) * 4], ", ".join(f"{c} double" for c in columns))
+    for slots in (4096, 5):
+        got = profile.build_profile(df, tuple(columns), (0, 10, 25, 50, 90, 100), slots).first().asDict()
+        assert got == pytest.approx({f"p_{c}_{q}": float(np.percentile(x.astype(np.float32).astype(float), q)) for c, x in columns.items() for q in (0, 10, 25, 50, 90, 100)}, rel=1e-12)
+    assert set(profile.build_profile(df.where("a > 1e9"), ("a",)).first()) == {0.0}
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         X.normalize_scene(F.lit(" !? ")).alias("none"), X.normalize_scene(F.lit("Boss Battle #2")).alias("scene"), X.screen_family(F.lit(" World Map ")).alias("map"), X.screen_family(F.lit("the Title Screen")).alias("title"),
