@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from lumeset.operators.walks import group_starts
+from lumeset.session import materialise
+
 
 def variant_turns(df: DataFrame, scene: list[str]) -> DataFrame:
     """Add ``place`` in the scene: the first of every variant group, then the second, groups in the order of their best member.
@@ -53,41 +56,102 @@ def cut(sizes: np.ndarray, budget: int, least: int, number: int, total: int, cou
         i, number, total, count = j, number + 1, 0, 0
 
 
-def memory_chunks(df: DataFrame, size: str, budget: int, order: list[str], run: list[str], least: int = 16, unknown: int = 1 << 20) -> DataFrame:
+def summary(sizes: np.ndarray, budget: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What entering a block with an open chunk leads to: running sums of its first rows, and for each place at which a chunk may then break first, the numbers of chunks begun, and the open chunk's sum and count at the end.
+
+    A chunk that enters breaks at the latest where one that began with the block would, so the table covers these rows only.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    reach = max(int(np.searchsorted(before[1:], budget, side="right")), least)  # where a chunk that begins with the block breaks
+    reach = min(reach, len(sizes) - 1)
+    begun, total, count = (np.zeros(reach + 1, np.int64) for _ in range(3))
+    for p in range(reach + 1):
+        _, number, total[p], count[p] = cut(sizes[p:], budget, least, 0, 0, 0)
+        begun[p] = number + 1
+    return before[1 : reach + 2], begun, total, count
+
+
+def enter(entry: tuple[int, int, int], block, budget: int, least: int) -> tuple[int, int, int]:
+    """(number, total, count) of the open chunk at the end of a block (n, whole, running, begun, total, count), entered with these."""
+    number, total, count = entry
+    first = max(int(np.searchsorted(block.running, budget - total, side="right")), least - count, 0)
+    if first >= len(block.begun):  # no row of the block breaks the chunk
+        return number, total + int(block.whole), count + int(block.n)
+    return number + int(block.begun[first]), int(block.total[first]), int(block.count[first])
+
+
+def memory_chunks(df: DataFrame, size: str, budget: int, order: list[str], run: list[str], least: int = 16, unknown: int = 1 << 20, block: int = 65_536, parts: int | None = None) -> DataFrame:
     """The columns of ``run`` and ``order``, and ``chunk``: numbers of runs of rows whose sizes fit the budget together.
 
     A chunk is closed before the row that would pass the budget, once it has ``least`` rows; a last one of fewer rows joins the one before.
-    A null size counts as ``unknown``, a negative one as none. Null values of ``run`` are a run. A run is walked in order with the sum and count of its
-    open chunk carried along; a task holds one batch of sizes and fewer than ``least`` rows that wait to know whether they are the last.
+    A null size counts as ``unknown``, a negative one as none. Null values of ``run`` are a run.
+
+    Rows are dealt out by range, so that a run of any size is cut into blocks of many tasks. Each block tells, for the few places at which an open chunk may break
+    in it, how it is left then; the blocks of a run are gone through by these tables alone, and then every block numbers its own rows.
     """
+    kind = dict(df.dtypes)
+    keep = [*run, *order]
+    sizes = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(size).cast("long"), F.lit(unknown).cast("long")))
+    # where rows are alike in run and order, what they were read with tells them apart, so that they can be split too
+    rows = df.select(*keep, sizes.alias("_size"), F.spark_partition_id().alias("_from"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(least, 1)
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, number, total, count = None, 0, 0, 0
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seq = TaskContext.get().partitionId(), 0
         for f in batches:
-            if not len(f):
-                continue
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            place, sizes, out = f["_place"].to_numpy(), f["_size"].to_numpy(), np.empty(len(f), np.int64)
-            ends = [0, *(np.flatnonzero(place[1:] == 1) + 1).tolist(), len(f)]
-            for a, b in itertools.pairwise(ends):
-                if place[a] == 1:
-                    number, total, count = 0, 0, 0
-                out[a:b], number, total, count = cut(sizes[a:b], budget, least, number, total, count)
-                if b < len(f) and number and count < least:
-                    out[b - count : b] -= 1
-            waiting = count if number and count < least else 0
-            done = len(f) - waiting
-            held = f.iloc[done:] if waiting else None
-            total, count = (0, 0) if waiting else (total, count)
-            yield f.iloc[:done][keep].assign(chunk=out[:done])
-        if held is not None:
-            yield held[keep].assign(chunk=number - 1)
-
-    keep, kind = [*run, *order], dict(df.dtypes)
-    sizes = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(size).cast("long"), F.lit(unknown).cast("long")))
-    place = F.row_number().over(W.partitionBy(*run).orderBy(*order))
-    walked = df.select(*keep, sizes.alias("_size"), place.alias("_place")).sortWithinPartitions(*run, "_place")
-    return walked.mapInPandas(chunks, ", ".join(f"{c} {kind[c]}" for c in keep) + ", chunk long")
+            starts = group_starts(f, run)
+            for a, b in zip(starts, [*starts[1:], len(f)], strict=True):
+                for s in range(a, b, block):
+                    g = f.iloc[s : min(s + block, b)]
+                    seq += 1
+                    yield pd.DataFrame({**{c: g[c].iloc[:1].to_numpy() for c in run}, "_part": part, "_seq": seq} | {c: [g[c].to_numpy()] for c in order} | {"_size": [g["_size"].to_numpy()]})
+
+    of_run = "".join(f"`{c}` {kind[c]}, " for c in run)
+    packed = rows.repartitionByRange(parts, *keep, "_from").sortWithinPartitions(*keep, "_from").mapInPandas(pack, f"{of_run}_part int, _seq int, " + ", ".join(f"`{c}` array<{kind[c]}>" for c in order) + ", _size array<long>")
+    packed = materialise(packed, "blocks", **{"parquet.block.size": 16 << 20})
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            each = [(len(x), int(x.sum()), *summary(x, budget, least)) for x in map(np.asarray, f["_size"])]
+            yield f[[*run, "_part", "_seq"]].assign(**{c: [e[i] for e in each] for i, c in enumerate(("n", "whole", "running", "begun", "total", "count"))})
+
+    tables = packed.mapInPandas(summed, f"{of_run}_part int, _seq int, n long, whole long, running array<long>, begun array<long>, total array<long>, count array<long>")
+
+    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The state in which each block of a run is entered, and the run's last chunk if it is short."""
+        seen, at, entry, last = [], None, (0, 0, 0), None
+
+        def done() -> pd.DataFrame:
+            short = entry[0] if entry[0] and entry[2] < least else -1
+            return pd.DataFrame(seen, columns=["_part", "_seq", "number", "open", "held"]).assign(short=short)
+
+        for f in batches:
+            starts = set(group_starts(f, run).tolist())
+            for i, r in enumerate(f.rename(columns={"_part": "part_", "_seq": "seq_"}).itertuples(index=False)):
+                name = tuple(None if pd.isna(x) else x for x in r[: len(run)])
+                if last is None or (i in starts and name != at):
+                    if seen:
+                        yield done()
+                    seen, at, entry, last = [], name, (0, 0, 0), True
+                seen.append((r.part_, r.seq_, *entry))
+                entry = enter(entry, r, budget, least)
+        if seen:
+            yield done()
+
+    # as many rows as blocks, with a table of a chunk's rows each
+    entries = tables.repartition(*run).sortWithinPartitions(*run, "_part", "_seq").mapInPandas(through, "_part int, _seq int, number long, open long, held long, short long")
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            f = f.rename(columns={"_size": "size_"})
+            for i, r in enumerate(f.itertuples(index=False)):
+                chunk, *_ = cut(np.asarray(r.size_), budget, least, int(r.number), int(r.open), int(r.held))
+                chunk = np.where(chunk == r.short, chunk - 1, chunk)
+                yield pd.DataFrame({**{c: f[c].iloc[[i] * len(chunk)].to_numpy() for c in run}, **{c: f[c].iloc[i] for c in order}, "chunk": chunk})
+
+    met = packed.join(entries, ["_part", "_seq"]).select(*keep, "_size", "number", "open", "held", "short")
+    return met.mapInPandas(numbered, ", ".join(f"`{c}` {kind[c]}" for c in keep) + ", chunk long")
 
 
 def output_names(df: DataFrame, run: str, order: str, requested: int) -> DataFrame:

@@ -224,15 +224,15 @@ def chunks_by_loop(sizes, budget, least):
     return [n for n, (a, b) in enumerate(bounds) for _ in range(b - a)]
 
 
-@pytest.mark.parametrize("batch, least", [(10_000, 16), (7, 4), (3, 5), (1, 1)])
-def test_memory_chunks_equal_the_loop(spark, batch, least):
+@pytest.mark.parametrize("batch, least, block, parts", [(10_000, 16, 65_536, 8), (7, 4, 5, 4), (10_000, 5, 1, 2), (10_000, 1, 20, 8), (10_000, 40, 13, 8)])
+def test_memory_chunks_equal_the_loop(spark, batch, least, block, parts):
     rng = np.random.default_rng(least)
     runs = {"hot": 400, None: 37, "a": 1, "b": 3, "c": 16}
     rows = [(r, i, None if i % 29 == 5 else int(rng.choice([0, 3, 40, 90, 400]))) for r, n in runs.items() for i in range(n)]
     df = spark.createDataFrame(rows, "run string, o long, size long").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = interleave.memory_chunks(df, "size", 200, ["o"], ["run"], least, unknown=150).collect()
+        got = interleave.memory_chunks(df, "size", 200, ["o"], ["run"], least, unknown=150, block=block, parts=parts).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for run in runs:
