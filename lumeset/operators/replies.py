@@ -6,11 +6,13 @@ Fields are read as variants, so that a number does not pass for a string. What i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumeset.functions.text import infer_title, role, salvaged_json, strip
+from lumeset.session import materialise
 
 LEAST_SCENES, MOST_SCENES, OTHER = 3, 8, "other"
 #: A reply's question: takes rows with ``prompt`` (0 first, 1 again) and adds ``reply``
@@ -110,3 +112,23 @@ def classify(images: DataFrame, ask: Ask, catalog: dict[str, str], model: str, c
     again = answered(first.where("c is null").drop("c", "source"), 1, "retry")
     asked = first.where("c is not null").unionByName(again)
     return hits.select("path", "cache_key", *fields, "source").unionByName(asked.select("path", "cache_key", "c.*", "source"))
+
+
+def catalogs(images: DataFrame, ask: Ask) -> DataFrame:
+    """run, asked, rounds, catalog: what the first readable catalog reply of each run says, and of how many images; null where none was readable.
+
+    images: run, path, ord; a run has its few representatives. All runs are asked at once: with all their images, then those without a readable
+    catalog with the first half, and so on down to one. ``ask`` takes rows of run, round and paths (in order) and adds ``reply``; replies are stored,
+    so no question is asked again.
+    """
+    listed = images.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("paths"))  # the representatives of a run
+    left, found, n = materialise(listed, "asked"), [], 0
+    while not left.isEmpty():
+        replied = ask(left.withColumn("round", F.lit(n))).withColumn("catalog", catalog_of(F.col("reply")))
+        replied = materialise(replied.select("run", "paths", "catalog"), "replies")
+        size = F.size("paths")
+        over = F.col("catalog").isNotNull() | (size == 1)
+        found.append(replied.where(over).select("run", size.alias("asked"), F.lit(n + 1).alias("rounds"), "catalog"))
+        left, n = replied.where(~over).select("run", F.slice("paths", 1, F.floor(size / 2).cast("int")).alias("paths")), n + 1
+    none = images.sparkSession.createDataFrame([], "run string, asked int, rounds int, catalog array<struct<slug:string,display_name:string,description:string,role:string>>")
+    return reduce(DataFrame.union, found) if found else none

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumeset.functions import vectors as V
-from lumeset.operators import replies, resume
+from lumeset.operators import append, replies, resume
+from lumeset.session import shared_folder
 from lumeset.sinks import artifacts
+from lumeset.sources import state
 from lumeset.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -109,6 +114,61 @@ def run_manifests(spark, d):
     return resume.resume_states(now, before, "customer")
 
 
+@query("""
+WITH o AS (SELECT o_orderstatus AS run, o_orderkey AS k, sha256(o_orderkey || ':' || (o_custkey + CASE WHEN o_orderkey % 4001 = 7 THEN 1 ELSE 0 END)) AS now, CASE WHEN o_orderkey % 5003 <> 11 THEN sha256(o_orderkey || ':' || o_custkey) END AS before FROM orders),
+c AS (SELECT *, sha256(now || '*1') AS a, sha256(before || '*1') AS b, count(now) OVER w AS na, count(before) OVER w AS nb FROM o WINDOW w AS (PARTITION BY run)),
+d AS (SELECT *, CASE WHEN least(na, nb) > 256 * 4096 THEN 4 WHEN least(na, nb) > 256 * 256 THEN 3 WHEN least(na, nb) > 256 * 16 THEN 2 WHEN least(na, nb) > 256 THEN 1 ELSE 0 END AS depth FROM c),
+x AS (SELECT run, a[1:depth] AS prefix, string_agg(a, ',' ORDER BY a) AS d FROM d GROUP BY ALL), y AS (SELECT run, b[1:depth] AS prefix, string_agg(b, ',' ORDER BY b) AS d FROM d WHERE b IS NOT NULL GROUP BY ALL)
+SELECT coalesce(x.run, y.run) AS run, coalesce(x.prefix, y.prefix) AS prefix, CASE WHEN y.d IS NULL THEN 'new' WHEN x.d IS NULL THEN 'gone' ELSE 'changed' END AS state
+FROM x FULL JOIN y ON x.run = y.run AND x.prefix = y.prefix WHERE x.d IS DISTINCT FROM y.d""")
+def changed_slices(spark, d):
+    """Orders by status as runs, of which some have changed and some are new: in which slices of the manifests."""
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), "o_orderkey", "o_custkey")
+    digest = lambda customer: F.sha2(F.concat_ws(":", F.col("o_orderkey").cast("string"), customer.cast("string")), 256).alias("input_digest")
+    now = o.select("run", digest(F.col("o_custkey") + F.when(F.col("o_orderkey") % 4001 == 7, 1).otherwise(0)))
+    before = o.where("o_orderkey % 5003 <> 11").select("run", digest(F.col("o_custkey")))
+    return resume.changed_slices(resume.manifest_tree(now, "run", "v1"), resume.manifest_tree(before, "run", "v1"), "run")
+
+
+@query("""
+WITH p AS (SELECT p_brand AS run, count(*) AS n, least(24, count(*)) AS m, 24 >> (right(p_brand, 1)::INT) AS readable FROM part GROUP BY p_brand),
+r AS (SELECT *, unnest(range(0, 6)) AS k FROM p), s AS (SELECT *, greatest(1, m >> k) AS size FROM r),
+f AS (SELECT run, min(k) AS k FROM s WHERE size <= readable OR size = 1 GROUP BY run)
+SELECT run, size::INT AS asked, (k + 1)::INT AS rounds, CASE WHEN size <= readable THEN 3 ELSE 0 END AS scenes FROM f JOIN s USING (run, k)""")
+def halved_catalogs(spark, d):
+    """Catalogs of brands from up to 24 parts each; a reply is readable only if few enough parts are shown, so some brands are asked again with half of them, and again."""
+    rank = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    parts = table(spark, d, "part").select(F.col("p_brand").alias("run"), F.format_string("%08d.png", "p_partkey").alias("path"), rank.alias("ord")).where("ord <= 24")
+
+    def ask(df):
+        scene = lambda slug: f'{{"slug": "{slug}", "display_name": "{slug}", "description": "d", "selection_role": "ordinary"}}'
+        good = f'{{"scenes": [{scene("a")}, {scene("b")}, {scene("other")}]}}'
+        return df.withColumn("reply", F.when(F.size("paths") <= F.expr("shiftright(24, CAST(right(run, 1) AS INT))"), good).otherwise("too many images"))
+
+    return replies.catalogs(parts, ask).select("run", "asked", "rounds", F.when(F.col("catalog").isNotNull(), F.size("catalog")).otherwise(0).alias("scenes"))
+
+
+@query("""
+WITH c AS (SELECT event_id AS key, user_id AS run, ts, 0 AS list FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, user_id, ts, 1 FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, user_id, ts, 2 FROM events WHERE event_id % 2 = 0),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY list) = 1) SELECT key, run, row_number() OVER (ORDER BY list, ts, key) - 1 AS ord FROM f""")
+def appended_candidates(spark, d):
+    """Three lists of events one after another, each in the order of time, each event once; the place of each."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("run"), "ts", "event_type")
+    lists = [x.drop("event_type") for x in (e.where("event_type = 'click'"), e.where("key % 3 = 0"), e.where("key % 2 = 0"))]
+    return append.append(lists, "key", ["ts", "key"]).select("key", "run", "ord")
+
+
+@query("SELECT event_id AS key, least(100.0, value) AS blog_score, event_id % 9 = 0 AS is_transition, event_type AS scene, 'r' || (event_id % 7) AS reason FROM events")
+def stored_assessments(spark, d):
+    """Assessments written through the data source in two commits and read again under their key."""
+    state.register(spark)
+    folder = f"{shared_folder(spark)}/lumeset/{uuid.uuid4().hex}/state"
+    e = table(spark, d, "events").select(F.col("event_id").alias("key"), F.least(F.lit(100.0), "value").alias("blog_score"), (F.col("event_id") % 9 == 0).alias("is_transition"), F.col("event_type").alias("scene"), F.concat(F.lit("r"), (F.col("event_id") % 7).cast("string")).alias("reason"))
+    for part in (0, 1):
+        e.where(F.col("key") % 2 == part).write.format("assessment_state").option("cache_key", "v1").mode("append").save(folder)
+    return spark.read.format("assessment_state").option("cache_key", "v1").load(folder)
+
+
 @query("""
 SELECT label AS run, 15 AS fields, count(*) FILTER (vec_id % 3 = 0) AS selected, count(*) FILTER (vec_id % 3 <> 0) AS rejected, min(vec_id) FILTER (vec_id % 3 = 0) AS first,
   count(*) FILTER (vec_id % 3 = 0) AS with_output, 11 + CASE WHEN min(vec_id) FILTER (vec_id % 3 = 0) IS NULL THEN NULL ELSE 1 END AS of_selected, 11 AS of_rejected
