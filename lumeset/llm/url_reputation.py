@@ -1,6 +1,6 @@
 """URL filter by rules and empirical-Bayes host reputation.
 
-Labelled page outcomes are counted per host and rolled up to the registered domain, its public suffix
+Page outcomes - labels, or where there are none the pages that a rule decides, a blocked one being bad and an allowed one good - are counted per host and rolled up to the registered domain, its public suffix
 and the whole corpus. Each level has a beta prior around its parent's posterior mean. How strong it is, is fitted to the counts
 themselves: the spread of a level's rates about their parents', beyond what binomial chance gives, is the
 overdispersion of a beta-binomial (method of moments). Where hosts of a domain are alike the prior is strong and a host that has few labels
@@ -59,13 +59,15 @@ def matching_rule(rules=RULES) -> tuple[Column, Column]:
 
 
 def name_levels(df: DataFrame) -> DataFrame:
-    """Add ``suffix`` and ``domain`` (registered domain) of ``host``."""
-    parts = F.split("host", r"\.")
+    """Add ``suffix`` and ``domain`` (registered domain) of ``host``. A port belongs to neither; an address in numbers is its own domain and suffix."""
+    bare = F.regexp_replace("host", ":[0-9]*$", "")
+    numbers = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    parts = F.when(numbers, F.array(bare)).otherwise(F.split(bare, r"\."))
     n = F.size(parts)
     at = lambda i: F.try_element_at(parts, F.lit(i))
     two = (n >= 3) & (F.length(at(-1)) == 2) & at(-2).isin(*SECOND_LEVEL)
     suffix = F.when(two, F.concat_ws(".", at(-2), at(-1))).otherwise(at(-1))
-    domain = F.when(two, F.concat_ws(".", at(-3), at(-2), at(-1))).when(n >= 2, F.concat_ws(".", at(-2), at(-1))).otherwise(F.col("host"))
+    domain = F.when(two, F.concat_ws(".", at(-3), at(-2), at(-1))).when(n >= 2, F.concat_ws(".", at(-2), at(-1))).otherwise(at(-1))
     return df.withColumn("suffix", suffix).withColumn("domain", domain)
 
 
@@ -154,14 +156,29 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
 
 
+def ruled_outcomes(pages: DataFrame, rules=RULES) -> DataFrame:
+    """Outcomes of the pages that a rule decides: 1 where it blocks, 0 where it allows; the others have none."""
+    _, verdict = matching_rule(rules)
+    return split_url(pages.select("page_id", "url")).select("page_id", F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("bad"))
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page url; reads only page_id and url of ``pages``."""
+    """Verdict on every page url; reads only page_id and url of ``pages``. What the rules decide tells how the pages of a host are that no rule fits."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge_urls(pages, page_outcomes(labels))
+    return judge_urls(pages, ruled_outcomes(pages))
+
+
+#: Outcomes by rule and by label, in SQL
+BY_RULE = "SELECT page_id, max(CASE f.verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END) AS bad FROM fits WHERE page_id IS NOT NULL GROUP BY 1"
+BY_LABEL = "SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1"
+
+
+def oracle_sql(known: str = BY_RULE) -> str:
+    """DuckDB SQL with the outcomes that ``known`` selects."""
+    return SQL.replace("{known}", known)
 
 
-ORACLE_SQL = """
+SQL = """
 WITH rest AS (
   SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS r FROM pages),
 split AS (
@@ -169,17 +186,19 @@ split AS (
          regexp_extract(r, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-known AS (
-  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad
-  FROM labels GROUP BY 1),
+fits AS (
+  SELECT page_id, host, path, (SELECT arg_max({'rule': rh || rp, 'verdict': verdict}, length(rh || rp)) FROM rules
+    WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS f FROM split),
+known AS ({known}),
 hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS b, string_split(host, '.') AS p
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS b, regexp_replace(host, ':[0-9]*$', '') AS bare,
+         CASE WHEN regexp_full_match(bare, '[0-9]+([.][0-9]+){3}') THEN [bare] ELSE string_split(bare, '.') END AS p
   FROM split LEFT JOIN known USING (page_id) GROUP BY host),
 named AS (
   SELECT *, len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'ne', 'net', 'or', 'org') AS two FROM hosts),
 levels AS (
   SELECT host, n, b, CASE WHEN two THEN p[-2] || '.' || p[-1] ELSE p[-1] END AS suffix,
-         CASE WHEN two THEN p[-3] || '.' || p[-2] || '.' || p[-1] WHEN len(p) >= 2 THEN p[-2] || '.' || p[-1] ELSE host END AS domain
+         CASE WHEN two THEN p[-3] || '.' || p[-2] || '.' || p[-1] WHEN len(p) >= 2 THEN p[-2] || '.' || p[-1] ELSE p[-1] END AS domain
   FROM named),
 d AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM levels GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY ALL),
@@ -209,10 +228,9 @@ sides AS (
         * exp(a * (greatest(0, top - w) + (top + w - greatest(0, top - w)) / 128 * i) - (a + z) * ln(1 + exp(greatest(0, top - w) + (top + w - greatest(0, top - w)) / 128 * i)) - height)))
       * (top + w - greatest(0, top - w)) ELSE 0 END AS above
   FROM ends),
-seen AS (SELECT host, host <> '' AND above / (above + below) >= 0.95 AS bad_host FROM sides),
-fits AS (
-  SELECT page_id, host, path, (SELECT arg_max({'rule': rh || rp, 'verdict': verdict}, length(rh || rp)) FROM rules
-    WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS f FROM split)
+seen AS (SELECT host, host <> '' AND above / (above + below) >= 0.95 AS bad_host FROM sides)
 SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, CASE WHEN bad_host THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits JOIN seen USING (host)
 """
+
+ORACLE_SQL = oracle_sql()

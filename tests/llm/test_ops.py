@@ -527,15 +527,38 @@ def test_hosts_are_blocked_as_in_sql(spark, tmp_path):
     labels += [(2, None, None), (None, 0, 1), (3, 0, 1), (3, 1, 0)]
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = list(map(tuple, url_reputation.op9_url_reputation(spark, str(tmp_path)).collect()))
+    stored, known = spark.read.parquet(f"{tmp_path}/pages.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    got = list(map(tuple, url_reputation.judge_urls(stored, url_reputation.page_outcomes(known)).collect()))
     con = duckdb.connect()
     for t in ("pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    assert collections.Counter(got) == collections.Counter(con.execute(url_reputation.ORACLE_SQL).fetchall())
+    assert collections.Counter(got) == collections.Counter(con.execute(url_reputation.oracle_sql(url_reputation.BY_LABEL)).fetchall())
     blocked = collections.Counter(r[1].split(".", 1)[1] for r in got if r[4] == "block" and r[3] is None)
     assert blocked["spam.net"] > 1400 and 600 < blocked["mixed.co.uk"] < 900 and set(blocked) == {"spam.net", "mixed.co.uk"}
 
 
+def test_hosts_are_judged_by_what_rules_decide(spark, tmp_path):
+    """Of com hosts the /de/ pages are bad and the /fr/ pages good; the other pages follow, as in SQL."""
+    import duckdb
+
+    pages, n = [], 0
+    for host, de, fr in (("bad.spam.com", 40, 1), ("new.spam.com:8080", 0, 0), ("good.fine.com", 1, 40), ("10.0.0.1", 0, 0), ("a.b.kobe.jp", 0, 0), ("x.other.net", 0, 0)):
+        for part, many in (("de", de), ("fr", fr), ("en", 5)):
+            for _ in range(many):
+                n += 1
+                pages.append((n, f"https://{host}/{part}/{n}"))
+    pages += [(1, pages[0][1]), (None, "https://bad.spam.com/de/"), (n + 1, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = list(map(tuple, url_reputation.op9_url_reputation(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert collections.Counter(got) == collections.Counter(con.execute(url_reputation.ORACLE_SQL).fetchall())
+    # a host without outcomes follows its domain
+    assert {r[1] for r in got if r[4] == "block" and r[3] is None} == {"bad.spam.com", "new.spam.com:8080"}
+    named = {r.host: (r.domain, r.suffix) for r in url_reputation.name_levels(spark.createDataFrame([(h,) for h in ("10.0.0.1:80", "a.b.co.uk:1", "x", "")], "host string")).collect()}
+    assert named == {"10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "a.b.co.uk:1": ("b.co.uk", "co.uk"), "x": ("x", "x"), "": ("", "")}
+
+
 # --- 10 ---
 
 
