@@ -3,6 +3,8 @@
 A page is read once as a flat run of blocks: block-level tags end a block, inline tags do not. Each block
 has its word count and link density, those of the blocks before and after, and what encloses it. A
 decision tree, grown from a small labelled table of pages (``labelled_pages``), says which blocks belong to the article.
+A page in which nothing does is read again with less trust in what encloses its text: of a form only the controls are left out, and a name counts
+only if all its words tell of something around an article (``social-links`` does, ``social-issues`` does not).
 Pages are independent, so there is no shuffle at all.
 """
 
@@ -39,6 +41,9 @@ UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPLIT_NAMES = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: Elements that hold the article or the page itself; their names do not say what stands around it
 WHOLE_TAGS = frozenset("html body main article".split())
+#: Controls of a form, and words that say nothing about what an element holds
+CONTROLS = frozenset("label legend input".split())
+GENERIC = frozenset("area bar body bottom box btn button buttons center col column container content group header inner item items left link links list main nav outer page panel right row section site top wrap wrapper".split())
 #: Words in a compound name (has-sidebar, no-comments) after which it tells of something else on the page, or of its absence
 ABOUT_OTHERS = frozenset("has have with without no not non hide hides".split())
 
@@ -107,10 +112,13 @@ def is_unseen(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(UNSHOWN.search(attributes.get("style", "")))
 
 
-def is_around(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether the class, id or role of an element names something around an article."""
+def is_around(tag: str, attributes: dict[str, str], again: bool = False) -> bool:
+    """Whether the class, id or role of an element names something around an article; ``again``, by all words of a name."""
     if tag in WHOLE_TAGS:
         return False
+    if again:
+        names = ([w.lower() for w in SPLIT_NAMES.split(x) if w and not w.isdigit()] for x in " ".join(attributes.get(x, "") for x in ("class", "id", "role")).split())
+        return any(AROUND & set(words) and set(words) <= AROUND | GENERIC for words in names)
     for name in " ".join(attributes.get(x, "") for x in ("class", "id", "role")).split():
         for word in SPLIT_NAMES.split(name):
             if word.lower() in ABOUT_OTHERS:
@@ -120,8 +128,9 @@ def is_around(tag: str, attributes: dict[str, str]) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple]:
-    """(text, words, link density, around, inside, heading) of each block that has text, in page order."""
+def blocks_of(page: str, again: bool = False) -> list[tuple]:
+    """(text, words, link density, around, inside, heading) of each block that has text, in page order; ``again``, with forms open and names read strictly."""
+    hidden = (HIDDEN_TAGS - {"form", "fieldset"}) | CONTROLS if again else HIDDEN_TAGS
     found: list[tuple] = []
     stack: list[tuple] = []  # open elements: (tag, counts before it)
     state = [0, 0, 0, 0, 0]  # depth in hidden, around, inside, heading, a
@@ -173,8 +182,8 @@ def blocks_of(page: str) -> list[tuple]:
                     break
         stack.append((tag, tuple(state)))
         attributes = attributes_of(m["rest"]) if m["rest"] else {}
-        state[0] += tag in HIDDEN_TAGS or is_unseen(attributes)
-        state[1] += (tag in FRAME_TAGS and not (tag == "header" and state[2])) or is_around(tag, attributes)
+        state[0] += tag in hidden or is_unseen(attributes)
+        state[1] += (tag in FRAME_TAGS and not (tag == "header" and state[2])) or is_around(tag, attributes, again)
         state[2] += tag in BODY_TAGS
         state[3] += tag in HEADINGS
         state[4] += tag == "a"
@@ -193,9 +202,13 @@ def features_of(blocks: list[tuple]) -> list[tuple]:
 
 
 def main_text(page: str, tree) -> str:
-    """Article blocks of a page, joined by one newline; empty if there is none."""
-    blocks = blocks_of(page)
-    return "\n".join(b[0] for b, row in zip(blocks, features_of(blocks), strict=True) if is_text(tree, row))
+    """Article blocks of a page, joined by one newline; empty if there is none, read as it is and read again."""
+    for again in (False, True):
+        blocks = blocks_of(page, again)
+        found = [b[0] for b, row in zip(blocks, features_of(blocks), strict=True) if is_text(tree, row)]
+        if found:
+            return "\n".join(found)
+    return ""
 
 
 def extract_text(pages: DataFrame, labelled: list[tuple[str, list[tuple[str, int]]]] | None = None) -> DataFrame:

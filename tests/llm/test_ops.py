@@ -537,6 +537,22 @@ def test_hosts_are_blocked_as_in_sql(spark, tmp_path):
     assert blocked["spam.net"] > 1400 and 600 < blocked["mixed.co.uk"] < 900 and set(blocked) == {"spam.net", "mixed.co.uk"}
 
 
+PARAGRAPH = "It was a long day in the valley, and nobody had seen the river so high before the bridge went down in the storm last year."
+
+
+@pytest.mark.parametrize(("start", "end"), [('<div class="social-issues">', "</div>"), ('<div class="top-menu-story">', "</div>"), ('<form id="aspnetForm" method="post"><input type="hidden" value="x"><label>Search here</label><button>Go</button>', "</form>")])
+def test_an_article_in_an_odd_element_is_found(start, end):
+    tree = flat_blocks.trained_tree()
+    rest = '<div class="menu"><ul><li><a href="/">Home</a></li><li><a href="/b">News of today</a></li></ul></div>'
+    page = f"<html><body>{rest}{start}<h1>High water</h1>{f'<p>{PARAGRAPH}</p>' * 4}{end}<div class='site-footer'><p>All rights reserved by the owners of this page</p></div></body></html>"
+    assert flat_blocks.main_text(page, tree) == "\n".join(["High water"] + [PARAGRAPH] * 4)
+
+
+@pytest.mark.parametrize("part", ['<div class="comments-list"><p>{0}</p><p>{0}</p></div>', '<div id="cookie-notice"><p>{0}</p></div>', '<nav><p>{0}</p></nav>', '<footer>{0}</footer>'])
+def test_a_page_without_an_article_stays_empty(part):
+    assert flat_blocks.main_text(f"<html><body>{part.format(PARAGRAPH)}</body></html>", flat_blocks.trained_tree()) == ""
+
+
 def test_hosts_are_judged_by_what_rules_decide(spark, tmp_path):
     """Of com hosts the /de/ pages are bad and the /fr/ pages good; the other pages follow, as in SQL."""
     import duckdb
