@@ -13,6 +13,7 @@ from lumeset.session import shared_folder
 from lumeset.sinks import artifacts
 from lumeset.sources import state
 from lumeset.sources.tables import table
+from lumeset.streaming import assessments
 
 QUERIES, ORACLES = {}, {}
 CATALOG = {"field": "Field", "battle": "Battle", "other": "Other"}
@@ -169,6 +170,21 @@ def stored_assessments(spark, d):
     return spark.read.format("assessment_state").option("cache_key", "v1").load(folder)
 
 
+@query("SELECT event_id AS key, least(100.0, value) AS blog_score, event_id % 9 = 0 AS is_transition, event_type AS scene, 'r' AS reason, 1 AS tries FROM events")
+def streamed_assessments(spark, d):
+    """Events as a stream that comes twice, a third of it three times; each is scored once."""
+    folder = f"{shared_folder(spark)}/lumeset/{uuid.uuid4().hex}/arrivals"
+    e = table(spark, d, "events").select(F.col("event_id").alias("key"), F.least(F.lit(100.0), "value").alias("score"), F.col("event_type").alias("scene"))
+    for part in (e.where("key % 3 = 0"), e, e):
+        part.write.mode("append").parquet(folder)
+    arrivals = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+
+    def scorer(f):
+        return f.assign(blog_score=f["score"].astype(float), is_transition=f["key"] % 9 == 0, reason="r")[["key", "blog_score", "is_transition", "scene", "reason"]]
+
+    return assessments.run_to(assessments.scored_once(arrivals, scorer))
+
+
 @query("""
 SELECT label AS run, 15 AS fields, count(*) FILTER (vec_id % 3 = 0) AS selected, count(*) FILTER (vec_id % 3 <> 0) AS rejected, min(vec_id) FILTER (vec_id % 3 = 0) AS first,
   count(*) FILTER (vec_id % 3 = 0) AS with_output, 11 + CASE WHEN min(vec_id) FILTER (vec_id % 3 = 0) IS NULL THEN NULL ELSE 1 END AS of_selected, 11 AS of_rejected
