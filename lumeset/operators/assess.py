@@ -78,7 +78,7 @@ def assess(candidates: DataFrame, scorer: Scorer, folder: str, key: str, batch:
     return state(candidates, folder, key).join(candidates.select("key"), "key", "left_semi")
 
 
-def assess_until_covered(candidates: DataFrame, first: DataFrame, scorer: Scorer, folder: str, key: str, count: int, distinct_bits: int = 5, rounds: int = 100) -> DataFrame:
+def assess_until_covered(candidates: DataFrame, first: DataFrame, scorer: Scorer, folder: str, key: str, count: int, distinct_bits: int = 5) -> DataFrame:
     """Assess ``first``, then more candidates of sources without a survivor, until each run has enough or nothing is left.
 
     candidates: run, key, source, ts, score, h; first: run, key. Every round stores its assessments, so a round's lineage is a read of
@@ -87,7 +87,7 @@ def assess_until_covered(candidates: DataFrame, first: DataFrame, scorer: Scorer
     from lumeset.operators.select import backfill_order, source_backfill
 
     asked = first.select("key")
-    for _ in range(rounds):
+    while True:  # each round assesses candidates that were not
         done = assess(candidates.join(asked, "key", "left_semi"), scorer, folder, key)
         known = candidates.join(done, "key")
         order = backfill_order(known.select("run", "source", "is_transition"), candidates.select("run", "source").distinct(), count)
@@ -95,10 +95,9 @@ def assess_until_covered(candidates: DataFrame, first: DataFrame, scorer: Scorer
         if more.isEmpty():
             return done
         asked = done.select("key").union(more.select("key"))
-    raise RuntimeError("no end after so many rounds")
 
 
-def assess_twice(candidates: DataFrame, first: DataFrame, one: Scorer, two: Scorer, folder: str, keys: tuple[str, str], count: int, distinct_bits: int = 5, rounds: int = 100) -> DataFrame:
+def assess_twice(candidates: DataFrame, first: DataFrame, one: Scorer, two: Scorer, folder: str, keys: tuple[str, str], count: int, distinct_bits: int = 5) -> DataFrame:
     """Assess with the first scorer, then those it lets pass with the second, until each run has enough survivors of both or nothing is left.
 
     When the second's pool has no more candidates of the sources that lack survivors, the first's is filled up from all candidates of those
@@ -106,12 +105,12 @@ def assess_twice(candidates: DataFrame, first: DataFrame, one: Scorer, two: Scor
     """
     from lumeset.operators.select import backfill_order, source_backfill
 
-    primary = assess_until_covered(candidates, first, one, folder, keys[0], count, distinct_bits, rounds)
+    primary = assess_until_covered(candidates, first, one, folder, keys[0], count, distinct_bits)
     asked = primary.select("key")
-    for _ in range(rounds):
+    while True:  # each round assesses candidates that were not
         pool = candidates.join(assess(candidates.join(asked, "key", "left_semi"), one, folder, keys[0]).where(~F.col("is_transition")).select("key"), "key", "left_semi")
         start = pool.join(first.select("key"), "key", "left_semi")
-        done = assess_until_covered(pool, (pool if start.isEmpty() else start).select("run", "key"), two, folder, keys[1], count, distinct_bits, rounds)
+        done = assess_until_covered(pool, (pool if start.isEmpty() else start).select("run", "key"), two, folder, keys[1], count, distinct_bits)
         order = backfill_order(candidates.join(done, "key").select("run", "source", "is_transition"), candidates.select("run", "source").distinct(), count)
         known = candidates.join(asked.select("key", F.lit(True).alias("assessed")), "key", "left").withColumn("assessed", F.coalesce("assessed", F.lit(False)))
         more = source_backfill(known, order, distinct_bits)
@@ -120,7 +119,6 @@ def assess_twice(candidates: DataFrame, first: DataFrame, one: Scorer, two: Scor
         # stored, so that the next round's list is no plan over all rounds before
         assess(candidates.join(more.select("key"), "key", "left_semi"), one, folder, keys[0]).count()
         asked = state(candidates, folder, keys[0]).select("key")
-    raise RuntimeError("no end after so many rounds")
 
 
 def with_fallback(candidates: DataFrame, classified: DataFrame, slug: str = "fallback") -> DataFrame:

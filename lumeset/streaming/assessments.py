@@ -23,7 +23,8 @@ FIELDS = [c.split()[0] for c in STATE.split(", ")]
 def scored_once(candidates: DataFrame, scorer: Scorer, tries: int = TRIES, wait: float = WAIT) -> DataFrame:
     """Assessments (STATE, and ``tries``) of a stream of candidates with a ``key``: each key's first row is scored, later ones are passed over.
 
-    After a failed call the candidate waits ``wait`` seconds for each try so far; the last failure is an error. What a candidate is scored by is kept in its state
+    After a failed call the candidate waits ``wait`` seconds for each try so far (with 0 it is tried again at once, and the stream can end with its input); the last
+    failure is an error. What a candidate is scored by is kept in its state
     until then. Rows without a key are passed over.
     """
     columns = candidates.columns
@@ -40,21 +41,25 @@ def scored_once(candidates: DataFrame, scorer: Scorer, tries: int = TRIES, wait:
                     break
         elif done or not state.hasTimedOut:
             return
-        try:
-            asked = pd.DataFrame([row], columns=columns)
-            reply = checked_reply(asked, scorer(asked))
-        except ValueError:
-            raise
-        except Exception:
-            if tried + 1 >= tries:
+        asked = pd.DataFrame([row], columns=columns)
+        for tried in range(tried + 1, tries + 1):
+            try:
+                reply = checked_reply(asked, scorer(asked))
+                break
+            except ValueError:
                 raise
-            state.update((*row, tried + 1, False))
-            state.setTimeoutDuration(max(1, int(1000 * wait * (tried + 1))))
-            return
-        state.update((*[None] * len(columns), tried + 1, True))  # only that it is done stays
-        yield reply[FIELDS].assign(tries=tried + 1)
+            except Exception:
+                if tried == tries:
+                    raise
+                if wait:
+                    state.update((*row, tried, False))
+                    state.setTimeoutDuration(max(1, int(1000 * wait * tried)))
+                    return
+        state.update((*[None] * len(columns), tried, True))  # only that it is done stays
+        yield reply[FIELDS].assign(tries=tried)
 
-    return candidates.groupBy("key").applyInPandasWithState(one, f"{STATE}, tries int", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    waits = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
+    return candidates.groupBy("key").applyInPandasWithState(one, f"{STATE}, tries int", kept, "append", waits)
 
 
 def run_to(scored: DataFrame, folder: str | None = None, seconds: float = 0.0, name: str = "scored") -> DataFrame:

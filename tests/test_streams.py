@@ -40,4 +40,4 @@ def test_an_invalid_reply_is_not_asked_for_again(spark, tmp_path):
     stream = arrivals(spark, str(tmp_path / "in"), [[(1, 500.0, "s")]])
     bad = lambda f: f.assign(blog_score=f["score"], is_transition=False, reason="")
     with pytest.raises(Exception, match="between 0 and 100"):
-        assessments.run_to(assessments.scored_once(stream, bad), str(tmp_path / "out"))
+        assessments.run_to(assessments.scored_once(stream, bad, wait=0), str(tmp_path / "out"))
