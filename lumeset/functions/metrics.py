@@ -46,6 +46,9 @@ def selection_score(quality: Column, confidence: Column) -> Column:
     return quality * 0.7 + confidence * 0.3
 
 
+# Every number in the scores from here to ``relative_transition``
+
+
 def unusable(brightness: Column, contrast: Column, sharpness: Column) -> Column:
     """A frame that is black, white or empty."""
     return ((brightness < 7) & (contrast < 4)) | ((brightness > 248) & (contrast < 4)) | ((contrast < 2) & (sharpness < 1))

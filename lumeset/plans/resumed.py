@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumeset.functions import vectors as V
 from lumeset.operators import append, replies, resume
-from lumeset.session import shared_folder
+from lumeset.session import materialise, shared_folder
 from lumeset.sinks import artifacts
 from lumeset.sources import state
 from lumeset.sources.tables import table
@@ -170,6 +170,22 @@ def stored_assessments(spark, d):
     return spark.read.format("assessment_state").option("cache_key", "v1").load(folder)
 
 
+@query("""
+SELECT DISTINCT o_orderpriority AS part, CASE left(o_orderpriority, 1)::INT % 5 WHEN 1 THEN 'size' WHEN 2 THEN 'digest' WHEN 3 THEN 'outside' ELSE 'missing' END AS fault FROM orders WHERE left(o_orderpriority, 1)::INT % 5 <> 0""")
+def completion_check(spark, d):
+    """Orders written by priority, recorded by size and digest, and the record verified: of four of five parts it says something else."""
+    root = f"{shared_folder(spark)}/lumeset/{uuid.uuid4().hex}/outputs"
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.substring("o_orderpriority", 1, 1).alias("part"))
+    o.write.partitionBy("part").csv(root)
+    found = artifacts.artifacts(spark, root)
+    n = F.regexp_extract("path", r"part=(\d)", 1).cast("int") % 5
+    wrong = F.when(n == 3, F.concat(F.lit("/elsewhere/"), F.regexp_extract("path", r"(part=\d.*)", 1))).when(n == 4, F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    record = found.select(wrong.alias("path"), F.when(n == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(n == 2, "0").otherwise(F.col("sha256")).alias("sha256"))
+    faults = artifacts.verify(materialise(record, "record"), found, root.removeprefix("file:").replace("//", "/").replace("//", "/"))
+    names = table(spark, d, "orders").select("o_orderpriority").distinct()
+    return faults.select(F.regexp_extract("path", r"part=(\d)", 1).alias("_p"), "fault").distinct().join(names, F.col("_p") == F.substring("o_orderpriority", 1, 1)).select(F.col("o_orderpriority").alias("part"), "fault")
+
+
 @query("SELECT event_id AS key, least(100.0, value) AS blog_score, event_id % 9 = 0 AS is_transition, event_type AS scene, 'r' AS reason, 1 AS tries FROM events")
 def streamed_assessments(spark, d):
     """Events as a stream that comes twice, a third of it three times; each is scored once."""
