@@ -15,9 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from lumeset.llm.common import materialise
 from lumeset.llm.graph import components
@@ -26,6 +26,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE = 1024
 #: A bucket of more nodes is split by further blocks before it is compared.
 BUCKET_NODES = 16_384
+#: Near copies: five-word shingles, the share of them, bits in which fingerprints of words and of shingles may differ, candidates of a text met first.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, FINE_RADIUS, NEAREST = 5, 0.8, 8, 18, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -193,16 +195,213 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component, that with the smallest doc_id (a null one only if there is no other), with all its columns; of repeated rows of this doc_id, one."""
-    found = materialise(near_duplicates(docs.select("doc_id", "text"), radius), "found")
+    return least_of_each(docs, materialise(near_duplicates(docs.select("doc_id", "text"), radius), "found"), fingerprint_of("text"))
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, mark: Column) -> DataFrame:
+    """The rows of docs that stand for the components of found (doc_id, fp, root); mark computes fp from a row of docs."""
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least"))
     kept = least.select(F.col("least.doc_id").alias("_id"), F.col("least.fp").alias("_fp"))
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
     # some doc_id stands in several rows: the fingerprint, which is in one component only, tells which of them is meant
-    marked = docs.select(F.col("doc_id").cast("long").alias("_own"), fingerprint_of("text").alias("_own_fp"), F.struct(*docs.columns).alias("doc"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("_own"), mark.alias("_own_fp"), F.struct(*docs.columns).alias("doc"))
     return marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp"))).dropDuplicates(["_own_fp"]).select("doc.*")
 
 
+# --- near copies by the words of a text ---
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of each word, A-Z in lower case."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+
+
+def distinct_shingles(hashes: np.ndarray, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of words given by theirs: a polynomial in the words' hashes, mixed; fewer words are one shingle, no words none."""
+    runs = min(shingle, len(hashes))
+    if not runs:
+        return hashes
+    mixed = np.zeros(len(hashes) - runs + 1, np.uint64)
+    for k in range(runs):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(mixed)]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return np.unique(mixed ^ (mixed >> np.uint64(31)))
+
+
+def majority(hashes: np.ndarray) -> str:
+    """16 hexadecimal digits of the bits set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes().hex()
+
+
+@F.pandas_udf(StringType())
+def two_fingerprints_of(texts: pd.Series) -> pd.Series:
+    """Fingerprints of the distinct words and of the distinct five-word shingles of each text, 32 hexadecimal digits; null and empty texts have zeros."""
+    hashes = map(word_hashes, texts)
+    return pd.Series([majority(np.unique(h)) + majority(distinct_shingles(h)) for h in hashes], dtype=object)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def shingles_of(texts: pd.Series) -> pd.Series:
+    """Distinct hashes of the five-word shingles of each text."""
+    return pd.Series([distinct_shingles(word_hashes(t)).view(np.int64) for t in texts], dtype=object)
+
+
+def nearest_others(words: np.ndarray, fine: np.ndarray, group: np.ndarray, most: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its ``most`` nearest rows of another group within both radii: rows i and j, and the rows that had more.
+
+    Tiles of rows sorted by the bit counts of their words are compared; tile pairs whose bit counts differ by more than the radius are skipped.
+    """
+    none = np.zeros(0, np.int64)
+    if len(words) <= 256 and np.count_nonzero(np.bitwise_count(words[:, None] ^ words[None]) <= COPY_RADIUS) == len(words):
+        return none, none, none  # each is near itself alone
+    bits = np.bitwise_count(words).astype(np.int64)
+    order = np.argsort(bits, kind="stable")
+    words, fine, group, bits = words[order], fine[order], group[order], bits[order]
+    one, two, cut = [], [], []
+    for a in range(0, len(words), tile):
+        e = min(a + tile, len(words))
+        low, high = np.searchsorted(bits, bits[a] - COPY_RADIUS), np.searchsorted(bits, bits[e - 1] + COPY_RADIUS, side="right")
+        i, j, d = [], [], []
+        for b in range(low, high, tile):
+            x = np.bitwise_count(words[a:e, None] ^ words[None, b : min(b + tile, high)])
+            near = np.nonzero(x <= COPY_RADIUS)
+            y = np.bitwise_count(fine[a + near[0]] ^ fine[b + near[1]])
+            open_ = (y <= FINE_RADIUS) & (group[a + near[0]] != group[b + near[1]])
+            i, j, d = [*i, a + near[0][open_]], [*j, b + near[1][open_]], [*d, x[near][open_].astype(np.int64) + y[open_]]
+            i, j, d = map(np.concatenate, (i, j, d))
+            by = np.lexsort((j, d, i))
+            i, j, d = i[by], j[by], d[by]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, d = [i[rank <= most]], [j[rank <= most]], [d[rank <= most]]  # one more than asked for tells that there are more
+        i, j = i[0], j[0]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        one.append(order[i[rank < most]])
+        two.append(order[j[rank < most]])
+        cut.append(order[i[rank == most]])
+    whole = lambda x: np.concatenate([none, *x])
+    return whole(one), whole(two), whole(cut)
+
+
+def copy_buckets(nodes: DataFrame, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
+    """Buckets (mask, key, low, high, words, fine) of nodes (words, fine).
+
+    Two fingerprints of words within the radius share a bucket for some choice of blocks. A bucket of more than bucket_nodes rows is dealt to slices
+    that meet in pairs, so no task holds more than about that many.
+    """
+    blocks = COPY_RADIUS + (2 if nodes.count() > 4096 else 1)
+    masks = F.array(*(F.lit(signed(m)) for m in block_masks(blocks, COPY_RADIUS)))
+    dealt = nodes.select("words", "fine", F.posexplode(masks).alias("mask", "bits")).select("words", "fine", "mask", F.col("words").bitwiseAND(F.col("bits")).alias("key"))
+    large = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_nodes)
+    large = materialise(large.select("mask", "key", F.ceil(2 * F.col("n") / bucket_nodes).cast("int").alias("slices")), "large")
+    if large.isEmpty():
+        return dealt.select("mask", "key", F.lit(0).alias("low"), F.lit(0).alias("high"), "words", "fine")
+    dealt = dealt.join(large, ["mask", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = F.pmod(F.xxhash64("words", "fine"), F.col("slices")).cast("int")
+    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return met.select("mask", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "words", "fine")
+
+
+def candidate_pairs(buckets: DataFrame, most: int) -> DataFrame:
+    """Rows (a, b, cut) of buckets with a group: nodes near each other, and nodes with more of them than were named (b null)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # rows come sorted by bucket; a bucket may be cut by the end of a batch
+        for part in batches:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            starts = bucket_starts(part)
+            rest = part.iloc[starts[-1] :].reset_index(drop=True)
+            yield from named(part, starts)
+        if rest is not None and len(rest):
+            yield from named(rest, np.array([0, len(rest)]))
+
+    def named(part: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        words, fine = (part[c].to_numpy().view(np.uint64) for c in ("words", "fine"))
+        group = pd.factorize(part["grp"])[0]
+        name = lambda at: [f"{w:016x}{f:016x}" for w, f in zip(words[at].tolist(), fine[at].tolist(), strict=True)]
+        several = np.flatnonzero(np.diff(starts) > 1)
+        for s, e in zip(starts[several], starts[several + 1], strict=True):
+            i, j, cut = nearest_others(words[s:e], fine[s:e], group[s:e], most)
+            if len(i):
+                a, b = name(s + i), name(s + j)
+                low, high = [min(x) for x in zip(a, b, strict=True)], [max(x) for x in zip(a, b, strict=True)]
+                yield pd.DataFrame({"a": low + name(s + cut), "b": high + [None] * len(cut)})
+
+    def bucket_starts(part: pd.DataFrame) -> np.ndarray:
+        key = part[["mask", "key", "low", "high"]].to_numpy()
+        return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
+
+    by = ["mask", "key", "low", "high"]
+    return buckets.select(*by, "words", "fine", "grp").repartition(*by).sortWithinPartitions(*by).mapInPandas(run, "a string, b string").distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, most: int = NEAREST) -> DataFrame:
+    """doc_id, fp (both fingerprints, 32 hexadecimal digits) and root (one for each group of near copies) of docs (doc_id, text).
+
+    Near copies share ``similarity`` of their distinct five-word shingles, or are joined by such. Candidates are texts whose fingerprints of
+    distinct words differ in at most COPY_RADIUS bits and those of five-word shingles in at most FINE_RADIUS; the shares are then counted exactly. Each text
+    first meets its ``most`` nearest candidates; those not joined by then meet more, four times as many each round, until no candidate is
+    left out. Texts equal in all 128 bits are one. Null and empty texts have fingerprints of zero and are one group; a text of fewer than five words
+    is one shingle. Repeated and null ids are as in near_duplicates. An empty table gives an empty result.
+    """
+    marked = materialise(docs.select(F.col("doc_id").cast("long"), two_fingerprints_of("text").alias("fp"), text_of("text").alias("digest")), "fingerprints")
+    as_long = lambda at: F.conv(F.substring("fp", at, 16), 16, -10).cast("long")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("digest").alias("digest")).select("fp", "digest", as_long(1).alias("words"), as_long(17).alias("fine")), "nodes")
+    buckets = copy_buckets(nodes.select("words", "fine"))
+    links, tested, tree, waiting = None, None, None, None
+    while True:
+        if waiting is None:
+            grouped = buckets.withColumn("grp", F.concat_ws("/", "words", "fine"))
+        else:
+            groups = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("words", "fine", F.coalesce("root", "fp").alias("grp"))
+            grouped = buckets.join(waiting, ["mask", "key", "low", "high"], "left_semi").join(groups, ["words", "fine"])
+        found = materialise(candidate_pairs(grouped, most), "candidates")
+        pairs = found.where("b is not null")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        true = materialise(similar(docs, nodes, pairs, similarity), "links")
+        links = true if links is None else links.union(true)
+        tested = found.where("b is not null") if tested is None else tested.union(found.where("b is not null"))
+        tree = materialise(components(links), "tree")
+        cut = found.where("b is null")
+        if cut.isEmpty():
+            break
+        # only buckets with a row that had more candidates are looked at again
+        left = cut.select(F.conv(F.substring("a", 1, 16), 16, -10).cast("long").alias("words"), F.conv(F.substring("a", 17, 16), 16, -10).cast("long").alias("fine"))
+        waiting = materialise(buckets.join(left, ["words", "fine"], "left_semi").select("mask", "key", "low", "high").distinct(), "waiting")
+        most *= 4
+    return marked.join(tree, marked["fp"] == tree["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def text_of(text: str) -> Column:
+    """What tells a text from others; null is the empty text."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (fp, digest of a text) whose texts share enough of their shingles."""
+    pairs = materialise(pairs, "pairs")
+    wanted = nodes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp", "left_semi").select("fp", "digest")
+    texts = docs.select(text_of("text").alias("digest"), "text").join(wanted, "digest").groupBy("fp").agg(F.first("text").alias("text"))
+    shingles = materialise(texts.select("fp", shingles_of("text").alias("s")), "shingles", compression="zstd")
+    x = shingles.select(F.col("fp").alias("a"), F.col("s").alias("x"))
+    y = shingles.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+    return both.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
+
+
+def keep_one_copy(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies (see near_copies), chosen as in keep_one."""
+    return least_of_each(docs, materialise(near_copies(docs.select("doc_id", "text")), "found"), two_fingerprints_of("text"))
+
 
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
