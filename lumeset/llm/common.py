@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumeset.session import materialise  # noqa: F401
+from lumeset.session import distilled, materialise  # noqa: F401
 
 #: ASCII white space; a word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
-from lumeset.llm.common import materialise
+from lumeset.llm.common import distilled, materialise
 from lumeset.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -28,6 +29,9 @@ TILE = 1024
 BUCKET_NODES = 16_384
 #: Near copies: five-word shingles, the share of them, bits in which fingerprints of words and of shingles may differ, candidates of a text met first.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, FINE_RADIUS, NEAREST = 5, 0.8, 8, 18, 4
+#: Their candidates: bands of least hashes, hashes in a band, and classes of shingles whose parities bound a difference.
+BANDS, BAND_ROWS, ODD_BITS = 32, 4, 1024
+TURNS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -241,11 +245,19 @@ def majority(hashes: np.ndarray) -> str:
     return np.packbits(2 * ones > len(hashes)).tobytes().hex()
 
 
-@F.pandas_udf(StringType())
-def two_fingerprints_of(texts: pd.Series) -> pd.Series:
-    """Fingerprints of the distinct words and of the distinct five-word shingles of each text, 32 hexadecimal digits; null and empty texts have zeros."""
-    hashes = map(word_hashes, texts)
-    return pd.Series([majority(np.unique(h)) + majority(distinct_shingles(h)) for h in hashes], dtype=object)
+SKETCH = StructType().add("fp", StringType()).add("n", IntegerType()).add("odd", BinaryType()).add("bands", ArrayType(LongType()))
+
+
+@F.pandas_udf(SKETCH)
+def sketch_of(texts: pd.Series) -> pd.DataFrame:
+    """Of the set of five-word shingles of each text: its name (128 bits), its size, its parities by class and a key for each band of least hashes (none for no words)."""
+    import xxhash
+
+    rows = []
+    for text in texts:
+        s = distinct_shingles(word_hashes(text))
+        rows.append((xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), parities(s).tobytes(), band_keys(s).view(np.int64)))
+    return pd.DataFrame(rows, columns=["fp", "n", "odd", "bands"])
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -254,6 +266,26 @@ def shingles_of(texts: pd.Series) -> pd.Series:
     return pd.Series([distinct_shingles(word_hashes(t)).view(np.int64) for t in texts], dtype=object)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of ODD_BITS classes: whether it holds an odd number of shingles. Two sets differ in at least as many shingles as their parities in bits."""
+    counts = np.bincount((shingles >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS)
+    return np.packbits((counts & 1).astype(bool))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS bands, of BAND_ROWS least hashes each; sets that share 0.8 agree in none of them once in twenty million."""
+    if not len(shingles):
+        return shingles
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[None, k : k + 2048] ^ TURNS) * FACTORS).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 def nearest_others(words: np.ndarray, fine: np.ndarray, group: np.ndarray, most: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row its ``most`` nearest rows of another group within both radii: rows i and j, and the rows that had more.
 
@@ -342,42 +374,112 @@ def candidate_pairs(buckets: DataFrame, most: int) -> DataFrame:
     return buckets.select(*by, "words", "fine", "grp").repartition(*by).sortWithinPartitions(*by).mapInPandas(run, "a string, b string").distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, most: int = NEAREST) -> DataFrame:
-    """doc_id, fp (both fingerprints, 32 hexadecimal digits) and root (one for each group of near copies) of docs (doc_id, text).
+def open_pairs(n: np.ndarray, odd: np.ndarray, group: np.ndarray, most: int, similarity: float, tile: int = 64, width: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i and j of a bucket that may share ``similarity`` and are of two groups, and the rows that had more of them.
+
+    Rows that are not of the bucket's largest group name their ``most`` nearest; of every two rows of different groups one is such a row.
+    Sets that share so much differ in at most (1 - similarity) / (1 + similarity) of their joint size, and in no fewer shingles than parities (odd, as rows of 64-bit words).
+    """
+    none = np.zeros(0, np.int64)
+    if (group == group[0]).all():
+        return none, none, none
+    choosing = np.flatnonzero(group != np.bincount(group).argmax())
+    bound = (1 - similarity) / (1 + similarity) + 1e-9
+    one, two, cut = [none], [none], [none]
+    for a in range(0, len(choosing), tile):
+        c = choosing[a : a + tile]
+        i, j, d = none, none, np.zeros(0)
+        for b in range(0, len(n), width):
+            both = n[c, None] + n[None, b : b + width]
+            differ = np.bitwise_count(odd[c, None] ^ odd[None, b : b + width]).sum(axis=2, dtype=np.int64)
+            differ = np.maximum(differ, np.abs(n[c, None] - n[None, b : b + width]))
+            x, y = np.nonzero((differ <= bound * both) & (group[c, None] != group[None, b : b + width]))
+            i, j, d = np.concatenate([i, c[x]]), np.concatenate([j, b + y]), np.concatenate([d, differ[x, y] / both[x, y]])
+            by = np.lexsort((j, d, i))
+            i, j, d = i[by], j[by], d[by]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, d = i[rank <= most], j[rank <= most], d[rank <= most]  # one more than asked for tells that there are more
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        one.append(i[rank < most])
+        two.append(j[rank < most])
+        cut.append(i[rank == most])
+    return np.concatenate(one), np.concatenate(two), np.concatenate(cut)
+
+
+def open_candidates(cells: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Distinct rows (a, b, key) of cells (key, low, high, id, n, odd, grp): pairs a < b to be compared (key null), and buckets in which a row had more of them (a, b null)."""
 
-    Near copies share ``similarity`` of their distinct five-word shingles, or are joined by such. Candidates are texts whose fingerprints of
-    distinct words differ in at most COPY_RADIUS bits and those of five-word shingles in at most FINE_RADIUS; the shares are then counted exactly. Each text
-    first meets its ``most`` nearest candidates; those not joined by then meet more, four times as many each round, until no candidate is
-    left out. Texts equal in all 128 bits are one. Null and empty texts have fingerprints of zero and are one group; a text of fewer than five words
+    def named(part: pd.DataFrame) -> pd.DataFrame:
+        ids = part["id"].to_numpy()
+        odd = np.frombuffer(b"".join(part["odd"]), np.uint64).reshape(len(part), -1)
+        i, j, cut = open_pairs(part["n"].to_numpy().astype(np.int64), odd, pd.factorize(part["grp"])[0], most, similarity)
+        found = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "key": None})
+        more = pd.DataFrame({"a": None, "b": None, "key": part["key"].iloc[:1]}) if len(cut) else found.iloc[:0]
+        return pd.concat([x.astype("Int64") for x in (found, more)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows come sorted by cell; a cell may be cut by the end of a batch
+        for part in batches:
+            if not len(part):
+                continue
+            cell = part[["key", "low", "high"]].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(part)]])
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                if held and (held[-1][["key", "low", "high"]].iloc[-1].to_numpy() != cell[s]).any():
+                    yield named(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part.iloc[s:e])
+        if held:
+            yield named(pd.concat(held, ignore_index=True))
+
+    by = ["key", "low", "high"]
+    return cells.repartition(*by).sortWithinPartitions(*by, "id").mapInPandas(run, "a long, b long, key long").distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, most: int = NEAREST, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
+    """doc_id, fp (name of the set of five-word shingles, 32 hexadecimal digits) and root (one for each group of near copies) of docs (doc_id, text).
+
+    Near copies share ``similarity`` of their distinct five-word shingles, or are joined by such. Sets that agree in a band of least hashes share
+    a bucket (see band_keys). Each set is compared with the first of a bucket; sets of a bucket that are not joined by then are compared with
+    their ``most`` nearest of other groups, then with eight times as many each round, until no two of different groups are left that the bound of open_pairs does not
+    tell apart. Shares are counted exactly. Equal sets are one; null texts and those without words are one group; a text of fewer than five words
     is one shingle. Repeated and null ids are as in near_duplicates. An empty table gives an empty result.
     """
-    marked = materialise(docs.select(F.col("doc_id").cast("long"), two_fingerprints_of("text").alias("fp"), text_of("text").alias("digest")), "fingerprints")
-    as_long = lambda at: F.conv(F.substring("fp", at, 16), 16, -10).cast("long")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("digest").alias("digest")).select("fp", "digest", as_long(1).alias("words"), as_long(17).alias("fine")), "nodes")
-    buckets = copy_buckets(nodes.select("words", "fine"))
-    links, tested, tree, waiting = None, None, None, None
+    marked = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("digest"), sketch_of("text").alias("s")).select("doc_id", "digest", "s.*")
+    marked = materialise(marked, "fingerprints", compression="zstd")
+    first = marked.groupBy("fp").agg(F.min("digest").alias("digest"), *(F.first(c).alias(c) for c in ("n", "odd", "bands")))
+    nodes = materialise(first.withColumn("id", F.monotonically_increasing_id()), "nodes", compression="zstd")
+    bucket = W.partitionBy("key")
+    dealt = nodes.select("id", F.explode("bands").alias("key")).select("id", "key", F.min("id").over(bucket).alias("head"), F.count("*").over(bucket).alias("size"))
+    buckets = materialise(dealt.where("size > 1"), "buckets", compression="zstd")
+    shingles = materialise(shingles_for(docs, nodes.join(buckets.select("id").distinct(), "id", "left_semi")), "shingles", compression="zstd")
+    # the head that a node meets in most buckets
+    heads = buckets.where("id > head").groupBy("head", "id").agg(F.count("*").alias("times")).groupBy("id").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
+    tested = materialise(heads.select("a", F.col("id").alias("b")), "tested")
+    tree, waiting = tree_of(similar(shingles, tested, similarity)), buckets
     while True:
-        if waiting is None:
-            grouped = buckets.withColumn("grp", F.concat_ws("/", "words", "fine"))
-        else:
-            groups = nodes.join(tree, nodes["fp"] == tree["node"], "left").select("words", "fine", F.coalesce("root", "fp").alias("grp"))
-            grouped = buckets.join(waiting, ["mask", "key", "low", "high"], "left_semi").join(groups, ["words", "fine"])
-        found = materialise(candidate_pairs(grouped, most), "candidates")
-        pairs = found.where("b is not null")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        true = materialise(similar(docs, nodes, pairs, similarity), "links")
-        links = true if links is None else links.union(true)
-        tested = found.where("b is not null") if tested is None else tested.union(found.where("b is not null"))
-        tree = materialise(components(links), "tree")
-        cut = found.where("b is null")
-        if cut.isEmpty():
-            break
+        grouped = waiting.join(tree.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("grp"))
+        grouped = grouped.select("*", F.min("grp").over(bucket).alias("least"), F.max("grp").over(bucket).alias("largest")).where("least < largest")
+        # a bucket of more than bucket_nodes is dealt to slices that meet in pairs, so no task holds more than about that many
+        slices = F.when(F.col("size") > bucket_nodes, F.ceil(2 * F.col("size") / bucket_nodes)).otherwise(1).cast("int")
+        met = grouped.select("key", "id", "grp", F.pmod(F.xxhash64("id"), slices).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
+        cells = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "grp").join(nodes.select("id", "n", "odd"), "id")
+        found = materialise(open_candidates(cells, most, similarity), "candidates")
+        pairs = materialise(found.where("key is null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tree = tree_of(similar(shingles, pairs, similarity).union(tree.select("node", "root")))
         # only buckets with a row that had more candidates are looked at again
-        left = cut.select(F.conv(F.substring("a", 1, 16), 16, -10).cast("long").alias("words"), F.conv(F.substring("a", 17, 16), 16, -10).cast("long").alias("fine"))
-        waiting = materialise(buckets.join(left, ["words", "fine"], "left_semi").select("mask", "key", "low", "high").distinct(), "waiting")
-        most *= 4
-    return marked.join(tree, marked["fp"] == tree["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+        left = found.where("key is not null").select("key").distinct()
+        if left.isEmpty():
+            break
+        tested, waiting, most = tested.union(pairs), materialise(waiting.join(left, "key", "left_semi"), "waiting"), most * 8
+    rooted = nodes.join(tree, nodes["id"] == tree["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
+    return marked.join(rooted, "fp").select("doc_id", "fp", "root")
+
+
+def tree_of(links: DataFrame) -> DataFrame:
+    """Components of links (a, b), stored; what they take on the way is deleted."""
+    return distilled(links.sparkSession, "tree", lambda: components(links))
 
 
 def text_of(text: str) -> Column:
@@ -385,22 +487,25 @@ def text_of(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (fp, digest of a text) whose texts share enough of their shingles."""
-    pairs = materialise(pairs, "pairs")
-    wanted = nodes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp", "left_semi").select("fp", "digest")
-    texts = docs.select(text_of("text").alias("digest"), "text").join(wanted, "digest").groupBy("fp").agg(F.first("text").alias("text"))
-    shingles = materialise(texts.select("fp", shingles_of("text").alias("s")), "shingles", compression="zstd")
-    x = shingles.select(F.col("fp").alias("a"), F.col("s").alias("x"))
-    y = shingles.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+def shingles_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and shingles s of wanted (id, digest of a text)."""
+    texts = docs.select(text_of("text").alias("digest"), "text").join(wanted.select("id", "digest"), "digest")
+    return texts.select("id", "digest", "text").dropDuplicates(["digest"]).select("id", shingles_of("text").alias("s"))
+
+
+def similar(shingles: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose shingles (id, s) agree enough, stored."""
+    x = shingles.select(F.col("id").alias("a"), F.col("s").alias("x"))
+    y = shingles.select(F.col("id").alias("b"), F.col("s").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
+    return materialise(both.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"), "links")
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies (see near_copies), chosen as in keep_one."""
-    return least_of_each(docs, materialise(near_copies(docs.select("doc_id", "text")), "found"), two_fingerprints_of("text"))
+    found = distilled(docs.sparkSession, "found", lambda: near_copies(docs.select("doc_id", "text")))
+    return least_of_each(docs, found, sketch_of("text")["fp"])
 
 
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
