@@ -59,30 +59,35 @@ def weighted_counts(sources: DataFrame, run: str = "run") -> DataFrame:
 
     sources: run, key, ord, weight, least, most, target (the same in a run). Each key starts with ``least``; the unit that would be its k-th has
     priority weight / k; ties go to the lower ord. Only units over a priority that is low enough for the target are made: it is looked
-    for on a grid, so a run makes little more than ``target`` units.
+    for on a grid, so a run makes little more than ``target`` units, and none if what its keys start with is as much.
     """
     w = F.greatest(F.col("weight"), F.lit(0.001))
-    tops = sources.groupBy(run).agg(F.max(w).alias("top"), F.max("target").alias("wanted"))
+    tops = sources.groupBy(run).agg(F.max(w).alias("top"), F.max("target").alias("wanted"), F.sum("least").alias("begun")).where("begun < wanted")
     tried = sources.join(tops, run).select(run, "wanted", "least", "most", w.alias("w"), "top", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("j"))
     held = F.greatest("least", F.least("most", F.floor(F.col("w") / (F.col("top") * F.pow(F.lit(1.17), -F.col("j"))))))
     enough = tried.groupBy(run, "j").agg(F.sum(held).alias("c"), F.max("wanted").alias("wanted"), F.max("top").alias("top")).where("c >= wanted")
     level = enough.groupBy(run).agg(F.min_by(F.col("top") * F.pow(F.lit(1.17), -F.col("j")), "j").alias("level"))
     last = F.least("most", F.greatest("least", F.coalesce(F.floor(w / F.col("level")) + 1, F.col("most"))))
-    units = sources.join(level, run, "left").withColumn("last", last).where("last > least").select(run, "key", "ord", "weight", "target", F.explode(F.sequence(F.col("least") + 1, "last")).alias("k"))
+    units = sources.join(tops.select(run), run, "left_semi").join(level, run, "left").withColumn("last", last).where("last > least").select(run, "key", "ord", "weight", "target", F.explode(F.sequence(F.col("least") + 1, "last")).alias("k"))
     rank = F.row_number().over(W.partitionBy(run).orderBy((F.greatest(F.col("weight"), F.lit(0.001)) / F.col("k")).desc(), "ord", "k"))
     start = sources.groupBy(run).agg(F.sum("least").alias("begun"))
     given = units.withColumn("r", rank).join(start, run).where(F.col("r") <= F.col("target") - F.col("begun")).groupBy(run, "key").agg(F.count("*").alias("more"))
     return sources.join(given, [run, "key"], "left").select(run, "key", (F.col("least") + F.coalesce("more", F.lit(0))).alias("n"))
 
 
-def automatic_budget(sources: DataFrame, count: int, run: str = "run") -> DataFrame:
-    """sources (run, key, ord, duration, capacity) with weight, least, most and target for ``weighted_counts``."""
+def automatic_budget(sources: DataFrame, count: int, run: str = "run", strict: bool = True) -> DataFrame:
+    """sources (run, key, ord, duration, capacity) with weight, least, most and target for ``weighted_counts``.
+
+    A run of more sources than its samples is an error or, if not ``strict``, gives each source one.
+    """
     by = W.partitionBy(run)
     base = F.least(F.col("capacity"), F.ceil(F.col("duration") / LONGEST_STEP) + 1).cast("long")
     df = sources.withColumn("base", base)
     wanted = F.greatest(F.lit(count * 36), F.lit(120), F.sum("base").over(by), F.count("*").over(by))
     target = F.least(wanted, F.sum("capacity").over(by), F.lit(MOST))
-    df = df.withColumn("target", F.when(target < F.count("*").over(by), F.raise_error(F.lit("more sources than samples"))).otherwise(target))
+    if strict:
+        target = F.when(target < F.count("*").over(by), F.raise_error(F.lit("more sources than samples"))).otherwise(target)
+    df = df.withColumn("target", target)
     least = F.when(F.sum("base").over(by) <= F.col("target"), F.col("base")).otherwise(F.lit(1))
     return df.select(run, "key", "ord", F.col("duration").alias("weight"), least.cast("long").alias("least"), F.col("capacity").alias("most"), F.col("target").cast("long").alias("target"))
 

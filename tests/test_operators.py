@@ -46,6 +46,15 @@ def test_budget_of_equal_sources(spark, n, want):
     assert got == want if want else sum(got) == 4000 and min(got) > 0
 
 
+def test_more_sources_than_samples(spark):
+    """An error, or one sample each; other runs have theirs as before."""
+    df = spark.range(4003).selectExpr("CASE WHEN id < 4001 THEN 1 ELSE 2 END AS run", "id AS key", "id AS ord", "3600.0D AS duration", "10000L AS capacity")
+    with pytest.raises(Exception, match="more sources than samples"):
+        allocate.automatic_budget(df, 30).collect()
+    got = allocate.weighted_counts(allocate.automatic_budget(df, 30, strict=False)).collect()
+    assert len(got) == 4003 and {r.n for r in got if r.run == 1} == {1} and [r.n for r in got if r.run == 2] == [540, 540]
+
+
 def test_weighted_counts_equal_the_loop(spark):
     rng = np.random.default_rng(3)
     rows, want = [], {}
