@@ -198,7 +198,7 @@ def streamed_assessments(spark, d):
     def scorer(f):
         return f.assign(blog_score=f["score"].astype(float), is_transition=f["key"] % 9 == 0, reason="r")[["key", "blog_score", "is_transition", "scene", "reason"]]
 
-    return assessments.run_to(assessments.scored_once(arrivals, scorer, wait=0))
+    return assessments.run_to(assessments.scored_once(arrivals, scorer, wait=0, batch=4096))
 
 
 @query("""
