@@ -24,6 +24,8 @@ BUCKET, TILE = 2048, 4096  # hashes of a bucket that Spark joins; of a tile
 MASKS, DEALT = 200, 50.0  # masks at most; what it costs to deal a hash out once, in comparisons
 PIVOTS, CELL, BLOCK, BANDS = 512, 512, 2048, 16  # pivots at most; rows for each; rows of a block; bands of angles in a cell
 SLACK = 1e-6  # of angles, for rounding
+MEETINGS = 8  # pairs of blocks, for each block, that are joined by number
+PAIRS = 1 << 18  # links that a task tells at once
 
 
 def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
@@ -102,10 +104,15 @@ def tiled_links(dealt: DataFrame, under: int, tile: int) -> DataFrame:
 # --- vectors ---
 
 
+def vectors_of(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """class (the key) and v (floats as they are, else doubles) of rows with both."""
+    kind = "array<float>" if dict(df.dtypes)[vec] == "array<float>" else "array<double>"
+    return df.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("class"), F.col(vec).cast(kind).alias("v"))
+
+
 def vector_classes(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """v (doubles), class (the smallest key of the rows with this vector) and n; null vectors are in none."""
-    v = F.col(vec).cast("array<double>")
-    return df.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).groupBy(v.alias("v")).agg(F.min(F.col(key).cast("long")).alias("class"), F.count("*").alias("n"))
+    """v, class (the smallest key of the rows with this vector) and n; null vectors are in none."""
+    return vectors_of(df, key, vec).groupBy("v").agg(F.min("class").alias("class"), F.count("*").alias("n"))
 
 
 def thinned(x: np.ndarray, angle: float) -> np.ndarray:
@@ -117,20 +124,19 @@ def thinned(x: np.ndarray, angle: float) -> np.ndarray:
     return x[kept]
 
 
-def cosine_links(df: DataFrame, key: str, vec: str, at_least: float, grouped: bool = True, block: int = BLOCK, cell: int = CELL, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """Links and membership of classes of equal vectors with a cosine of at least the threshold; zero vectors have no links.
+def met_blocks(rows: DataFrame, at_least: float, grouped: bool, block: int, cell: int, pivots: int) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs of blocks of rows (class, n, v) that may hold a link, as one block has its columns (see ``linked``) with 1 and 2 after their names, and class, n and grp of all rows.
 
-    Links: a, b, cosine (a < b), of classes not in one group. Membership: class, n (its rows), and ``grp``, the group it is in or null: classes within half the
-    threshold's angle of one pivot are all linked to each other, which no pair tells. Without ``grouped`` every link is a pair. All vectors must be of one dimension.
+    Where blocks meet few others they are joined by number. Where they meet many, each part of the stored blocks is read beside each other part: nothing is
+    dealt out then, so what lies on disk is the blocks alone, however many pairs there are.
     """
-    spark = df.sparkSession
-    classes = materialise(vector_classes(df, key, vec), "classes")
-    total = classes.count()
-    pair, member = "a long, b long, cosine double", "class long, n long, grp int"
+    spark = rows.sparkSession
+    total = rows.count()
     if not total:
-        return spark.createDataFrame([], pair), spark.createDataFrame([], member)
+        return None, rows.select("class", "n", F.lit(None).cast("int").alias("grp"))
+    kind, of = dict(rows.dtypes)["v"], "<f4" if dict(rows.dtypes)["v"] == "array<float>" else "<f8"
     widest = math.acos(max(-1.0, min(1.0, at_least)))
-    asked = classes.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("class")).limit(max(1, min(pivots, total // cell))).select("v").collect()  # at most ``pivots`` rows
+    asked = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("class")).limit(max(1, min(pivots, total // cell))).select("v").collect()  # at most ``pivots`` rows
     heads = thinned(unit_rows(np.array([r["v"] for r in asked], float)), widest / 4) if asked else np.zeros((0, 1))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,58 +147,94 @@ def cosine_links(df: DataFrame, key: str, vec: str, at_least: float, grouped: bo
             least = angle[np.arange(len(x)), near]
             zero = ~x.any(axis=1)
             tight = grouped & ~zero & (least <= widest / 2 - SLACK)
-            yield pd.DataFrame({"class": f["class"], "n": f["n"], "v": f["v"], "cell": np.where(zero, -1, near).astype(np.int32), "angle": least, "grp": pd.array(np.where(tight, near, 0), "Int32").copy()}).assign(grp=lambda t, k=tight: t["grp"].mask(~k))
+            yield f.assign(cell=np.where(zero, -1, near).astype(np.int32), angle=least, grp=pd.array(np.where(tight, near, 0), "Int32").copy()).assign(grp=lambda t, k=tight: t["grp"].mask(~k))
 
-    placed = materialise(classes.select("class", "n", "v").mapInPandas(place, "class long, n long, v array<double>, cell int, angle double, grp int"), "placed")
-    members = placed.select("class", "n", "grp")
-    cells = {r["cell"]: r for r in placed.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.percentile_approx("angle", [i / BANDS for i in range(1, BANDS)], 1000).alias("cuts")).collect()}  # at most ``pivots`` rows
+    # cheap beside what is stored for it, so it is found anew where it is read
+    placed = rows.select("class", "n", "v").mapInPandas(place, f"class long, n long, v {kind}, cell int, angle double, grp int")
+    members = materialise(placed.select("class", "n", "grp", "cell", "angle"), "placed")
+    cells = members.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("angle", [i / BANDS for i in range(1, BANDS)], 1000).alias("cuts")).collect()  # at most ``pivots`` rows
+    members = members.select("class", "n", "grp")
     if not cells:
-        return spark.createDataFrame([], pair), members
-    # cells that may hold a link: pivots apart by no more than the threshold and both cells' widths
-    between = np.arccos(np.clip(heads @ heads.T, -1, 1))
-    near = [(i, j) for i in cells for j in cells if i <= j and between[i, j] - cells[i]["high"] - cells[j]["high"] <= widest + SLACK]
-    table = spark.createDataFrame([(c, r["cuts"], -(-r["n"] // block)) for c, r in cells.items()], "cell int, cuts array<double>, blocks long")
+        return None, members
+    table = spark.createDataFrame([(r["cell"], r["cuts"], -(-r["n"] // block)) for r in cells], "cell int, cuts array<double>, blocks long")
     bands = F.least(F.lit(BANDS), F.col("blocks"))
     band = F.floor(F.size(F.filter("cuts", lambda x: x < F.col("angle"))) * bands / BANDS)
     parts = F.ceil(F.col("blocks") / BANDS)
-    dealt = placed.join(F.broadcast(table), "cell").withColumn("block", band * parts + F.pmod(F.xxhash64("class"), parts)).select("cell", "block", "class", "v", "angle", "grp")  # a row a cell
+    dealt = placed.join(F.broadcast(table), "cell").withColumn("block", band * parts + F.pmod(F.xxhash64("class", "v"), parts)).select("cell", "block", "class", "n", "v", "grp")  # a row a cell
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
-        x = unit_rows(np.stack(f["v"].to_numpy()).astype(float))
-        angle = np.arccos(np.clip(x @ heads.T, -1, 1))
-        return f[["cell", "block"]].iloc[:1].assign(ids=[f["class"].to_numpy("<i8").tobytes()], grps=[f["grp"].fillna(-1).to_numpy("<i4").tobytes()], vecs=[x.astype("<f8").tobytes()], low=[angle.min(0)], high=[angle.max(0)])
-
-    packed = dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, block long, ids binary, grps binary, vecs binary, low array<double>, high array<double>")
-    packed = materialise(packed.withColumn("id", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": 16 << 20})
-    ends = packed.select("cell", "id", "low", "high")
-    pairs = F.broadcast(spark.createDataFrame(near, "cell1 int, cell2 int"))  # at most half the pivots' square
-    left, right = (ends.select(*(F.col(c).alias(f"{c}{i}") for c in ends.columns)) for i in (1, 2))
+        v = np.stack(f["v"].to_numpy()).astype(of)
+        angle = np.arccos(np.clip(unit_rows(v.astype(float)) @ heads.T, -1, 1))
+        return f[["cell", "block"]].iloc[:1].assign(ids=[f["class"].to_numpy("<i8").tobytes()], ns=[f["n"].to_numpy("<i8").tobytes()], grps=[f["grp"].fillna(-1).to_numpy("<i4").tobytes()], vecs=[v.tobytes()], low=[angle.min(0)], high=[angle.max(0)])
+
+    packed = dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, block long, ids binary, ns binary, grps binary, vecs binary, low array<double>, high array<double>")
+    packed = materialise(packed.withColumn("id", F.monotonically_increasing_id()), "blocks", **{"parquet.block.size": 4 << 20})
     # angles to all pivots: the least that vectors of the two blocks can be apart
     gap = F.array_max(F.zip_with(F.zip_with("low1", "high2", lambda a, b: a - b), F.zip_with("low2", "high1", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
-    met = left.join(pairs, "cell1").join(right, "cell2").where((gap <= widest + SLACK) & ((F.col("cell1") < F.col("cell2")) | (F.col("id1") <= F.col("id2")))).select("id1", "id2")
-    first, second = (packed.select(F.col("id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("ids", "grps", "vecs"))) for i in (1, 2))
+    own = lambda i, j: F.get(f"low{j}", F.col(f"cell{i}")) - F.get(f"high{i}", F.col(f"cell{i}")) <= widest + SLACK  # noqa: E731  by its own pivot first: most is ruled out
+    may = (F.col("id1") <= F.col("id2")) & own(1, 2) & own(2, 1) & (gap <= widest + SLACK)
+    ends = ("cell", "low", "high")
+    side = lambda i, *names: packed.select(*(F.col(c).alias(f"{c}{i}") for c in ("id", *names)))
+    data = ("ids", "ns", "grps", "vecs")
+    met = materialise(side(1, *ends).hint("shuffle_replicate_nl").join(side(2, *ends), may).select("id1", "id2"), "met")
+    if met.count() <= MEETINGS * packed.count():
+        return met.join(side(1, *data), "id1").join(side(2, *data), "id2").withColumn("of", F.lit(of)), members
+    every = side(1, *ends, *data).hint("shuffle_replicate_nl").join(side(2, *ends, *data), may)
+    return every.select("id1", "id2", *(f"{c}{i}" for i in (1, 2) for c in data), F.lit(of).alias("of")), members
+
+
+def linked(r: tuple, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of two blocks (ids, ns: 64-bit numbers; grps: -1 for none; vecs: numbers of the type ``of``), and places and cosines of their links: of rows not in one group, each once."""
+    a, b = np.frombuffer(r.ids1, "<i8"), np.frombuffer(r.ids2, "<i8")
+    g, h = np.frombuffer(r.grps1, "<i4"), np.frombuffer(r.grps2, "<i4")
+    x, y = (unit_rows(np.frombuffer(v, r.of).reshape(n, -1).astype(float)) for v, n in ((r.vecs1, len(a)), (r.vecs2, len(b))))
+    cos = x @ y.T
+    i, j = np.nonzero(cos >= min(at_least, 1 - 1e-9))
+    keep = ((a[i] < b[j]) if r.id1 == r.id2 else (a[i] != b[j])) & ((g[i] != h[j]) | (g[i] < 0))
+    i, j = i[keep], j[keep]
+    c = cos[i, j]
+    if len(close := np.flatnonzero(c > 1 - 1e-9)) and at_least <= 1:
+        # equal vectors have a cosine of 1, whatever rounding makes of it
+        number = np.unique(np.concatenate([x, y]).view(f"V{8 * x.shape[1]}"), return_inverse=True)[1].ravel()
+        c[close[number[i[close]] == number[len(a) + j[close]]]] = 1.0
+    hit = c >= at_least
+    return a, b, i[hit], j[hit], c[hit]
+
+
+def linked_pairs(met: DataFrame, at_least: float) -> DataFrame:
+    """a, b, cosine (a < b) of the links in pairs of blocks."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             for r in f.itertuples(index=False):
-                a, b = np.frombuffer(r.ids1, "<i8"), np.frombuffer(r.ids2, "<i8")
-                g, h = np.frombuffer(r.grps1, "<i4"), np.frombuffer(r.grps2, "<i4")
-                x, y = np.frombuffer(r.vecs1, "<f8").reshape(len(a), -1), np.frombuffer(r.vecs2, "<f8").reshape(len(b), -1)
-                cos = x @ y.T
-                hit = cos >= at_least
-                hit &= ~((g[:, None] == h[None]) & (g >= 0)[:, None])
-                hit &= (a[:, None] < b[None]) if r.id1 == r.id2 else (a[:, None] != b[None])
-                i, j = np.nonzero(hit)
-                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cosine": cos[i, j]})
+                a, b, i, j, cosine = linked(r, at_least)
+                for s in range(0, len(i), PAIRS):
+                    one, two = a[i[s : s + PAIRS]], b[j[s : s + PAIRS]]
+                    yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "cosine": cosine[s : s + PAIRS]})
 
-    return materialise(met, "met").join(first, "id1").join(second, "id2").mapInPandas(meet, pair), members
+    return met.mapInPandas(meet, "a long, b long, cosine double")
+
+
+def cosine_links(df: DataFrame, key: str, vec: str, at_least: float, grouped: bool = True, block: int = BLOCK, cell: int = CELL, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Links and membership of classes of equal vectors with a cosine of at least the threshold; zero vectors have no links.
+
+    Links: a, b, cosine (a < b), of classes not in one group. Membership: class, n (its rows), and ``grp``, the group it is in or null: classes within half the
+    threshold's angle of one pivot are all linked to each other, which no pair tells. Without ``grouped`` every link is a pair. All vectors must be of one dimension.
+    """
+    met, members = met_blocks(materialise(vector_classes(df, key, vec), "classes"), at_least, grouped, block, cell, pivots)
+    return df.sparkSession.createDataFrame([], "a long, b long, cosine double") if met is None else linked_pairs(met, at_least), members
 
 
 def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
     """class, n and ``links``: how many other rows a row of the class is linked to, copies of it among them."""
     sizes = members.select("class", "n")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = both.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("_far"))
+    return counted(both.join(sizes.withColumnRenamed("class", "b"), "b").select(F.col("a").alias("class"), F.col("n").alias("far")), members)
+
+
+def counted(far: DataFrame, members: DataFrame) -> DataFrame:
+    """class, n and ``links``: the rows of its own class and group, and what ``far`` (class, far) has."""
+    far = far.groupBy("class").agg(F.sum("far").alias("_far"))
     groups = members.where("grp is not null").groupBy("grp").agg(F.sum("n").alias("_all"))
     found = members.join(far, "class", "left").join(groups, "grp", "left")
     own = F.coalesce("_all", F.col("n")) - 1
@@ -202,13 +244,7 @@ def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
 def cosine_pairs(df: DataFrame, key: str, vec: str, at_least: float, block: int = BLOCK) -> DataFrame:
     """a, b, cosine (a < b) of rows whose unit vectors have a cosine of at least the threshold; zero vectors have none.
 
-    Equal vectors are compared once and expanded here; where there are many copies, use ``cosine_links``.
+    Every row is compared for itself, as each of its pairs is a row here; where there are many copies, use ``cosine_links``.
     """
-    links, _ = cosine_links(df, key, vec, at_least, grouped=False, block=block)
-    classes = vector_classes(df, key, vec).select("v", "class")
-    rows = materialise(df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).join(classes, "v").select("k", "class", F.exists("v", lambda x: x != 0).alias("any")), "rows")
-    one, two = rows.select(F.col("k").alias("k1"), F.col("class").alias("a")), rows.select(F.col("k").alias("k2"), F.col("class").alias("b"))
-    across = links.join(one, "a").join(two, "b").select("k1", "k2", "cosine")
-    copies = rows.where("any").select(F.col("k").alias("k1"), "class").join(rows.select(F.col("k").alias("k2"), "class"), "class").where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("cosine")) if at_least <= 1 else None
-    found = across if copies is None else across.union(copies)
-    return found.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "cosine")
+    met, _ = met_blocks(vectors_of(df, key, vec).withColumn("n", F.lit(1).cast("long")), at_least, False, block, CELL, PIVOTS)
+    return df.sparkSession.createDataFrame([], "a long, b long, cosine double") if met is None else linked_pairs(met, at_least)

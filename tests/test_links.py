@@ -99,6 +99,25 @@ def test_far_blocks_do_not_meet(spark, monkeypatch):
     assert by[1]["met"] / by[0]["met"] < 0.6 * (by[1]["blocks"] / by[0]["blocks"]) ** 2
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_blocks_that_all_meet_are_not_dealt_out(spark, kind):
+    """Without structure nothing is shuffled for pairs of blocks, however many there are; counts are those of the pairs."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 8)).astype(np.float32).astype(float)
+    x[300:330] = x[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, [0.0] * 8), (401, None)], f"k long, v array<{kind}>")
+    want = {(i, j) for i, j in itertools.combinations(range(400), 2) if cos[i, j] >= 0.3}
+    found = links.cosine_pairs(df, "k", "v", 0.3, block=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    found = found.collect()
+    assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+    assert all(r.cosine == 1.0 for r in found if r.a in {0, *range(300, 330)} and r.b in range(300, 330))
+    assert {(r.a, r.b) for r in links.cosine_pairs(df, "k", "v", 1.0, block=16).collect()} == set(itertools.combinations([0, *range(300, 330)], 2))
+
+
 def test_links_of_nothing(spark):
     none = spark.createDataFrame([], "k long, v array<double>, h long")
     found, members = links.cosine_links(none, "k", "v", 0.5)
