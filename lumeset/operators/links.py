@@ -25,7 +25,7 @@ MASKS, DEALT = 200, 50.0  # masks at most; what it costs to deal a hash out once
 PIVOTS, CELL, BLOCK, BANDS = 512, 512, 2048, 16  # pivots at most; rows for each; rows of a block; bands of angles in a cell
 SLACK = 1e-6  # of angles, for rounding
 MEETINGS = 8  # pairs of blocks, for each block, that are joined by number
-PAIRS = 1 << 18  # links that a task tells at once
+PAIRS, COUNTS = 1 << 18, 512  # links that a task tells at once; blocks whose counts it holds
 
 
 def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
@@ -241,6 +241,28 @@ def counted(far: DataFrame, members: DataFrame) -> DataFrame:
     return found.select("class", "n", (own + F.coalesce("_far", F.lit(0))).alias("links"))
 
 
+def cosine_degrees(df: DataFrame, key: str, vec: str, at_least: float, block: int = BLOCK, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
+    """link_counts of cosine_links, counted where the blocks meet, so that no pair leaves a task."""
+    met, members = met_blocks(materialise(vector_classes(df, key, vec), "classes"), at_least, True, block, cell, pivots)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        told = lambda: pd.DataFrame({c: np.concatenate(x) for c, x in zip(("class", "far"), zip(*far.values(), strict=True), strict=True)})
+        for f in batches:
+            for r in f.itertuples(index=False):
+                a, b, i, j, _ = linked(r, at_least)
+                for block, ids, ns, at, other in ((r.id1, a, r.ns2, i, j), (r.id2, b, r.ns1, j, i)):
+                    more = np.bincount(at, np.frombuffer(ns, "<i8")[other], len(ids)).astype(np.int64)
+                    far[block] = (ids, far[block][1] + more if block in far else more)
+                if len(far) > COUNTS:
+                    yield told()
+                    far.clear()
+        if far:
+            yield told()
+
+    return counted(df.sparkSession.createDataFrame([], "class long, far long") if met is None else met.mapInPandas(meet, "class long, far long"), members)
+
+
 def cosine_pairs(df: DataFrame, key: str, vec: str, at_least: float, block: int = BLOCK) -> DataFrame:
     """a, b, cosine (a < b) of rows whose unit vectors have a cosine of at least the threshold; zero vectors have none.
 

@@ -116,6 +116,9 @@ def test_blocks_that_all_meet_are_not_dealt_out(spark, kind):
     assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
     assert all(r.cosine == 1.0 for r in found if r.a in {0, *range(300, 330)} and r.b in range(300, 330))
     assert {(r.a, r.b) for r in links.cosine_pairs(df, "k", "v", 1.0, block=16).collect()} == set(itertools.combinations([0, *range(300, 330)], 2))
+    degrees = {r["class"]: (r.n, r.links) for r in links.cosine_degrees(df, "k", "v", 0.3, block=16, cell=20).collect()}
+    both = {r["class"]: (r.n, r.links) for r in links.link_counts(*links.cosine_links(df, "k", "v", 0.3, block=16, cell=20)).collect()}
+    assert degrees == both == {c: (31 if c == 0 else 1, int((cos[c] >= 0.3).sum()) - 1) for c in range(400) if c not in range(300, 330)} | {400: (1, 0)}
 
 
 def test_links_of_nothing(spark):
@@ -124,3 +127,7 @@ def test_links_of_nothing(spark):
     assert found.count() == members.count() == links.cosine_pairs(none, "k", "v", 0.5).count() == links.hamming_links(none, "k", "h", 5).count() == 0
     zero = spark.range(3).select(F.col("id").alias("k"), F.array(F.lit(0.0)).alias("v"))
     assert links.cosine_links(zero, "k", "v", -1.0)[0].count() == 0
+
+
+def test_degrees_of_nothing(spark):
+    assert links.cosine_degrees(spark.createDataFrame([], "k long, v array<double>"), "k", "v", 0.5).count() == 0
