@@ -1,6 +1,6 @@
 """Similarity joins: links between classes of equal rows, without meeting all pairs where the data allow it.
 
-Hashes meet in buckets of equal blocks of bits, chosen by the number of hashes; buckets too large for a join meet tile by tile in numpy. Vectors meet block by
+Hashes meet in buckets of equal blocks of bits, chosen by the number of hashes, and are compared in numpy; buckets too large for a task meet tile by tile. Vectors meet block by
 block; blocks whose angles to common pivots rule a link out do not meet, and rows close around one pivot are a group whose members are all linked, which
 is told by membership instead of pairs.
 """
@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumeset.functions.vectors import hamming
 from lumeset.operators.blocks import unit_rows
 from lumeset.session import materialise
 
-BUCKET, TILE = 2048, 4096  # hashes of a bucket that Spark joins; of a tile
+BUCKET, TILE = 2048, 4096  # hashes of a bucket that are compared in one task; of a tile
+SEARCHED = 64  # times as many, if several masks are left by which they are found
 MASKS, DEALT = 200, 50.0  # masks at most; what it costs to deal a hash out once, in comparisons
+ROW, LINK = np.dtype([("h", "<u8"), ("class", "<i8"), ("n", "<i8")]), "a long, b long, distance int, n_a long, n_b long"
 PIVOTS, CELL, BLOCK, BANDS = 512, 512, 2048, 16  # pivots at most; rows for each; rows of a block; bands of angles in a cell
 SLACK = 1e-6  # of angles, for rounding
 MEETINGS = 8  # pairs of blocks, for each block, that are joined by number
@@ -33,13 +34,13 @@ def hash_classes(df: DataFrame, key: str, h: str) -> DataFrame:
     return df.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("class"), F.count("*").alias("n"))
 
 
-def block_masks(n: int, under: int) -> list[int]:
-    """Masks of bits such that any two of 64 bits that differ in fewer than ``under`` agree under one of them.
+def mask_groups(n: int, under: int) -> list[list[int]]:
+    """Masks of bits such that any two of 64 bits that differ in fewer than ``under`` agree under one of them, those with the same first block together, after this block's own mask.
 
     The bits are cut into m blocks; under - 1 bits touch as many blocks at most, so the others agree: every choice of that many blocks is a mask. More blocks
     are more masks but smaller buckets; what is cheapest for n hashes is taken, if nothing else one bucket with all.
     """
-    found = (n * n / 2, [0])
+    found = (n * n / 2, [[0, 0]])
     for m in range(under, under + 8):
         k = m - under + 1
         if m > 64 or math.comb(m, k) > MASKS:
@@ -48,57 +49,145 @@ def block_masks(n: int, under: int) -> list[int]:
         if cost < found[0]:
             edges = [64 * i // m for i in range(m + 1)]
             blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
-            found = (cost, [sum(c) for c in itertools.combinations(blocks, k)])
-    return [x - (1 << 64) if x >> 63 else x for x in found[1]]
+            found = (cost, [[blocks[i], *(blocks[i] | sum(c) for c in itertools.combinations(blocks[i + 1 :], k - 1))] for i in range(under)])
+    return found[1]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def block_masks(n: int, under: int) -> list[int]:
+    """All masks of mask_groups, as signed numbers."""
+    return [signed(x) for _, *masks in mask_groups(n, under) for x in masks]
 
 
 def hamming_links(df: DataFrame, key: str, h: str, under: int, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
     """a, b, distance, n_a, n_b (a < b): classes of equal hashes whose hashes differ in fewer than ``under`` bits, and how many rows each has.
 
-    Copies are never expanded into pairs: each row of a class is linked to each of the other, and the rows of one class to each other.
+    Copies are never expanded into pairs: each row of a class is linked to each of the other, and the rows of one class to each other. A hash is dealt out once for each first
+    block, with its class, and a bucket is searched mask by mask in its task; of the masks under which two hashes agree the first tells the link, so links are not
+    dealt out again. Buckets of too many hashes are dealt out by each mask, and those that are still too large meet tile by tile.
     """
-    classes = materialise(hash_classes(df, key, h), "classes")
-    masks = block_masks(classes.count(), under)
-    blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("h").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))).alias("e")
-    dealt = classes.select("h", blocks).select("h", "e.mask", "e.bits")
-    large = materialise(dealt.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large")
-    crowded = not large.isEmpty()
-    small = dealt.join(large, ["mask", "bits"], "left_anti") if crowded else dealt
-    x, y = small.alias("x"), small.alias("y")
-    met = x.join(y, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.h") < F.col("y.h")))
-    met = met.where(hamming(F.col("x.h"), F.col("y.h")) < under).select(F.col("x.h").alias("h1"), F.col("y.h").alias("h2"))
-    met = (met.union(tiled_links(dealt.join(large, ["mask", "bits"]), under, tile)) if crowded else met).distinct()
-    one, two = (classes.select(F.col("h").alias(f"h{i}"), F.col("class").alias(f"k{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    found = met.join(one, "h1").join(two, "h2")
-    first = F.col("k1") < F.col("k2")
-    either = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
-    return found.select(either("k1", "k2").alias("a"), either("k2", "k1").alias("b"), hamming(F.col("h1"), F.col("h2")).alias("distance"), either("n1", "n2").alias("n_a"), either("n2", "n1").alias("n_b"))
-
-
-def tiled_links(dealt: DataFrame, under: int, tile: int) -> DataFrame:
-    """h1, h2 of links within buckets (mask, bits, h, n: the bucket's size): each two tiles of a bucket meet once, in numpy."""
+    classes = materialise(hash_classes(df, key, h).where("class is not null"), "classes")
+    groups = mask_groups(classes.count(), under)
+    masks = [x for _, *more in groups for x in more]
+    numbers, at = [], 0
+    for _, *more in groups:
+        numbers.append(list(range(at, at + len(more))))
+        at += len(more)
+    under_mask = lambda i, m: F.struct(F.lit(i).alias("mask"), F.col("h").bitwiseAND(F.lit(signed(m))).alias("bits"))
+    each = F.explode(F.array(*(under_mask(i, head) for i, (head, *_) in enumerate(groups)))).alias("e")
+    several = len(masks) > len(groups)
+    small, large = by_bucket(classes.select("h", "class", "n", each).select("h", "class", "n", "e.mask", "e.bits"), bucket * (SEARCHED if several else 1))
+    found = near_in_buckets(small, under, masks, numbers)
+    if several and large is not None:
+        each = F.explode(F.get(F.array(*(F.array(*(under_mask(i, masks[i]) for i in own)) for own in numbers)), F.col("mask"))).alias("e")
+        small, large = by_bucket(large.select("h", "class", "n", each).select("h", "class", "n", "e.mask", "e.bits"), bucket)
+        found = found.union(near_in_buckets(small, under, masks, [[i] for i in range(len(masks))]))
+    return found if large is None else found.union(tiled_links(large, under, masks, tile))
+
+
+def by_bucket(dealt: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (h, class, n, mask, bits) in buckets (mask, bits) of at most so many, and the others with ``size``, that of their bucket, if there are any."""
+    sizes = materialise(dealt.groupBy("mask", "bits").agg(F.count("*").alias("size")).where(F.col("size") > most), "large")  # no more than a row for each ``most`` dealt
+    if sizes.isEmpty():
+        return dealt, None
+    return dealt.join(F.broadcast(sizes), ["mask", "bits"], "left_anti"), dealt.join(F.broadcast(sizes), ["mask", "bits"])
+
+
+def told(one: np.ndarray, two: np.ndarray, masks: list[int], mask: int) -> pd.DataFrame:
+    """Links of near rows (h, class, n) that agree under no mask before this one."""
+    x = one["h"] ^ two["h"]
+    first = np.ones(len(x), bool)
+    for m in masks[:mask]:
+        first &= (x & np.uint64(m)) != 0
+    one, two, x = one[first], two[first], x[first]
+    swapped = one["class"] > two["class"]
+    a, b = np.where(swapped, two, one), np.where(swapped, one, two)
+    return pd.DataFrame({"a": a["class"], "b": b["class"], "distance": np.bitwise_count(x).astype(np.int32), "n_a": a["n"], "n_b": b["n"]})
+
+
+def near_in_buckets(dealt: DataFrame, under: int, masks: list[int], numbers: list[list[int]]) -> DataFrame:
+    """Links within buckets (mask, bits) of rows (h, class, n) that fit a task; numbers: of the masks under which a bucket's rows are compared, by its ``mask``."""
+
+    def search(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for group, part in f.groupby("mask", sort=False):
+            rows = np.empty(len(part), ROW)
+            for c in ("h", "class", "n"):
+                rows[c] = part[c].to_numpy()
+            for number in numbers[group]:
+                rows = rows[np.argsort(rows["h"] & np.uint64(masks[number]))]
+                h, key = np.ascontiguousarray(rows["h"]), rows["h"] & np.uint64(masks[number])
+                i, one, two, n = np.arange(len(h)), [], [], 0
+                for d in range(1, len(h)):  # rows of one key are neighbours
+                    i = i[: np.searchsorted(i, len(h) - d)]
+                    i = i[key[i] == key[i + d]]
+                    if not len(i):
+                        break
+                    near = i[np.bitwise_count(h[i] ^ h[i + d]) < under]
+                    one, two, n = [*one, near], [*two, near + d], n + len(near)
+                    if n > PAIRS:
+                        yield told(rows[np.concatenate(one)], rows[np.concatenate(two)], masks, number)
+                        one, two, n = [], [], 0
+                if n:
+                    yield told(rows[np.concatenate(one)], rows[np.concatenate(two)], masks, number)
 
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        return f[["mask", "bits", "tiles", "p"]].iloc[:1].assign(hs=[f["h"].to_numpy("<i8").tobytes()])
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows come sorted by bucket; a bucket may be cut by the end of a batch
+        for f in batches:
+            if not len(f):
+                continue
+            last = (f["mask"] == f["mask"].iloc[-1]) & (f["bits"] == f["bits"].iloc[-1])
+            if not last.all() or held and (held[-1]["mask"].iloc[-1], held[-1]["bits"].iloc[-1]) != (f["mask"].iloc[-1], f["bits"].iloc[-1]):
+                yield from search(pd.concat([*held, f[~last]], ignore_index=True))
+                held = []
+            held.append(f[last])
+        if held:
+            yield from search(pd.concat(held, ignore_index=True))
+
+    rows = dealt.select("mask", "bits", F.col("h").cast("long"), F.col("class").cast("long"), "n")
+    return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInPandas(meet, LINK)
+
+
+def tiled_links(dealt: DataFrame, under: int, masks: list[int], tile: int) -> DataFrame:
+    """Links within buckets (mask, bits) of rows (h, class, n; size: the bucket's): each two tiles of a bucket meet once, in numpy.
 
-    tiles = F.ceil(F.col("n") / tile)
-    placed = dealt.withColumn("tiles", tiles).withColumn("p", F.pmod(F.xxhash64("h"), "tiles"))
-    packed = materialise(placed.groupBy("mask", "bits", "p").applyInPandas(pack, "mask int, bits long, tiles long, p long, hs binary"), "tiles", **{"parquet.block.size": 16 << 20})
-    left = packed.select("mask", "bits", "p", F.col("hs").alias("h1"), F.explode(F.sequence(F.col("p"), F.col("tiles") - 1)).alias("q"))
-    right = packed.select("mask", "bits", F.col("p").alias("q"), F.col("hs").alias("h2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))).alias("p"))
+    Few meetings are joined by bucket and tile; where there are many, each part of the stored tiles is read beside each other part and nothing is dealt out.
+    """
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        rows = np.empty(len(f), ROW)
+        for c in ("h", "class", "n"):
+            rows[c] = f[c].to_numpy()
+        return f[["mask", "bits", "tiles", "p"]].iloc[:1].assign(hs=[rows.tobytes()])
+
+    placed = dealt.withColumn("class", F.col("class").cast("long")).withColumn("tiles", F.ceil(F.col("size") / tile)).withColumn("p", F.pmod(F.xxhash64("h"), "tiles"))
+    packed = materialise(placed.groupBy("mask", "bits", "p").applyInPandas(pack, "mask int, bits long, tiles long, p long, hs binary"), "tiles", **{"parquet.block.size": 4 << 20})
+    many = packed.agg(F.coalesce(F.sum(F.col("tiles") + 1) > 2 * MEETINGS * F.count("*"), F.lit(False))).first()[0]
+    if many:
+        left = packed.select("mask", "bits", "p", F.col("hs").alias("h1")).hint("shuffle_replicate_nl")
+        right = packed.select(F.col("mask").alias("mask2"), F.col("bits").alias("bits2"), F.col("p").alias("q"), F.col("hs").alias("h2"))
+        both = left.join(right, (F.col("mask") == F.col("mask2")) & (F.col("bits") == F.col("bits2")) & (F.col("p") <= F.col("q")))
+    else:
+        left = packed.select("mask", "bits", "p", F.col("hs").alias("h1"), F.explode(F.sequence(F.col("p"), F.col("tiles") - 1)).alias("q"))
+        right = packed.select("mask", "bits", F.col("p").alias("q"), F.col("hs").alias("h2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))).alias("p"))
+        both = left.join(right, ["mask", "bits", "p", "q"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             for r in f.itertuples(index=False):
-                a, b = np.frombuffer(r.h1, "<i8"), np.frombuffer(r.h2, "<i8")
+                a, b = np.frombuffer(r.h1, ROW), np.frombuffer(r.h2, ROW)
+                y = np.ascontiguousarray(b["h"])
                 for s in range(0, len(a), 256):
                     part = a[s : s + 256]
-                    near = np.bitwise_count(part.view(np.uint64)[:, None] ^ b.view(np.uint64)[None]) < under
-                    i, j = np.nonzero(near & (part[:, None] < b[None]) if r.p == r.q else near)
+                    x = np.ascontiguousarray(part["h"])
+                    near = np.bitwise_count(x[:, None] ^ y[None]) < under
+                    i, j = np.nonzero(near & (x[:, None] < y[None]) if r.p == r.q else near)
                     if len(i):
-                        yield pd.DataFrame({"h1": np.minimum(part[i], b[j]), "h2": np.maximum(part[i], b[j])})
+                        yield told(part[i], b[j], masks, r.mask)
 
-    return left.join(right, ["mask", "bits", "p", "q"]).select("p", "q", "h1", "h2").mapInPandas(meet, "h1 long, h2 long")
+    return both.select("mask", "p", "q", "h1", "h2").mapInPandas(meet, LINK)
 
 
 # --- vectors ---

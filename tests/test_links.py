@@ -29,6 +29,29 @@ def test_hamming_links_equal_all_pairs(spark, under, bucket, tile):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("searched", "bucket", "meetings"), [(64, 2048, 8), (64, 1, 8), (1, 3, 8), (1, 3, 0), (2, 3, 8)])
+@pytest.mark.parametrize("under", [1, 3, 5])
+def test_links_under_several_masks_are_told_once(spark, monkeypatch, under, searched, bucket, meetings):
+    """Buckets searched in their task, dealt out by each mask or met by tiles: each link comes once, and none is dealt out again."""
+    for name, value in (("DEALT", 0.0), ("SEARCHED", searched), ("MEETINGS", meetings)):
+        monkeypatch.setattr(links, name, value)
+    rng = np.random.default_rng(under)
+    h = near_hashes(rng, 60) + [int(x) << 40 for x in rng.integers(0, 2**12, 60)]  # many agree in most blocks
+    df = spark.createDataFrame([*enumerate(h), (None, 77)], "k long, h long")
+    assert len(links.block_masks(100, under)) > 1 or under == 1
+    found = links.hamming_links(df, "k", "h", under, bucket, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert bucket < 2048 or "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    members = {}
+    for i, x in enumerate(h):
+        if x is not None:
+            members.setdefault(x, []).append(i)
+    m = (1 << 64) - 1
+    want = {(v[0], w[0], d, len(v), len(w)) for x, v in members.items() for y, w in members.items() if v[0] < w[0] and (d := ((x & m) ^ (y & m)).bit_count()) < under}
+    got = [tuple(r) for r in found.select("a", "b", "distance", "n_a", "n_b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (want or under == 1)
+
+
 @pytest.mark.parametrize(("n", "under", "most"), [(10**6, 5, 1e-3), (10**9, 5, 1e-6), (10**6, 10, 0.02)])
 def test_masks_leave_few_pairs_and_lose_none(n, under, most):
     masks = [x % 2**64 for x in links.block_masks(n, under)]
