@@ -29,9 +29,8 @@ TILE = 1024
 BUCKET_NODES = 16_384
 #: Near copies: five-word shingles, the share of them, bits in which fingerprints of words and of shingles may differ, candidates of a text met first.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS, FINE_RADIUS, NEAREST = 5, 0.8, 8, 18, 4
-#: Their candidates: bands of least hashes, hashes in a band, and classes of shingles whose parities bound a difference.
-BANDS, BAND_ROWS, ODD_BITS = 32, 4, 1024
-TURNS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Their candidates: parts of a set for each that may differ, parts at least and at most, and classes of shingles whose parities bound a difference.
+PARTS, LEAST_PARTS, LARGEST_PARTS, ODD_BITS = 1.25, 16, 1 << 40, 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -245,19 +244,29 @@ def majority(hashes: np.ndarray) -> str:
     return np.packbits(2 * ones > len(hashes)).tobytes().hex()
 
 
-SKETCH = StructType().add("fp", StringType()).add("n", IntegerType()).add("odd", BinaryType()).add("bands", ArrayType(LongType()))
+SKETCH = StructType().add("fp", StringType()).add("n", IntegerType()).add("odd", BinaryType())
 
 
 @F.pandas_udf(SKETCH)
 def sketch_of(texts: pd.Series) -> pd.DataFrame:
-    """Of the set of five-word shingles of each text: its name (128 bits), its size, its parities by class and a key for each band of least hashes (none for no words)."""
+    """Of the set of five-word shingles of each text: its name (128 bits), its size and its parities by class."""
     import xxhash
 
     rows = []
     for text in texts:
         s = distinct_shingles(word_hashes(text))
-        rows.append((xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), parities(s).tobytes(), band_keys(s).view(np.int64)))
-    return pd.DataFrame(rows, columns=["fp", "n", "odd", "bands"])
+        rows.append((xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), parities(s).tobytes()))
+    return pd.DataFrame(rows, columns=["fp", "n", "odd"])
+
+
+def keys_of(text: str, similarity: float) -> Column:
+    """band_keys of the set of five-word shingles of a text (none for no words)."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(distinct_shingles(word_hashes(t)), similarity).view(np.int64) for t in texts], dtype=object)
+
+    return keys(text)
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -272,18 +281,28 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(bool))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each of BANDS bands, of BAND_ROWS least hashes each; sets that share 0.8 agree in none of them once in twenty million."""
-    if not len(shingles):
-        return shingles
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), 2048):
-        least = np.minimum(least, ((shingles[None, k : k + 2048] ^ TURNS) * FACTORS).min(axis=1))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in least.reshape(BANDS, BAND_ROWS).T:
-        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+def band_keys(shingles: np.ndarray, similarity: float = COPY_SIMILARITY) -> np.ndarray:
+    """Keys of a sorted set, of which any two sets that share ``similarity`` have one in common.
+
+    Such sets differ in at most (1 - similarity) / (1 + similarity) of their joint size. Sets are compared as those of the class (by powers of two) of the larger one, so a set has
+    keys in its own class and in those that larger ones may be in. In a class the hashes are cut into fixed parts. Each shingle by which sets differ spoils one part at
+    most, so of all parts taken in one order, those of most shingles first, one more than may be spoilt are enough: the first part that agrees is among them in both sets.
+    """
+    n, share, keys = len(shingles), (1 - similarity) / (1 + similarity), [shingles[:0]]
+    most = int(n / similarity + 1e-9)
+    mixed = (shingles ^ (shingles >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
+    for size in range(n.bit_length(), most.bit_length() + 1) if n else ():
+        largest = (1 << size) - 1
+        parts = max(LEAST_PARTS, int(PARTS * (int(2 * share * largest + 1e-9) + 1)))
+        part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        counts = np.bincount(part.astype(np.int64), minlength=parts)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        key = sums[ends[1:]] - sums[ends[:-1]] + np.arange(size * LARGEST_PARTS, size * LARGEST_PARTS + parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(31)
+        keys.append(key[np.lexsort((key, -counts))[: int(share * (n + min(largest, most)) + 1e-9) + 1]])
+    return np.concatenate(keys)
 
 
 def nearest_others(words: np.ndarray, fine: np.ndarray, group: np.ndarray, most: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -439,22 +458,25 @@ def open_candidates(cells: DataFrame, most: int, similarity: float) -> DataFrame
 def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, most: int = NEAREST, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """doc_id, fp (name of the set of five-word shingles, 32 hexadecimal digits) and root (one for each group of near copies) of docs (doc_id, text).
 
-    Near copies share ``similarity`` of their distinct five-word shingles, or are joined by such. Sets that agree in a band of least hashes share
-    a bucket (see band_keys). Each set is compared with the first of a bucket; sets of a bucket that are not joined by then are compared with
+    Near copies share ``similarity`` of their distinct five-word shingles, or are joined by such. Sets that share so much have a key
+    in common and so a bucket (see band_keys). Each set is compared with the first of a bucket; sets of a bucket that are not joined by then are compared with
     their ``most`` nearest of other groups, then with eight times as many each round, until no two of different groups are left that the bound of open_pairs does not
     tell apart. Shares are counted exactly. Equal sets are one; null texts and those without words are one group; a text of fewer than five words
     is one shingle. Repeated and null ids are as in near_duplicates. An empty table gives an empty result.
     """
     marked = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("digest"), sketch_of("text").alias("s")).select("doc_id", "digest", "s.*")
     marked = materialise(marked, "fingerprints", compression="zstd")
-    first = marked.groupBy("fp").agg(F.min("digest").alias("digest"), *(F.first(c).alias(c) for c in ("n", "odd", "bands")))
+    first = marked.groupBy("fp").agg(F.min("digest").alias("digest"), *(F.first(c).alias(c) for c in ("n", "odd")))
     nodes = materialise(first.withColumn("id", F.monotonically_increasing_id()), "nodes", compression="zstd")
     bucket = W.partitionBy("key")
-    dealt = nodes.select("id", F.explode("bands").alias("key")).select("id", "key", F.min("id").over(bucket).alias("head"), F.count("*").over(bucket).alias("size"))
-    buckets = materialise(dealt.where("size > 1"), "buckets", compression="zstd")
+    # keys are many: they are taken from the texts anew and not stored with what tells a set
+    keyed = docs.select(text_of("text").alias("digest"), keys_of("text", similarity).alias("keys")).dropDuplicates(["digest"]).join(nodes.select("digest", "id"), "digest")
+    dealt = keyed.select("id", F.explode("keys").alias("key")).select("id", F.bit_xor(F.xxhash64("id")).over(bucket).alias("key"), F.min("id").over(bucket).alias("head"), F.count("*").over(bucket).alias("size"))
+    # buckets of the same sets are one: alike sets meet under many keys
+    buckets = materialise(dealt.where("size > 1").groupBy("id", "key", "head", "size").agg(F.count("*").alias("times")), "buckets", compression="zstd")
     shingles = materialise(shingles_for(docs, nodes.join(buckets.select("id").distinct(), "id", "left_semi")), "shingles", compression="zstd")
     # the head that a node meets in most buckets
-    heads = buckets.where("id > head").groupBy("head", "id").agg(F.count("*").alias("times")).groupBy("id").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
+    heads = buckets.where("id > head").groupBy("head", "id").agg(F.sum("times").alias("times")).groupBy("id").agg(F.max_by("head", F.struct("times", "head")).alias("a"))
     tested = materialise(heads.select("a", F.col("id").alias("b")), "tested")
     tree, waiting = tree_of(similar(shingles, tested, similarity)), buckets
     while True:

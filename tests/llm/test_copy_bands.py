@@ -92,3 +92,40 @@ def test_tables_stored_on_the_way_are_deleted(spark, far_pairs):
         kept = keep(docs)
         assert sorted(x.split("/")[1] for x in stored() - before) == left
         assert kept.count() > 0
+
+
+def test_sets_that_share_enough_have_a_key_in_common():
+    rng = np.random.default_rng(21)
+    for size in [*range(1, 40), 63, 64, 65, 127, 128, 200, 255, 256, 257, 500, 1023, 1024, 3000]:
+        for similarity in (0.8, 0.5):
+            for _ in range(12):
+                new = lambda n: rng.integers(0, 1 << 63, int(n), np.uint64) * np.uint64(2)
+                both = new(size)
+                differ = int(size * (1 / similarity - 1) + 1e-9)  # as many as leave them alike enough
+                one = int(rng.integers(0, differ + 1)) if rng.random() < 0.7 else 0
+                x, y = np.unique(np.concatenate([both, new(one)])), np.unique(np.concatenate([both, new(differ - one)]))
+                assert share(x, y) >= similarity - 1e-9
+                assert len(np.intersect1d(tiles.band_keys(x, similarity), tiles.band_keys(y, similarity))), (size, similarity)
+    x, y = (np.unique(new(500)) for _ in range(2))
+    assert not len(np.intersect1d(tiles.band_keys(x), tiles.band_keys(y)))
+
+
+def test_copies_that_agree_in_no_band_of_least_hashes_are_found(spark):
+    """A copy edited at a least hash of each of the 32 bands of four, by which candidates were once found."""
+    turns, factors = np.random.default_rng(42).integers(0, 1 << 63, (2, 128, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    least = lambda s: ((s[None] ^ turns) * factors).min(axis=1).reshape(32, 4)
+    words = [f"w{k}" for k in np.random.default_rng(4).integers(0, 1_000_000, 3000)]
+    edited = list(words)
+    for _ in range(64):
+        x, y = sets_of([" ".join(words), " ".join(edited)])
+        same = np.flatnonzero((least(x) == least(y)).all(axis=1))
+        if not len(same):
+            break
+        hashes = tiles.word_hashes(" ".join(words))
+        at = 4 * same[0]
+        wanted = x[((x ^ turns[at]) * factors[at]).argmin()]
+        k = next(k for k in range(len(words) - 4) if tiles.distinct_shingles(hashes[k : k + 5])[0] == wanted)
+        edited[k + 2] = f"edited{k}"
+    assert not len(same) and share(x, y) >= 0.8
+    docs = spark.createDataFrame([(5, " ".join(words)), (6, " ".join(edited)), (7, "another text of seven words it is")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in tiles.keep_one_copy(docs).collect()) == [5, 7]
